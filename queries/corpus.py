@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftlog.runtime import stage
+
 MODULES = ("billing,search,checkout,catalog,profile,session,gateway,ledger,mailer,notifier,"
            "indexer,scheduler,uploader,renderer,exporter,importer,recommender,inventory,shipping,pricing")
 
@@ -158,21 +160,32 @@ RAW_DUCK = LOGS_DUCK + f",\nraw_lines AS ({_raw_sql(_Duck())})"
 STREAM_DUCK = LOGS_DUCK + f",\nstream_lines AS ({_stream_sql(_Duck())})"
 
 
+_staged: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Text corpora are written once per application, as a log store would hold them."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _staged:
+        _staged[key] = stage(build())
+    return _staged[key]
+
+
 def logs(spark: SparkSession, sf: str) -> DataFrame:
     """Typed log entries: entry_id, ts_raw, level, service, message, source, line and the event columns."""
-    return spark.sql(_bind(_logs_sql(_Spark()), "events"), events=table(spark, sf, "events"))
+    return _once(spark, sf, "logs", lambda: spark.sql(_bind(_logs_sql(_Spark()), "events"), events=table(spark, sf, "events")))
 
 
 def raw_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_bind(_raw_sql(_Spark()), "logs"), logs=logs(spark, sf))
+    return _once(spark, sf, "raw_lines", lambda: spark.sql(_bind(_raw_sql(_Spark()), "logs"), logs=logs(spark, sf)))
 
 
 def stream_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(_bind(_stream_sql(_Spark()), "logs"), logs=logs(spark, sf))
+    return _once(spark, sf, "stream_lines", lambda: spark.sql(_bind(_stream_sql(_Spark()), "logs"), logs=logs(spark, sf)))
 
 
 def _bind(sql: str, name: str) -> str:

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import fixed as X
 from ..functions.base import is_blank, matches, strip
-from ..runtime import BLOCK_ROWS, block_of
-from .parse import FORMATS, detect_format, matching_formats
+from ..runtime import BLOCK_ROWS, block_of, evaluate_once, stage
+from .parse import FORMATS, detect_format, matching_formats, with_format
 
 RUN = X.MAX_CONTINUATION + 1
 
@@ -94,11 +94,11 @@ def sticky_format(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     are reduced alone and composed.  Adds ``detected``, ``format``, ``switched``.
     """
     none = len(FORMATS)
-    base = (lines.withColumn("_mask", matching_formats("value")).withColumn("detected", detect_format("value"))
-            .withColumn("_block", block_of("line_no", block_rows)))
     # a JSON line with a leading bracket is detected, but does not keep the state
     first = F.array_position(F.array(*[F.lit(f) for f in FORMATS]), F.col("detected")).cast("int") - 1
-    base = base.withColumn("_first", first)
+    # every line is matched against the patterns here, once; the passes below read plain columns
+    base = stage(evaluate_once(with_format(lines, name="detected"), _mask=matching_formats("value"))
+                 .withColumn("_first", first).withColumn("_block", block_of("line_no", block_rows)))
     known = base.filter(F.col("_first") >= 0).select("source", "_block", "line_no", "_mask", "_first")
     order = W.partitionBy("source", "_block").orderBy("line_no")
     same = (F.lag("_mask").over(order) == F.col("_mask")) & (F.lag("_first").over(order) == F.col("_first"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed as X
 from ..functions.base import col, extract, is_ascii, is_blank, literal_map, matches, pattern, strip
 from ..functions.levels import infer_level, norm_level, status_level, syslog_level
+from ..runtime import evaluate_once
 
 SEP = "\x01"
 FORMATS = ["JSON", *X.LINE_PATTERNS]
@@ -32,6 +33,7 @@ FIELDS = {
     "STANDARD": ("$1", "$2", "$3", "$4", "", ""),
     "PLAIN_ISO": ("$1", "$2", "$3", "$4", "", ""),
 }
+RESULT = ["ts_raw", "level", "service", "message", "parsed", "metadata"]
 METADATA_KEYS = {
     "NGINX": ("ip", "status"), "APACHE": ("ip", "status"),
     "APP_LOG": ("thread",), "ZK_LOG": ("thread",), "SPARK_LOG": ("thread",),
@@ -47,10 +49,22 @@ def json_is_valid(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
-def detect_format(line) -> Column:
-    """First format, in the fixed order, whose pattern matches at the start of the line."""
-    line = strip(line)
-    probe = without_pri(line)
+def with_format(df: DataFrame, line: str = "value", name: str = "format") -> DataFrame:
+    """Add the detected format of each line, worked out once."""
+    df = evaluate_once(df, _ln=strip(line))
+    df = evaluate_once(df, _probe=without_pri(F.col("_ln")))
+    return evaluate_once(df, **{name: detect_format("_ln", F.col("_probe"))}).drop("_ln", "_probe")
+
+
+def detect_format(line, probe: Column | None = None) -> Column:
+    """First format, in the fixed order, whose pattern matches at the start of the line.
+
+    ``probe`` is the stripped line without <PRI>, for callers that have it as a column.
+    """
+    if probe is None:
+        line = strip(line)
+        probe = without_pri(line)
+    line = col(line)
 
     def chain(unicode: bool) -> Column:
         out = F.when((probe.startswith("{") | probe.startswith("[")) & json_is_valid(probe), F.lit("JSON"))
@@ -185,10 +199,11 @@ def parse_lines(df: DataFrame, line: str = "value", fmt: str = "format") -> Data
     unparsed entry; its level is guessed from the text, except after a JSON
     error, where it is INFO.
     """
-    df = df.filter(~is_blank(line)).withColumn("_line", strip(line))
-    df = df.withColumn("_obj", F.when(F.col(fmt) == "JSON", json_object("_line")))
-    df = (df.withColumn("_cloud", F.when(F.col("_obj").isNotNull(), cloud_provider("_line", F.col("_obj"))))
-            .withColumn("_parts", _split_groups(F.col("_line"), without_pri(F.col("_line")), F.col(fmt))))
+    columns = df.columns
+    df = evaluate_once(df.filter(~is_blank(line)), _line=strip(line))
+    df = evaluate_once(df, _obj=F.when(F.col(fmt) == "JSON", json_object("_line")),
+                       _parts=_split_groups(F.col("_line"), without_pri(F.col("_line")), F.col(fmt)))
+    df = evaluate_once(df, _cloud=F.when(F.col("_obj").isNotNull(), cloud_provider("_line", F.col("_obj"))))
     line_c, f = F.col("_line"), F.col(fmt)
 
     def part(i: int) -> Column:
@@ -220,19 +235,19 @@ def parse_lines(df: DataFrame, line: str = "value", fmt: str = "format") -> Data
     empty = F.create_map().cast("map<string,string>")
 
     def choose(name: str, text: Column, otherwise: Column) -> Column:
-        return F.when(ok_json, json_f[name]).when(ok_text, text).otherwise(otherwise).alias(name)
-
-    keep = [c for c in df.columns if c not in (line, "_line", "_obj", "_cloud", "_parts", fmt)]
-    return df.select(
-        *keep, f.alias("format"),
-        choose("ts_raw", part(0), F.lit("")),
-        choose("level", level, fallback_level),
-        choose("service", service, F.lit("unknown")),
-        choose("message", message, line_c),
-        line_c.alias("raw"),
-        (ok_json | ok_text).alias("parsed"),
-        F.when(ok_json, json_f["metadata"]).when(ok_text, meta).otherwise(empty).alias("metadata"),
-    )
+        return F.when(ok_json, json_f[name]).when(ok_text, text).otherwise(otherwise)
+
+    keep = [c for c in columns if c not in (line, fmt)]
+    out = evaluate_once(
+        df,
+        **dict(zip(RESULT, [
+            choose("ts_raw", part(0), F.lit("")),
+            choose("level", level, fallback_level),
+            choose("service", service, F.lit("unknown")),
+            choose("message", message, line_c),
+            ok_json | ok_text,
+            F.when(ok_json, json_f["metadata"]).when(ok_text, meta).otherwise(empty)])))
+    return out.select(*keep, f.alias("format"), "ts_raw", "level", "service", "message", line_c.alias("raw"), "parsed", "metadata")
 
 
 def render_entry(level, service, score, message, reasons) -> Column:

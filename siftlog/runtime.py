@@ -38,6 +38,16 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row ``inline``.
+
+    Costly expressions (many regexes) are then worked out once per row: a later
+    filter or projection reads the result and is not rewritten into a copy of
+    the whole expression below.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
     return df.limit(rows + 1).count() <= rows
