@@ -329,12 +329,12 @@ SELECT source, level, count(*) AS lines, max(line_no) AS last_line FROM u GROUP
 
 
 def _labelled(form):
-    make = {"bgl": F.concat(F.when(F.col("level") == "INFO", "-").otherwise("ALERT"), F.lit(" "), F.col("line")),
+    make = lambda: {"bgl": F.concat(F.when(F.col("level") == "INFO", "-").otherwise("ALERT"), F.lit(" "), F.col("line")),
             "labeled": F.concat((F.col("level") != "INFO").cast("int").cast("string"), F.lit("\t"), F.col("line")),
             "jsonl": F.to_json(F.struct((F.col("level") != "INFO").cast("int").alias("label"), "line"))}
 
     def run(spark, sf):
-        rows = C.logs(spark, sf).select(F.col("entry_id").alias("line_no"), make[form].alias("value"))
+        rows = C.logs(spark, sf).select(F.col("entry_id").alias("line_no"), make()[form].alias("value"))
         return labelled.split_labels(rows, form).select("line_no", F.col("label").cast("int"), "line")
     return run
 

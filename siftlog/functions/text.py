@@ -10,6 +10,11 @@ from . import fixed as X
 from .base import col, contains_any, extract_all, is_ascii, literal_map, pattern, strip
 
 
+def fixed_point(x, digits: int) -> Column:
+    """A number with a fixed count of decimals, ties to even."""
+    return F.format_string(f"%.{digits}f", F.bround(col(x), digits))
+
+
 def _masked(c: Column, masks, unicode: bool) -> Column:
     for text, repl, ignore_case in masks:
         c = F.regexp_replace(c, pattern(text, ignore_case, unicode), repl)

@@ -15,7 +15,8 @@ def _epoch(year, month, day, clock) -> Column:
         year.cast("int"), month.cast("int"), day.cast("int"),
         F.get(part, F.lit(0)).cast("int"), F.get(part, F.lit(1)).cast("int"),
         F.get(part, F.lit(2)).cast("decimal(16,6)"), F.lit("UTC"))
-    return (F.unix_micros(stamp) / F.lit(1000000)).cast("double")
+    real = F.get(part, F.lit(2)).cast("int") < 60          # second 60 does not roll over
+    return F.when(real, F.unix_micros(stamp) / F.lit(1000000)).cast("double")
 
 
 def parse_timestamp(text, year: int, respect_offset: bool = False) -> Column:

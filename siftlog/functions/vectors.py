@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed as X
@@ -16,10 +18,18 @@ def l2_norm(v) -> Column:
     return F.sqrt(F.aggregate(col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` bound to a lambda variable, so that it is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def row_normalize(v) -> Column:
     """Unit length; a zero vector stays as it is."""
-    v, n = col(v), l2_norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    def divide(s: Column) -> Column:
+        n = s.getField("n")
+        return F.transform(s.getField("v"), lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+
+    return let(col(v), lambda bound: let(F.struct(bound.alias("v"), l2_norm(bound).alias("n")), divide))
 
 
 def scaled(v: Column, weight: float) -> Column:

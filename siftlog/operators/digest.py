@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clip
+from ..functions.text import clip, fixed_point
 
 MAX_LINES, MAX_CONTEXT = 40, 20
 
@@ -14,14 +14,14 @@ def group_summaries(families: DataFrame, cap: int = 40) -> DataFrame:
     order = [F.desc("max_score"), F.desc("cnt"), F.asc("first_rank")]
     why = F.when(F.size("reasons") > 0, F.concat(F.lit(" | signals: "), F.array_join("reasons", "; "))).otherwise("")
     line = F.concat(F.lit("["), F.col("lvl"), F.lit("] "), F.col("service"), F.lit(" (x"), F.col("cnt").cast("string"),
-                    F.format_string(", score %.2f): ", F.col("max_score")), F.left("sample", F.lit(160)), why)
+                    F.lit(", score "), fixed_point("max_score", 2), F.lit("): "), F.left("sample", F.lit(160)), why)
     return families.orderBy(*order).limit(cap).select("lvl", "service", "family", line.alias("line"))
 
 
 def family_messages(families: DataFrame) -> DataFrame:
     """Representative text of each family for the digest."""
     text = F.concat(F.col("sample"), F.lit(" (occurred ×"), F.format_number("cnt", 0),
-                    F.format_string(", score %.2f)", F.col("max_score")))
+                    F.lit(", score "), fixed_point("max_score", 2), F.lit(")"))
     return families.select(F.col("lvl").alias("level"), "service", text.alias("message"), F.col("max_score").alias("score"),
                            F.array_join("reasons", "; ").alias("reason"), "first_rank", "cnt")
 
@@ -34,7 +34,7 @@ def rca_digest(ranked: DataFrame, context: DataFrame | None = None, source_name:
     """
     total = ranked.select(F.count(F.lit(1)).alias("n")).scalar()
     line = F.concat(F.lit("["), F.col("level"), F.lit("] "), F.col("service"), F.lit(": "), clip("message"),
-                    F.format_string(" score=%.2f", F.col("score")),
+                    F.lit(" score="), fixed_point("score", 2),
                     F.when(F.coalesce("reason", F.lit("")) != "", F.concat(F.lit(" reason="), F.col("reason"))).otherwise(""))
     top = ranked.orderBy("rank_id").limit(MAX_LINES).select("rank_id", line.alias("l"))
     head = F.concat(F.lit("Total anomalies detected locally: "), total.cast("string"),

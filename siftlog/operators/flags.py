@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DetectorConfig
 from ..functions import fixed as X
+from ..functions.text import fixed_point
 
 
 def head_cut(n: int) -> int:
@@ -44,7 +45,7 @@ def incident(entries: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> Data
     share = F.when(F.col("entries") > 0, F.col("severe_entries") / F.col("entries")).otherwise(0.0)
     row = row.withColumn("severe_share", share).withColumn("incident_mode", F.col("severe_share") >= cfg.incident_share)
     note = F.when(F.col("incident_mode"), F.concat(
-        F.format_string("%.0f", F.bround(F.col("severe_share") * 100, 0)),
+        fixed_point(F.col("severe_share") * 100, 0),
         F.lit("% of entries are ERROR or worse — corpus looks like an incident window"))).otherwise("")
     return row.withColumn("incident_note", note)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed as X
 from ..functions.base import col, extract, is_ascii, is_blank, literal_map, matches, pattern, strip
 from ..functions.levels import infer_level, norm_level, status_level, syslog_level
+from ..functions.text import fixed_point
 from ..runtime import evaluate_once
 
 SEP = "\x01"
@@ -256,4 +257,4 @@ def render_entry(level, service, score, message, reasons) -> Column:
     svc = F.when(service.isin("", "unknown"), F.lit("")).otherwise(F.concat(F.lit(" "), service))
     why = F.when(F.size(reasons) > 0, F.concat(F.lit("  ["), F.array_join(reasons, "; "), F.lit("]"))).otherwise("")
     return F.concat(F.lit("["), col(level), F.lit("]"), svc,
-                    F.format_string(" (score %.2f) ", col(score)), col(message), why)
+                    F.lit(" (score "), fixed_point(score, 2), F.lit(") "), col(message), why)

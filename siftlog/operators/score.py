@@ -12,6 +12,7 @@ from ..config import DetectorConfig
 from ..functions import fixed as X
 from ..functions.base import lookup
 from ..functions.levels import has_catastrophe, has_failure
+from ..functions.text import fixed_point
 from ..functions.vectors import soft_cap
 from ..runtime import lookup_join
 from .templates import KEY
@@ -71,7 +72,7 @@ def template_terms(stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
         return F.when(test, F.struct(F.lit(code).alias("code"), text.alias("text")))
 
     def percent(x: Column, digits: int) -> Column:
-        return F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%"))
+        return F.concat(fixed_point(x * 100, digits), F.lit("%"))
 
     lvl = F.col("lvl")
     before_burst = F.array(
@@ -84,7 +85,7 @@ def template_terms(stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
             F.lit("rare pattern ("), F.col("cluster_size").cast("bigint").cast("string"), F.lit(" of "),
             F.col("level_total").cast("string"), F.lit(" "), lvl, F.lit(" entries)"))),
         when(outlier, "outlier", F.concat(F.lit("semantic outlier within "), lvl,
-                                          F.format_string(" level (z=%.1f)", F.col("outlier_z")))),
+                                          F.lit(" level (z="), fixed_point("outlier_z", 1), F.lit(")"))),
         when(rare_template & ~rare_cluster, "rare_template", F.concat(
             F.lit("template seen only "), cnt.cast("string"), F.lit("x"))),
         when(chronic, "chronic", F.concat(F.lit("chronic pattern ("), cnt.cast("string"),
@@ -96,7 +97,7 @@ def template_terms(stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
                                                F.lit(" of the whole file"))),
         when(F.col("recurring"), "recurring", F.concat(
             F.lit("recurring "), lvl, F.lit(" pattern ("), cnt.cast("string"),
-            F.format_string("x, concentration %.2f)", F.col("_conc")))),
+            F.lit("x, concentration "), fixed_point("_conc", 2), F.lit(")"))),
     )
     last = F.array(
         when((sev <= 4) & F.col("novel"), "novel", F.lit("never seen in baseline")),
