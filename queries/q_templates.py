@@ -210,7 +210,7 @@ def with_word_clusters(t):
 
 def with_outliers(t):
     vec = row_normalize(feature_vector("rep.level", "rep.service", "rep.message"))
-    return OU.level_outliers(t.withColumn("vec", vec))
+    return OU.level_outliers(stage(t.withColumn("vec", vec)))
 
 
 def level_outliers(spark, sf):
@@ -317,8 +317,8 @@ _over_scored("anomaly_rows", lambda t, s: s.filter("flagged").select("entry_id",
              || message || CASE WHEN len(reasons) > 0 THEN '  [' || array_to_string(reasons, '; ') || ']' ELSE '' END AS line FROM hit""")
 _over_scored("anomaly_groups", lambda t, s: G.anomaly_groups(s).select(
     "lvl", "template", "cnt", F.round("score", 6).alias("score"), "rep_message", F.array_join("reasons", "; ").alias("reasons"), F.array_join("services", ",").alias("services")),
-    """, rs AS (SELECT lvl, template, r, min(entry_id * 100 + i) AS at FROM (SELECT lvl, template, entry_id, unnest(reasons) AS r, generate_subscripts(reasons, 1) AS i FROM hit) GROUP BY 1, 2, 3),
-    ra AS (SELECT lvl, template, string_agg(r, '; ' ORDER BY at) AS reasons FROM rs GROUP BY 1, 2),
+    """, rs AS (SELECT lvl, template, r, min(entry_id * 100 + i) AS ord FROM (SELECT lvl, template, entry_id, unnest(reasons) AS r, generate_subscripts(reasons, 1) AS i FROM hit) GROUP BY 1, 2, 3),
+    ra AS (SELECT lvl, template, string_agg(r, '; ' ORDER BY ord) AS reasons FROM rs GROUP BY 1, 2),
     sv AS (SELECT lvl, template, array_to_string(list_sort(list_distinct(list(service)))[1:5], ',') AS services FROM hit GROUP BY 1, 2)
     SELECT h.lvl, h.template, count(*) AS cnt, round(max(score), 6) AS score, arg_min(message, entry_id) AS rep_message, any_value(ra.reasons) AS reasons, any_value(sv.services) AS services
     FROM hit h JOIN ra ON ra.lvl = h.lvl AND ra.template = h.template JOIN sv ON sv.lvl = h.lvl AND sv.template = h.template GROUP BY h.lvl, h.template""")
