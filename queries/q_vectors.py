@@ -17,7 +17,7 @@ from .q_templates import prepared
 
 Q, SQL = {}, {}
 CFG = DetectorConfig()
-EPS = 0.95          # radius of the checks on the given vectors
+EPS = 1.14          # radius of the checks on the given vectors
 
 
 def _docs(spark, sf):
