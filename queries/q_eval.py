@@ -62,7 +62,7 @@ def threshold_sweep(spark, sf):
     return c.select(F.round("th", 4).alias("th"), "tp", "flagged", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
 
 
-_CURVE = f"""WITH {_EV}, th AS (SELECT DISTINCT round(score, 4) AS th FROM ev),
+_CURVE = f"""WITH {_EV}, th AS (SELECT DISTINCT round_even(score * 10000, 0) / 10000 AS th FROM ev),
 c AS (SELECT th, count_if(label = 1) AS tp, count(score) AS flagged, (SELECT count_if(label = 1) FROM ev) AS pos FROM th LEFT JOIN ev ON ev.score >= th.th GROUP BY th),
 pr AS (SELECT th, tp, flagged, tp / greatest(flagged, 1)::DOUBLE AS precision, tp / greatest(pos, 1)::DOUBLE AS recall FROM c),
 curve AS (SELECT th, tp, flagged, round(precision, 9) AS precision, round(recall, 9) AS recall, round(2 * precision * recall / greatest(precision + recall, 1e-9::DOUBLE), 9) AS f1 FROM pr)"""

@@ -50,11 +50,16 @@ def is_blank(c: Column | str) -> Column:
     return ~col(c).rlike(r"(?U)\S")
 
 
+def _sql(value) -> str:
+    return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else repr(value) + ("D" if isinstance(value, float) else "")
+
+
 def literal_map(entries: dict) -> Column:
-    flat = []
-    for k, v in entries.items():
-        flat += [F.lit(k), F.lit(v)]
-    return F.create_map(*flat)
+    return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in entries.items()) + ")")
+
+
+def literal_array(values) -> Column:
+    return F.expr("array(" + ", ".join(_sql(v) for v in values) + ")")
 
 
 def lookup(key: Column, entries: dict, default) -> Column:
@@ -64,7 +69,5 @@ def lookup(key: Column, entries: dict, default) -> Column:
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    test = F.lit(False)
-    for w in words:
-        test = test | F.contains(c, F.lit(w))
-    return test
+    """True when any of the plain words occurs in the text, in one pass."""
+    return c.rlike("|".join(words))

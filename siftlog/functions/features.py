@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed as X
-from .base import col, contains_any, extract, extract_all, lookup, matches
+from .base import col, contains_any, extract, extract_all, literal_array, lookup, matches
 from .text import normalize_message
+from .vectors import let
 
 FEATURE_NAMES = [
     "level_score", "error_score", "http_score", "has_number", "max_number", "length_score",
@@ -31,9 +32,7 @@ def feature_columns(level, service, message) -> dict[str, Column]:
     low = F.lower(message)
     normalized = normalize_message(low)
 
-    hits = F.lit(0)
-    for w in X.FEATURE_WORDS:
-        hits = hits + F.contains(normalized, F.lit(w)).cast("int")
+    hits = let(normalized, lambda text: F.size(F.filter(literal_array(X.FEATURE_WORDS), lambda w: F.contains(text, w))))
     status = http_status(message)
     top = F.array_max(F.transform(extract_all(low, X.NUMBER_PATTERN, 1), lambda n: n.cast("double")))
     last_value = F.try_element_at(extract_all(low, X.DURATION_PATTERN, 1), F.lit(-1)).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed as X
-from .base import col, contains_any, extract, lookup, matches
+from .base import col, contains_any, extract, literal_array, lookup, matches
 
 
 def infer_level(text) -> Column:
@@ -21,7 +21,7 @@ def norm_level(token) -> Column:
 def syslog_level(line) -> Column:
     """Level from the <PRI> prefix, else from a ``facility.severity`` word."""
     pri = extract(line, X.PRI_PATTERN, 1)
-    names = F.array(*[F.lit(n) for n in X.SYSLOG_SEVERITY])
+    names = literal_array(X.SYSLOG_SEVERITY)
     word = F.lower(extract(line, X.FACILITY_PATTERN, 1, ignore_case=True))
     return (F.when(pri != "", F.element_at(names, F.pmod(pri.cast("int"), F.lit(8)) + 1))
             .otherwise(lookup(word, X.FACILITY_SEVERITY, "INFO")))

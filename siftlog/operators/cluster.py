@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import lookup_join, stage
+from ..runtime import HOT_ROWS, lookup_join, stage
 from .neighbors import TILE_ROWS, Cells, _matrix, _squared
 
 
@@ -26,15 +26,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     e = link(edges)
     seen = mark(e)
+    many = seen[0] > HOT_ROWS          # below that no node can be hot
+
+    def tie(pairs: DataFrame, low: DataFrame) -> DataFrame:
+        return lookup_join(pairs, stage(low), ["src"]) if many else pairs.join(low, "src")
+
     for _ in range(max_rounds):
         # large star: larger neighbours of u point to the smallest of u's neighbourhood
         both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("_m")).select("src", F.least("src", "_m").alias("_m"))
-        large = lookup_join(both.filter(F.col("dst") > F.col("src")), stage(low), ["src"])
+        large = tie(both.filter(F.col("dst") > F.col("src")), low)
         e = link(large.select(F.col("dst").alias("src"), F.col("_m").alias("dst")))
         # small star: u and its smaller neighbours point to the smallest of them
         low = e.groupBy("src").agg(F.min("dst").alias("_m"))
-        small = lookup_join(e, stage(low), ["src"])
+        small = tie(e, low)
         e = link(small.select(F.col("dst").alias("src"), F.col("_m").alias("dst"))
                  .union(small.select("src", F.col("_m").alias("dst"))))
         now = mark(e)
@@ -84,8 +89,9 @@ def dbscan(points: DataFrame, eps: float, min_samples: float = 4, tile_rows: int
     tested = sums.groupBy("id").agg(F.sum("s").alias("s")).filter(F.col("s") >= min_samples - 1e-9).select("id")
     core = stage(cells.homes.filter(F.col("w") >= min_samples).select("id").union(tested)
                  .withColumn("core", F.lit(True)))
-    homes = lookup_join(cells.homes.select("id", "vec", "home"), core, ["id"], "left").na.fill({"core": False})
-    members = lookup_join(cells.members.select("id", "vec", "cell"), core, ["id"]).drop("core")
+    # ids are unique on both sides of these joins, but for the few cells a point is copied to
+    homes = cells.homes.select("id", "vec", "home").join(core, "id", "left").na.fill({"core": False})
+    members = cells.members.select("id", "vec", "cell").join(core.select("id"), "id")
 
     def span(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         near = _squared(_matrix(x["vec"]), _matrix(y["vec"])) <= limit
@@ -108,10 +114,10 @@ def dbscan(points: DataFrame, eps: float, min_samples: float = 4, tile_rows: int
     comps = connected_components(links.filter("not border").select("src", "dst"))
     solo = core.select(F.col("id").alias("node")).join(comps, "node", "left_anti").withColumn("component", F.col("node"))
     comps = stage(comps.union(solo))
-    touch = lookup_join(links.filter("border").select(F.col("src").alias("id"), F.col("dst").alias("node")), comps, ["node"])
+    touch = links.filter("border").select(F.col("src").alias("id"), F.col("dst").alias("node")).join(comps, "node")
     border = touch.groupBy("id").agg(F.min("component").alias("cluster"))
     labels = (comps.select(F.col("node").alias("id"), F.col("component").alias("cluster"), F.lit(True).alias("core"))
               .union(border.select("id", "cluster", F.lit(False).alias("core"))))
     by_vec = merged.select("id", "vec").join(labels, "id", "left").select(
         "vec", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
-    return lookup_join(points.select("id", "vec"), stage(by_vec), ["vec"]).select("id", "cluster", "core")
+    return points.select("id", "vec").join(by_vec, "vec").select("id", "cluster", "core")

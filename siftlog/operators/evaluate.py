@@ -43,7 +43,7 @@ def threshold_curve(df: DataFrame, score="score", truth="label") -> DataFrame:
     first reduced to (threshold, above or below) counts and only those are
     put in order.
     """
-    th = F.round(col(score), 4)
+    th = F.rint(col(score) * 10000) / 10000               # ties to even
     # rows at or above their own rounded value count from that threshold on, others from the next lower one
     cells = df.groupBy(th.alias("th"), (col(score) >= th).alias("_full")).agg(
         F.count_if(col(truth).cast("boolean")).alias("_p"), F.count(F.lit(1)).alias("_n"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..runtime import stage
 
 TILE_ROWS = 4096
-ROWS_PER_PIVOT, MAX_PIVOTS = 2000, 256
+ROWS_PER_PIVOT, MAX_PIVOTS = 4096, 256
 SAMPLE_ROWS = 5000
 SLACK = 1e-6
 
@@ -48,8 +48,14 @@ class Cells:
     def __init__(self, points: DataFrame, eps: float, tile_rows: int = TILE_ROWS):
         self.eps, self.tile_rows = float(eps), tile_rows
         n = points.count()
-        pivots = self.pivots = choose_pivots(points, n)
         kind = points.schema["id"].dataType.simpleString()
+        self.kind = kind
+        if n <= ROWS_PER_PIVOT:              # one cell; it may still be cut into tiles
+            self.homes = points.select("id", "w", "vec", F.lit(0).alias("home"))
+            self.members = points.select("id", "w", "vec", F.lit(0).alias("cell"))
+            self._home_tiles = self._member_tiles = F.array(F.lit(max(1, -(-n // tile_rows))))
+            return
+        pivots = self.pivots = choose_pivots(points, n)
 
         def home(batches):
             for pdf in batches:
@@ -89,7 +95,6 @@ class Cells:
         tiles = lambda k: max(1, -(-int(k) // tile_rows))
         self._home_tiles = F.array(*[F.lit(tiles(cells.get(j, (0, 0))[0])) for j in range(len(pivots))])
         self._member_tiles = F.array(*[F.lit(tiles(sizes.get(j, 0))) for j in range(len(pivots))])
-        self.kind = kind
 
     def run(self, left: DataFrame, right: DataFrame, fn: Callable, schema: str) -> DataFrame:
         """Apply ``fn(left_tile, right_tile)`` to every pair of tiles of every cell.
@@ -100,6 +105,8 @@ class Cells:
         a = (left.withColumnRenamed("home", "cell")
              .withColumn("ht", F.pmod(F.xxhash64("id", F.lit(1)), hn).cast("int"))
              .withColumn("mt", F.explode(F.sequence(F.lit(0), mn - 1))))
+        # both sides may come from one table: give the right side columns of its own
+        right = right.select(*[F.col(c).alias(c) for c in right.columns])
         b = (right.withColumn("mt", F.pmod(F.xxhash64("id", F.lit(2)), mn).cast("int"))
              .withColumn("ht", F.explode(F.sequence(F.lit(0), hn - 1))))
         keys = ["cell", "ht", "mt"]

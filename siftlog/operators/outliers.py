@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import dot, row_normalize
-from ..runtime import lookup_join
 from .textvec import mean_vector
 
 MIN_TEMPLATES, SIGMAS, MIN_DISTANCE = 4, 2.0, 0.05
@@ -22,14 +21,15 @@ def level_outliers(vectors: DataFrame, level: str = "lvl") -> DataFrame:
                .filter(F.col("_k") >= MIN_TEMPLATES)
                .filter(F.exists("_c", lambda x: x != 0.0))
                .select(level, row_normalize("_c").alias("_c")))
-    away = lookup_join(vectors, centres, [level], "left").withColumn(
+    away = vectors.join(centres, level, "left").withColumn(
         "_d", F.when(F.col("_c").isNotNull(), 1.0 - dot(F.col("vec").cast("array<double>"), "_c"))).drop("_c")
     w = F.col("cnt").cast("double")
-    means = away.filter(F.col("_d").isNotNull()).groupBy(level).agg((F.sum(w * F.col("_d")) / F.sum(w)).alias("_m"))
-    away = lookup_join(away, means, [level], "left")
-    spread = (away.filter(F.col("_d").isNotNull()).groupBy(level)
-              .agg(F.sqrt(F.sum(w * (F.col("_d") - F.col("_m")) * (F.col("_d") - F.col("_m"))) / F.sum(w)).alias("_s")))
-    away = lookup_join(away, spread, [level], "left")
+    # weighted mean and spread in one pass; distances lie in [0, 2]
+    d = F.col("_d")
+    moments = away.filter(d.isNotNull()).groupBy(level).agg(
+        (F.sum(w * d) / F.sum(w)).alias("_m"), (F.sum(w * d * d) / F.sum(w)).alias("_q"))
+    moments = moments.select(level, "_m", F.sqrt(F.greatest(F.col("_q") - F.col("_m") * F.col("_m"), F.lit(0.0))).alias("_s"))
+    away = away.join(moments, level, "left")
     hit = F.coalesce((F.col("_d") > F.col("_m") + SIGMAS * F.col("_s")) & (F.col("_d") > MIN_DISTANCE), F.lit(False))
     z = F.when(F.col("_s") > 1e-9, (F.col("_d") - F.col("_m")) / F.col("_s")).otherwise(10.0)
     return (away.withColumn("outlier", hit)

@@ -22,7 +22,7 @@ def add_level_and_cluster_sizes(templates: DataFrame) -> DataFrame:
     """Entries per level and per cluster, summed from the template counts."""
     levels = templates.groupBy("lvl").agg(F.sum("cnt").alias("level_total"))
     clusters = templates.groupBy("cluster").agg(F.sum("cnt").alias("cluster_size"))
-    return lookup_join(lookup_join(templates, levels, ["lvl"]), clusters, ["cluster"])
+    return templates.join(levels, "lvl").join(clusters, "cluster")
 
 
 def template_terms(stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.fixed import BASE_SYNONYMS, STOPWORDS
 from ..functions.text import learner_tokens
-from ..runtime import lookup_join, stage
+from ..runtime import stage
 
 REACH = 3
 OVERLAP = 0.6
@@ -55,7 +55,7 @@ def learn_synonyms(messages: DataFrame, message: str = "message", min_cooc: int
     freq = word_frequency(sequences)
     cooc = stage(word_cooccurrence(sequences))
     fanout = cooc.groupBy("other").agg(F.count(F.lit(1)).alias("fan"))
-    ctx = lookup_join(cooc, stage(fanout), ["other"])
+    ctx = cooc.join(fanout, "other")
 
     # the lightest contexts by fan-out whose weight exceeds (1 - threshold) of the total
     rare_ok = ~F.col("word").isin(*BASE_SYNONYMS, *STOPWORDS)
@@ -68,9 +68,9 @@ def learn_synonyms(messages: DataFrame, message: str = "message", min_cooc: int
     prefix = weighed.filter((F.col("total") >= min_cooc) & (F.col("before") <= slack + 1e-9)).select("word", "other")
 
     # a partner shares min_cooc contexts, so it has at least that many itself
-    sized = stage(freq.join(cooc.groupBy("word").agg(F.sum("cnt").alias("_t")).filter(F.col("_t") >= min_cooc).select("word"), "word"))
-    rare_side = lookup_join(prefix, sized, ["word"]).withColumnRenamed("word", "rare").withColumnRenamed("freq", "rare_freq")
-    common_side = (lookup_join(cooc.select("word", "other"), sized, ["word"])
+    sized = (freq.join(cooc.groupBy("word").agg(F.sum("cnt").alias("_t")).filter(F.col("_t") >= min_cooc).select("word"), "word"))
+    rare_side = prefix.join(sized, "word").withColumnRenamed("word", "rare").withColumnRenamed("freq", "rare_freq")
+    common_side = (cooc.select("word", "other").join(sized, "word")
                    .withColumnRenamed("word", "common").withColumnRenamed("freq", "common_freq"))
     r, c = F.col("rare"), F.col("common")
     overlap = F.size(F.array_intersect(_letters(r), _letters(c))) / F.size(_letters(r))

@@ -53,7 +53,7 @@ def fit_vocabulary(docs: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
     first, so the terms of a text are produced once however often it repeats.
     """
     texts = docs.groupBy("norm").agg(F.count(F.lit(1)).alias("w"))
-    n = texts.select(F.coalesce(F.sum("w"), F.lit(0)).alias("n")).scalar()
+    n = docs.select(F.count(F.lit(1)).alias("n")).scalar()
     marks = F.concat(
         F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
         F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))

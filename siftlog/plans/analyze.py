@@ -78,7 +78,7 @@ def parse_logs(lines: DataFrame, fmt: str | None = None, independent_lines: bool
 def template_vectors(prepared: DataFrame, templates: DataFrame, cfg: DetectorConfig, synonyms: DataFrame | None = None) -> DataFrame:
     """Fast mode: synonyms and vocabulary from all lines, vectors of the representatives."""
     if synonyms is None and cfg.learn_synonyms:
-        synonyms = stage(SY.merged_dictionary(SY.learn_synonyms(prepared)))
+        synonyms = stage(SY.merged_dictionary(SY.learn_synonyms(prepared.select("message"))))
     docs = TV.with_normalized(prepared.select("message"), synonyms)
     vocabulary = stage(TV.fit_vocabulary(docs, cfg))
     return TV.embed_templates(templates, vocabulary, cfg, synonyms)
@@ -100,7 +100,7 @@ def detect(entries: DataFrame, cfg: DetectorConfig = DetectorConfig(), baseline:
     if cfg.enable_burst:
         hot = stage(BU.hot_windows(BU.with_window(prepared, cfg), cfg))
     marked = BU.mark_bursts(prepared, cfg, hot)
-    templates = stage(TP.build_templates(marked, FL.head_cut(n)))
+    templates = TP.build_templates(marked, FL.head_cut(n))
     if baseline is not None:
         templates = BL.compare(templates, baseline, F.lit(n), cfg)
     templates = stage(FL.add_flags(templates, n, cfg, has_baseline=baseline is not None))
@@ -111,7 +111,7 @@ def detect(entries: DataFrame, cfg: DetectorConfig = DetectorConfig(), baseline:
     points = vectors.join(templates.select("template_id", F.col("cnt").alias("w")), "template_id").select(
         F.col("template_id").alias("id"), "w", "vec")
     eps = cfg.eps if cfg.eps is not None else float(NB.estimate_eps(points, cfg.min_samples).first()["eps"])
-    labels = stage(CL.dbscan(points, eps, cfg.min_samples).select(F.col("id").alias("template_id"), "cluster"))
+    labels = CL.dbscan(points, eps, cfg.min_samples).select(F.col("id").alias("template_id"), "cluster")
 
     joined = stage(templates.join(labels, "template_id").join(vectors, "template_id"))
     stats = stage(SR.add_level_and_cluster_sizes(OU.level_outliers(joined).drop("vec")))
