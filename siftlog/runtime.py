@@ -109,3 +109,15 @@ def number_ordered(df: DataFrame, order: list[Column], name: str, partitions: in
 def block_of(position: Column | str, rows: int = BLOCK_ROWS) -> Column:
     position = F.col(position) if isinstance(position, str) else position
     return F.floor(position / F.lit(rows)).cast("bigint")
+
+
+def number_as_read(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Contiguous numbers in reading order: staged once, then one offset per partition."""
+    rows = stage(df.withColumn("_mid", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_mid", 33))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "_first", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + start).alias("_off"))
+    return (rows.join(F.broadcast(offsets), "_part")                       # one row per read partition
+            .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("bigint"))
+            .drop("_part", "_mid", "_first", "_off"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.synonyms import corpus_fingerprint
@@ -31,16 +32,26 @@ def load_synonyms(messages: DataFrame, path: str, version: int = 2) -> DataFrame
             .select("word", "replacement"))
 
 
-def fan_out(rows: list[dict], channels: dict[str, Callable]) -> dict[str, int]:
-    """Offer each row to each channel; a failing channel is counted and does not stop the others."""
-    sent = errors = 0
-    for row in rows:
-        ok = False
-        for send in channels.values():
-            try:
-                send(row)
-                ok = True
-            except Exception:
-                errors += 1
-        sent += ok
-    return {"sent": sent, "errors": errors}
+def deliver(alerts: DataFrame, channels: dict[str, Callable], key: str = "alert_id") -> DataFrame:
+    """``key, sent, errors``: each alert is offered to each channel, on the executors.
+
+    A failing channel is counted and does not stop the others; an alert counts
+    as sent when one channel took it.  Channels are user functions of one dict.
+    """
+    kind = alerts.schema[key].dataType.simpleString()
+
+    def work(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                sent, errors = False, 0
+                for send in channels.values():
+                    try:
+                        send(row)
+                        sent = True
+                    except Exception:
+                        errors += 1
+                out.append((row[key], sent, errors))
+            yield pd.DataFrame(out, columns=[key, "sent", "errors"])
+
+    return alerts.mapInPandas(work, f"{key} {kind}, sent boolean, errors int")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..config import DetectorConfig
 from ..functions import fixed as X
-from ..functions.levels import severity
+from ..functions.levels import is_benign_live, severity
+from ..functions.times import parse_timestamp
+from ..operators.parse import parse_lines, with_format
+from ..plans.analyze import detect
+from ..runtime import number_as_read, stage
 
 
 def immediate(entries: DataFrame) -> DataFrame:
@@ -14,3 +19,117 @@ def immediate(entries: DataFrame) -> DataFrame:
     return (entries.filter(sev <= 2)
             .withColumn("score", F.when(sev <= X.HARD_FLAG_SEVERITY, F.lit(1.0)).otherwise(F.lit(0.95)))
             .withColumn("reasons", F.array(F.concat(F.upper("level"), F.lit(" severity — surfaced immediately")))))
+
+
+def parsed_stream(lines: DataFrame, fmt: str | None = None) -> DataFrame:
+    """Streaming lines (``source, value``) → entries, each line in its own format; stateless."""
+    lines = with_format(lines) if fmt is None else lines.withColumn("format", F.lit(fmt))
+    return parse_lines(lines)
+
+
+def level_counts(entries: DataFrame) -> DataFrame:
+    """Cumulative counts by level of the whole stream (complete or update mode)."""
+    return entries.groupBy(F.upper("level").alias("level")).agg(F.count(F.lit(1)).alias("cnt"), F.first(severity("level")).alias("sev"))
+
+
+def incident_from_counts(counts: DataFrame, share: float = 0.30) -> DataFrame:
+    """One row from a level-count table: entries, severe share, incident flag."""
+    row = counts.agg(F.sum("cnt").alias("entries"), F.sum(F.when(F.col("sev") <= 3, F.col("cnt")).otherwise(0)).alias("severe"))
+    s = F.when(F.col("entries") > 0, F.col("severe") / F.col("entries")).otherwise(0.0)
+    return row.select("entries", s.alias("severe_share"), (s >= share).alias("incident"))
+
+
+def rates(entries: DataFrame, year: int, late: str = "10 minutes", width: str = "60 seconds") -> DataFrame:
+    """Entries per severity and minute in event time, with a watermark for late lines."""
+    stamped = entries.withColumn("event_time", F.timestamp_micros((parse_timestamp("ts_raw", year) * 1000000).cast("bigint")))
+    return (stamped.withWatermark("event_time", late)
+            .groupBy(F.window("event_time", width).alias("w"), severity("level").alias("sev"))
+            .agg(F.count(F.lit(1)).alias("cnt")).select(F.col("w.start").alias("start"), "sev", "cnt"))
+
+
+ENTRY = ["ts_raw", "level", "service", "message"]
+
+
+class LiveDetector:
+    """Rescoring of the last ``window`` entries with exactly-once reporting.
+
+    Used as the ``foreachBatch`` function of one stream of entries.  The state
+    after micro-batch b lies in ``<state>/window/batch=b``; the rows reported
+    by b lie in ``<sink>/batch=b``.  Both are overwritten when b runs again, so
+    a repeated batch repeats its rows and nothing is reported twice.  A batch
+    larger than the window is scored whole and then trimmed.
+    """
+
+    def __init__(self, state: str, sink: str, window: int = 500, min_window: int = 10,
+                 cfg: DetectorConfig = DetectorConfig(), suppress_info: bool = True, on_anomaly=None):
+        self.state, self.sink = state.rstrip("/"), sink.rstrip("/")
+        self.window, self.min_window, self.cfg = window, min_window, cfg
+        self.suppress_info, self.on_anomaly = suppress_info, on_anomaly
+        self.rescore_errors = 0
+
+    def start(self, entries: DataFrame, checkpoint: str, **trigger):
+        return (entries.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+                .trigger(**(trigger or {"processingTime": "3 seconds"})).start())
+
+    def _previous(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        if batch_id == 0:
+            return None
+        return spark.read.parquet(f"{self.state}/window/batch={batch_id - 1}")
+
+    def process(self, batch: DataFrame, batch_id: int, force: bool = False) -> None:
+        spark = batch.sparkSession
+        before = self._previous(spark, batch_id)
+        top = before.agg(F.max("seq")).first()[0] if before is not None else None
+        new = number_as_read(batch.select(*ENTRY), "seq", 0 if top is None else top + 1).withColumn("reported", F.lit(False))
+        rows = new if before is None else before.select(*new.columns).unionByName(new)
+
+        urgent = immediate(new).select("seq", *ENTRY, "score", "reasons")
+        rows = stage(rows.withColumn("reported", F.col("reported") | ((severity("level") <= 2) & (F.col("seq") > F.lit(-1 if top is None else top)))))
+        found, benign = None, None
+        if force or rows.count() >= self.min_window:
+            try:
+                found, benign = self._rescore(rows)
+            except Exception:           # a failed rescore is counted; the stream goes on
+                self.rescore_errors += 1
+        out = urgent if found is None else urgent.unionByName(found)
+        out.write.mode("overwrite").parquet(f"{self.sink}/batch={batch_id}")
+
+        kept = rows.orderBy(F.desc("seq")).limit(self.window)
+        if found is not None:
+            done = found.select("seq").union(benign.select("seq")).withColumn("_now", F.lit(True))
+            kept = kept.join(done, "seq", "left").withColumn("reported", F.col("reported") | F.coalesce("_now", F.lit(False))).drop("_now")
+        kept.write.mode("overwrite").parquet(f"{self.state}/window/batch={batch_id}")
+        if self.on_anomaly is not None:
+            self._notify(spark.read.parquet(f"{self.sink}/batch={batch_id}"))
+
+    def _rescore(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Flagged rows of the window that were not reported: (to report, benign ones to pass over)."""
+        low = rows.agg(F.min("seq")).first()[0]
+        entries = rows.withColumn("entry_id", F.col("seq") - F.lit(low))
+        scored = detect(entries, self.cfg).scored
+        hits = scored.filter("flagged").join(rows.filter("reported").select("seq"), "seq", "left_anti")
+        mild = is_benign_live("level", "message") if self.suppress_info else F.lit(False)
+        hits = stage(hits.withColumn("_mild", mild).select("seq", *ENTRY, "score", "reasons", "_mild"))
+        return hits.filter("not _mild").drop("_mild"), hits.filter("_mild")
+
+    def _notify(self, rows: DataFrame) -> None:
+        """Offer each reported row to the user function on the executors; its errors stay there."""
+        fn = self.on_anomaly
+
+        def call(part):
+            for r in part:
+                try:
+                    fn(r.asDict())
+                except Exception:
+                    pass
+
+        rows.foreachPartition(call)
+
+    def flush(self, spark: SparkSession, batch_id: int) -> None:
+        """One forced rescore of what is in the window, for the end of a stream."""
+        last = self._previous(spark, batch_id)
+        if last is not None:
+            self.process(last.select(*ENTRY).limit(0), batch_id, force=True)
+
+    def anomalies(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.sink)
