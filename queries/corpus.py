@@ -171,7 +171,7 @@ def _once(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """Text corpora are written once per application, as a log store would hold them."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _staged:
-        _staged[key] = stage(build())
+        _staged[key] = stage(build().repartition(spark.sparkContext.defaultParallelism))
     return _staged[key]
 
 

@@ -13,6 +13,10 @@ from ..runtime import lookup_join, stage
 from ..sources.readers import read_logs
 
 
+RESULT_COLUMNS = {"lvl", "sev", "template", "epoch", "win", "burst", "template_id", "cluster", "raw_score", "score",
+                  "reasons", "reason_codes", "flagged"}
+
+
 @dataclass
 class Detection:
     """Result tables of one run; all lazy except the staged ones."""
@@ -92,6 +96,9 @@ def detect(entries: DataFrame, cfg: DetectorConfig = DetectorConfig(), baseline:
     The entries are staged once with their derived columns; afterwards only
     narrow column sets are read: windows, templates, and the final lookup join.
     """
+    taken = RESULT_COLUMNS & set(entries.columns)
+    if taken:
+        raise ValueError(f"rename these columns, they are results: {sorted(taken)}")
     prepared = stage(TP.prepare(entries, cfg))
     n = prepared.count()
     if n == 0:
