@@ -76,9 +76,12 @@ def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "i
     hot = stage(hot)
     if not fits(hot, broadcast_rows):
         return lookup_join(facts, dim, keys, how, hot_rows * 10, broadcast_rows)
+    # the salt is a function of the row, so a repeated task sends its rows to the same places
+    parts = [f.name for f in facts.schema.fields if "map<" not in f.dataType.simpleString() and f.name not in keys]
+    row = F.xxhash64(*parts) if parts else F.monotonically_increasing_id()
     spread = (facts.join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.when(F.col("_salts").isNull(), 0)
-                          .otherwise(F.floor(F.rand(17) * F.col("_salts")).cast("int"))).drop("_salts"))
+                          .otherwise(F.pmod(row, F.col("_salts")).cast("int"))).drop("_salts"))
     copies = (dim.join(F.broadcast(hot), keys, "left")
               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
               .drop("_salts"))
