@@ -102,8 +102,11 @@ def _unknown_word(token: Column, synonyms: Column, upper_only: bool) -> Column:
 
 def normalize_token(token: Column, synonyms: Column, upper_only: bool = False) -> Column:
     low = F.lower(token)
-    return (F.when(low.rlike(r"^\d+$"), token)
-            .otherwise(F.coalesce(F.try_element_at(synonyms, low), _unknown_word(token, synonyms, upper_only))))
+    known = F.try_element_at(synonyms, low)
+    # a plain lower-case word that does not start with "e" can only be a synonym: no further rule applies
+    return (F.when(token.rlike("^[a-df-z][a-z]*$"), F.coalesce(known, token))
+            .when(low.rlike(r"^\d+$"), token)
+            .otherwise(F.coalesce(known, _unknown_word(token, synonyms, upper_only))))
 
 
 def normalize_message(message, synonyms: dict | None = None, upper_only: bool = False) -> Column:
