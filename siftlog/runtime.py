@@ -9,8 +9,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-BROADCAST_ROWS = 200_000      # a lookup side up to this many rows is broadcast
+BROADCAST_ROWS = 200_000      # a lookup side up to this many rows
+BROADCAST_BYTES = 32 << 20    # and of this many bytes is broadcast
 HOT_ROWS = 500_000            # a key with more rows than this is salted
 BLOCK_ROWS = 1_000_000        # rows of one ordered block
 
@@ -48,9 +50,30 @@ def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
+def row_bytes(schema: StructType, prefix: str = "") -> Column:
+    """About the bytes of a row: 8 for a plain value, the length of texts, the elements of arrays and maps."""
+    total = F.lit(0).cast("bigint")
+    for f in schema.fields:
+        c, kind = F.col(f"{prefix}`{f.name}`"), f.dataType
+        if isinstance(kind, (StringType, BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif isinstance(kind, (ArrayType, MapType)):
+            inner = kind.elementType if isinstance(kind, ArrayType) else kind.valueType
+            if isinstance(inner, (StringType, BinaryType, StructType, ArrayType, MapType)):
+                total = total + F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 8
+            else:
+                total = total + F.coalesce(F.size(c), F.lit(0)) * (8 if isinstance(kind, ArrayType) else 32) + 8
+        elif isinstance(kind, StructType):
+            total = total + row_bytes(kind, f"{prefix}`{f.name}`.")
+        else:
+            total = total + 8
+    return total
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and about ``size`` bytes; reads no more rows than that."""
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(row_bytes(df.schema))).first()
+    return n <= rows and (held or 0) <= size
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
