@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import bpe, ordinal, token_files
+from .contamination import leaks
 from .jaccard import jaccard_groups
 from .suffixes import repeated_spans
 
@@ -14,6 +17,11 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark, sf):
+    """Every (document, test item) pair whose alignment reaches the score."""
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op2_suffix_array_dedup(spark, sf):
     """One row per document: the word spans that repeat an earlier passage of 50 words or more."""
     docs = table(spark, sf, "documents")
@@ -24,9 +32,27 @@ def op2_suffix_array_dedup(spark, sf):
             .select("doc_id", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("spans", none).alias("spans")))
 
 
+def op5_quality_classifier(spark, sf):
+    """Expected grade and P(good) of every document."""
+    docs = table(spark, sf, "documents")
+    model = ordinal.train(docs, ordinal.label_grades(table(spark, sf, "labels")), 3)
+    return ordinal.score(docs.select("doc_id", "text"), model, 2).select("doc_id", "expected_grade", "p_good", "accepted")
+
+
+def op6_bpe_encoding(spark, sf):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decoded(bpe.encoded(docs, path).drop("text"), path))
+
+
+def op9_token_files(spark, sf):
+    manifest = token_files.write_token_files(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_files.token_folder(spark))
+    return token_files.read_token_files(manifest)
+
+
 def op10_ngram_jaccard_join(spark, sf):
     return jaccard_groups(table(spark, sf, "documents"))
 
 
-Q["op2_suffix_array_dedup"] = op2_suffix_array_dedup
-Q["op10_ngram_jaccard_join"] = op10_ngram_jaccard_join
+for _f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op5_quality_classifier, op6_bpe_encoding, op9_token_files, op10_ngram_jaccard_join):
+    Q[_f.__name__] = _f
