@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, ordinal, token_files
+from . import bpe, language, ordinal, token_files
 from .contamination import leaks
 from .jaccard import jaccard_groups
+from .licenses import scan_licenses
 from .suffixes import repeated_spans
+from .urls import judge_pages
+from .vectors import vector_groups
 
 Q, SQL = {}, {}
 
@@ -32,6 +35,16 @@ def op2_suffix_array_dedup(spark, sf):
             .select("doc_id", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("spans", none).alias("spans")))
 
 
+def op3_language_id(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    dictionaries = language.train(docs.filter(~F.col("held_out")))
+    return language.predict(docs.select("doc_id", "held_out", "text"), dictionaries).drop("text")
+
+
+def op4_url_filter(spark, sf):
+    return judge_pages(table(spark, sf, "pages"))
+
+
 def op5_quality_classifier(spark, sf):
     """Expected grade and P(good) of every document."""
     docs = table(spark, sf, "documents")
@@ -45,6 +58,14 @@ def op6_bpe_encoding(spark, sf):
     return bpe.digests(bpe.decoded(bpe.encoded(docs, path).drop("text"), path))
 
 
+def op7_license_scan(spark, sf):
+    return scan_licenses(table(spark, sf, "documents"))
+
+
+def op8_embedding_near_dedup(spark, sf):
+    return vector_groups(table(spark, sf, "embeddings"))
+
+
 def op9_token_files(spark, sf):
     manifest = token_files.write_token_files(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), token_files.token_folder(spark))
     return token_files.read_token_files(manifest)
@@ -54,5 +75,6 @@ def op10_ngram_jaccard_join(spark, sf):
     return jaccard_groups(table(spark, sf, "documents"))
 
 
-for _f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op5_quality_classifier, op6_bpe_encoding, op9_token_files, op10_ngram_jaccard_join):
+for _f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op3_language_id, op4_url_filter, op5_quality_classifier,
+           op6_bpe_encoding, op7_license_scan, op8_embedding_near_dedup, op9_token_files, op10_ngram_jaccard_join):
     Q[_f.__name__] = _f
