@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import lookup_join, number_ordered, stage
+from .exchange import text_batches
 from .words import ALNUM, Words, chunks, grams
 
 SEED_WORDS = 4
@@ -158,6 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     words from 0, last included).  Null or wordless texts and items match nothing,
     rows with equal ids are judged one by one, a null doc_id is returned as null, a null item_id is left out.
     """
+    text_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     kinds = "doc_id long, item_id long, score double, first_word long, last_word long"
     items = stage(benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")))

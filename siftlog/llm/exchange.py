@@ -14,9 +14,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 FLUSH_BYTES = 4 << 20         # a task packs its records after this many bytes
 PACKED = "bucket int, payload binary"
+TEXTS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts stay near a few MB: the default number of rows is lowered, a user's own stays."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, TEXTS_PER_BATCH)
 
 
 def bucket_count(spark: SparkSession, total_bytes: float) -> int:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.cluster import connected_components
 from ..runtime import lookup_join, stage
-from .exchange import PACKED, bucket_count, by_bucket, gather, packed
+from .exchange import PACKED, bucket_count, by_bucket, gather, packed, text_batches
 from .words import Words, chunks, grams, mix, rolling
 
 SEGMENT_BITS = 1 << 20
@@ -191,6 +191,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     an empty set and is alone; rows with equal ids stay rows; a null id never
     links and gets a null component.  Other columns are ignored, an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 

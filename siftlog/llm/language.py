@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .exchange import text_batches
+
 SLOTS = 64                    # training texts of a language
 DICT_BYTES = 64 << 10         # dictionary bytes of a language
 MAX_LANGUAGES = 1000          # more distinct labels are an error, not a cut
@@ -76,6 +78,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
     0, false, and so does every text if there is no dictionary; with one language alone the margin is 1.
     Columns of these names are replaced.
     """
+    text_batches(docs.sparkSession)
     rest = docs.drop("lang_pred", "score", "margin", "accepted")
     at = rest.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)

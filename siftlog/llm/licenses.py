@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .contamination import find
+from .exchange import text_batches
 from .words import ALNUM, Words, chunks, grams, rolling
 
 # Phrases and labels of the base rules.
@@ -95,6 +96,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
     empty texts have no words and empty labels; a null doc_id stays null.
     """
     t = Templates(list(templates), dict(phrases), threshold)
+    text_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
 
     def count(batches):

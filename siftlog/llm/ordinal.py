@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .exchange import text_batches
 from .words import ALNUM, LOWER, SPACED, Words, chunks, mix
 
 FEATURES = 1 << 16
@@ -139,6 +140,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, good: int, min_tail: floa
     A null, empty or wordless text has null figures and is not accepted.  Without a model
     every text with a word is accepted, with null figures.  Columns of these names are replaced.
     """
+    text_batches(docs.sparkSession)
     weights = None if model is None else model.weights.astype(np.float32)
     rest = docs.drop("expected_grade", "p_good", "accepted")
     at = rest.columns.index("text")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import lookup_join, stage
-from .exchange import PACKED, bucket_count, by_bucket, gather, packed
+from .exchange import PACKED, bucket_count, by_bucket, gather, packed, text_batches
 from .words import Words, chunks, grams, sliding
 
 GRAM = 16
@@ -74,6 +74,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     spans, rows with a null id are left out, rows with one id are read as texts of
     their own under that id, in which equal texts count as one.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     given = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -144,7 +145,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             if len(near):
                 yield packed(np.full(len(near), LOCAL, np.int32), _slim(near))
 
-        yield from gather(batches, make, flush, 16 << 20)
+        yield from gather(batches, make, flush, 6 << 20)
 
     second = stage(lookup_join(given, anchors, ["doc_id"]).select("doc_id", "text", "grams").mapInArrow(runs, PACKED))
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import stage, staging_root
 from .bpe import encoder
+from .exchange import text_batches
 from .words import chunks
 
 SHARD_BYTES = 64 << 20        # of text
@@ -44,6 +45,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 0)
     Rows with one id stay rows, in the order of their texts; null ids come first and are
     stored as the smallest 64-bit integer.  ``folder`` must be shared by all executors.
     """
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0

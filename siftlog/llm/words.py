@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20         # texts are worked on in runs of about this many bytes
+CHUNK_BYTES = 1 << 18         # texts are worked on in runs of about this many bytes
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
