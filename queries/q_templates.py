@@ -351,9 +351,9 @@ _over_scored("rca_digest", _digest, FAM + """, rk AS (SELECT *, row_number() OVE
   ctx AS (SELECT entry_id, message AS l FROM scored WHERE score < 0.70 ORDER BY entry_id LIMIT 20)
   SELECT (SELECT count(*) FROM top) AS lines_sent, 'Log source: event log' || chr(10) || 'Total anomalies detected locally: ' || (SELECT count(*) FROM fam) || chr(10) || chr(10) || '--- ANOMALOUS LINES (top, by score) ---' || chr(10)
    || (SELECT string_agg(l, chr(10) ORDER BY k) FROM top) || chr(10) || chr(10) || '--- SURROUNDING NORMAL CONTEXT (sample) ---' || chr(10) || (SELECT string_agg(l, chr(10) ORDER BY entry_id) FROM ctx) AS digest""")
-_over_scored("sorted_anomalies", lambda t, s: G.sorted_anomalies(G.report_rows(_ranked(s.withColumn("score", F.round("score", 12)))), "severity").limit(50).select("entry_id", "level", "service"),
+_over_scored("sorted_anomalies", lambda t, s: G.sorted_anomalies(G.report_rows(_ranked(s.withColumn("score", F.round("score", 12)))), "severity").select("entry_id", "level", "service"),
              f"""SELECT entry_id, level, service FROM hit WHERE upper(level) <> 'INFO' OR {S.any_word('lower(message)', X.REPORT_INFO_WORDS)}
-             ORDER BY {S.case_map('upper(level)', X.SORT_SEVERITY, '2')} DESC, rank_id LIMIT 50""")
+             ORDER BY {S.case_map('upper(level)', X.SORT_SEVERITY, '2')} DESC, rank_id""")
 _over_scored("explain_top", lambda t, s: G.explain_top(s.withColumn("score", F.round("score", 9)), 25).select("entry_id", "score", F.array_join("reasons", "; ").alias("reasons")),
              "SELECT entry_id, round(score, 9) AS score, array_to_string(reasons, '; ') AS reasons FROM scored ORDER BY round(score, 9) DESC, entry_id LIMIT 25")
 _over_scored("cluster_sizes", lambda t, s: G.cluster_sizes(t), "SELECT cluster, CAST(sum(cnt) AS BIGINT) AS entries, count(*) AS templates FROM st GROUP BY cluster")

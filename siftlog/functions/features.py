@@ -24,7 +24,7 @@ def http_status(message) -> Column:
     """First status code that stands in an HTTP context, NULL when there is none."""
     first = extract(message, X.HTTP_PATTERN, 1, ignore_case=True)
     second = extract(message, X.HTTP_PATTERN, 2, ignore_case=True)
-    return F.when(first != "", first).when(second != "", second).cast("int")
+    return F.when(first != "", first).when(second != "", second).try_cast("int")
 
 
 def feature_columns(level, service, message) -> dict[str, Column]:
@@ -34,8 +34,8 @@ def feature_columns(level, service, message) -> dict[str, Column]:
 
     hits = let(normalized, lambda text: F.size(F.filter(literal_array(X.FEATURE_WORDS), lambda w: F.contains(text, w))))
     status = http_status(message)
-    top = F.array_max(F.transform(extract_all(low, X.NUMBER_PATTERN, 1), lambda n: n.cast("double")))
-    last_value = F.try_element_at(extract_all(low, X.DURATION_PATTERN, 1), F.lit(-1)).cast("double")
+    top = F.array_max(F.transform(extract_all(low, X.NUMBER_PATTERN, 1), lambda n: n.try_cast("double")))
+    last_value = F.try_element_at(extract_all(low, X.DURATION_PATTERN, 1), F.lit(-1)).try_cast("double")
     last_unit = F.try_element_at(extract_all(low, X.DURATION_PATTERN, 2), F.lit(-1))
     seconds = (F.when(last_unit == "ms", last_value / 1000)
                .when(last_unit.isin("minutes", "min"), last_value * 60).otherwise(last_value))
@@ -54,7 +54,7 @@ def feature_columns(level, service, message) -> dict[str, Column]:
         _flag(last_unit.isNotNull()),
         F.coalesce(F.least(F.log1p(seconds) / 10.0, F.lit(1.0)), F.lit(0.0)),
         _flag(matches(low, X.MEMORY_PATTERN, ignore_case=True)),
-        F.when(repeats != "", F.least(repeats.cast("double") / 100.0, F.lit(1.0))).otherwise(F.lit(0.0)),
+        F.when(repeats != "", F.least(repeats.try_cast("double") / 100.0, F.lit(1.0))).otherwise(F.lit(0.0)),
         _flag(~F.lower(F.coalesce(service, F.lit(""))).isin("", "unknown")),
     ]
     return dict(zip(FEATURE_NAMES, values))

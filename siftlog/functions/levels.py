@@ -23,12 +23,12 @@ def syslog_level(line) -> Column:
     pri = extract(line, X.PRI_PATTERN, 1)
     names = literal_array(X.SYSLOG_SEVERITY)
     word = F.lower(extract(line, X.FACILITY_PATTERN, 1, ignore_case=True))
-    return (F.when(pri != "", F.element_at(names, F.pmod(pri.cast("int"), F.lit(8)) + 1))
+    return (F.when(pri != "", F.element_at(names, F.pmod(F.coalesce(pri.try_cast("int"), F.lit(6)), F.lit(8)) + 1))
             .otherwise(lookup(word, X.FACILITY_SEVERITY, "INFO")))
 
 
 def status_level(status) -> Column:
-    status = col(status).cast("int")
+    status = col(status).try_cast("decimal(38,0)")
     return (F.when(status.isin(503, 504), "CRITICAL").when(status >= 500, "ERROR")
             .when(status == 404, "INFO").when(status >= 400, "WARN").otherwise("INFO"))
 

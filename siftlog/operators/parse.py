@@ -213,7 +213,7 @@ def parse_lines(df: DataFrame, line: str = "value", fmt: str = "format") -> Data
     ok_json, ok_text = F.col("_obj").isNotNull(), F.col("_parts").isNotNull()
     json_f = _json_fields(line_c, F.col("_obj"), F.col("_cloud"))
     access = f.isin("NGINX", "APACHE")
-    message = F.when(access, F.concat(part(3), part(5).cast("decimal(38,0)").cast("string"))).otherwise(strip(part(3)))
+    message = F.when(access, F.concat(part(3), F.coalesce(part(5).try_cast("decimal(38,0)").cast("string"), part(5)))).otherwise(strip(part(3)))
     syslog = syslog_level(line_c)
     level = (F.when(access, status_level(part(5)))
              .when(f.isin("STANDARD", "PLAIN_ISO"), F.upper(part(1)))

@@ -12,11 +12,11 @@ def rolling_counts(entries: DataFrame, measures: dict[str, Column], window: int
     """Running aggregates over the last ``window`` rows of each source.
 
     Each block of consecutive positions is joined by the ``window`` − 1 rows
-    before it, so a source of any size is spread over its blocks.
+    before it, from as many earlier blocks as that takes, so a source of any size
+    is spread over its blocks.
     """
     own = block_of(pos, block_rows)
-    late = F.pmod(F.col(pos), F.lit(block_rows)) >= block_rows - (window - 1)
-    copies = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    copies = F.sequence(own, block_of(F.col(pos) + F.lit(max(window, 1) - 1), block_rows))
     spread = entries.withColumn("_own", own).withColumn("_block", F.explode(copies))
     frame = W.partitionBy(key, "_block").orderBy(pos).rowsBetween(-(window - 1), 0)
     for name, agg in measures.items():

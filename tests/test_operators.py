@@ -140,3 +140,31 @@ def test_delivery_counts(spark):
 
     got = sinks.deliver(spark.createDataFrame([(1, "m")], "alert_id bigint, message string"), {"bad": bad, "good": lambda r: None}).first()
     assert (got["sent"], got["errors"]) == (True, 1)
+
+
+def test_rolling_window_larger_than_a_block(spark):
+    from siftlog.operators.rolling import rolling_counts
+
+    df = spark.createDataFrame([("a", i) for i in range(20)], "source string, pos long")
+    for window in (1, 3, 4, 5, 10, 50):
+        got = [r["n"] for r in rolling_counts(df, {"n": F.count(F.lit(1))}, window, block_rows=4).orderBy("pos").collect()]
+        assert got == [min(i + 1, window) for i in range(20)]
+
+
+def test_nothing_is_novel_to_an_empty_baseline(spark):
+    from siftlog.operators.baseline import compare, novel_templates
+
+    t = spark.createDataFrame([("ERROR", "a <*>", 4)], "lvl string, template string, cnt long")
+    none = spark.createDataFrame([], "template_key string, base_count long")
+    other = spark.createDataFrame([("INFO|b", 3)], "template_key string, base_count long")
+    assert [r["novel"] for r in compare(t, none, F.lit(4)).collect()] == [False] and novel_templates(t, none).count() == 0
+    assert [r["novel"] for r in compare(t, other, F.lit(4)).collect()] == [True] and novel_templates(t, other).count() == 1
+
+
+def test_long_and_foreign_numbers_do_not_end_the_job(spark):
+    from siftlog.functions.features import feature_vector
+    from siftlog.functions.levels import status_level
+
+    df = spark.createDataFrame([("99999999999", "failed after \u0661\u0662\u0663 tries"), ("404", "took 5 ms"), ("x", "")], "s string, m string")
+    rows = df.select(status_level("s").alias("l"), feature_vector(F.lit("INFO"), F.lit("svc"), F.col("m")).alias("v")).collect()
+    assert [r["l"] for r in rows] == ["ERROR", "INFO", "INFO"] and all(len(r["v"]) == 14 for r in rows)
