@@ -16,18 +16,21 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .exchange import text_batches
 from .words import chunks
 
 LEAF = 512                    # characters that are encoded in one go
 AGREE = 2                     # tokens on which a window and each side must agree
 LONG_CHARS = 60_000           # a longer text is encoded in parts over the cluster
-CACHE = 250_000               # pieces that a worker remembers; does not change results
+CACHE = 400_000               # pieces that a worker remembers; does not change results
+MARKS = ",.!?;:"
 NARROW = np.dtype("<u4")
 
 _encoders: dict[str, "Encoder"] = {}
@@ -74,19 +77,29 @@ class Encoder:
     def ids_bytes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit little-endian bytes."""
         split = [self.pieces(t) for t in texts]
-        new = set().union(*split) - self.cache.keys() if split else set()
+        cache = self.cache
+        new = set().union(*split) - cache.keys() if split else set()
+        full, own, marked = len(cache) >= CACHE, set(), []
         if new:
-            if len(self.cache) + len(new) > CACHE:
-                self.cache = {"": b""}
-                new = set().union(*split) - {""}
-            short = [p for p in new if len(p) <= LEAF]
+            # a letter and the mark after it never share a token: word and mark encode apart
+            # (Latin letters only; others may turn into a letter and a sign that joins the mark)
+            marked = [p for p in new if len(p) > 2 and p[-1] in MARKS and p[-2].isalpha() and p[-2] < "\u0130"] if self.known else []
+            new.difference_update(marked)
+            own = new.union((p[:-1] for p in marked), MARKS) - cache.keys()
+            short = [p for p in own if len(p) <= LEAF]
             for p, e in zip(short, self.tok.encode_batch_fast(short, add_special_tokens=False)):
-                self.cache[p] = np.array(e.ids, NARROW).tobytes()
-            for p in new:
+                cache[p] = array("I", e.ids).tobytes()
+            for p in own:
                 if len(p) > LEAF:
-                    self.cache[p] = np.array(self.long_piece(p), NARROW).tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+                    cache[p] = array("I", self.long_piece(p)).tobytes()
+            for p in marked:
+                cache[p] = cache[p[:-1]] + cache[p[-1]]
+        get = cache.__getitem__
+        out = [b"".join(map(get, s)) for s in split]
+        if full:                                              # frequent pieces came early and stay; what came now goes
+            for p in own.union(marked):
+                cache.pop(p, None)
+        return out
 
     # long pieces
 
@@ -172,6 +185,7 @@ def encoded(docs: DataFrame, path: str, long_chars: int = LONG_CHARS) -> DataFra
     A null or empty text has no ids.  All rows stay, equal ones too; a column
     ``ids`` is replaced.  The file at ``path`` must be readable where the tasks run.
     """
+    text_batches(docs.sparkSession)
     docs = docs.drop("ids")
     at = docs.columns.index("text")
     fields = _fields(docs)
@@ -267,6 +281,7 @@ def _glue(enc: Encoder, held: list[str]) -> str:
 
 def decoded(df: DataFrame, path: str) -> DataFrame:
     """``df`` with ``decoded``: the text of ``ids``, special tokens kept; null ids give a null text."""
+    text_batches(df.sparkSession)
     df = df.drop("decoded")
     at = df.columns.index("ids")
 
