@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from array import array
 
 import numpy as np
@@ -29,8 +30,11 @@ from .words import chunks
 LEAF = 512                    # characters that are encoded in one go
 AGREE = 2                     # tokens on which a window and each side must agree
 LONG_CHARS = 60_000           # a longer text is encoded in parts over the cluster
-CACHE = 400_000               # pieces that a worker remembers; does not change results
+CACHE = 800_000               # pieces that a worker remembers; does not change results
 MARKS = ",.!?;:"
+# the byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_SIGNS = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 NARROW = np.dtype("<u4")
 
 _encoders: dict[str, "Encoder"] = {}
@@ -61,6 +65,11 @@ class Encoder:
         self.cache: dict[str, bytes] = {"": b""}
         plain = tok.to_str()
         self.known = self.drops_blanks and '"Removed"' in plain or '"ByteLevel"' in plain and '"use_regex":true' in plain.replace(" ", "")
+        self.bytewise = self.known and not self.drops_blanks and tok.normalizer is None
+        # no special token may lie in a word and its marks: each starts with a mark and holds a letter or digit
+        apart = self.known and all(not t[0].isalnum() and any(map(str.isalnum, t)) for t in special if t)
+        self.marks = "" if not apart else string.punctuation if self.bytewise else MARKS
+        self.bytewise = self.bytewise and apart
 
     # pieces
 
@@ -70,7 +79,7 @@ class Encoder:
             return [text]
         if self.drops_blanks:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if "\x00" in text or _UNEVEN.search(text):
+        if any(b in text for b in _UNEVEN):
             return _BEFORE_BLANK.split(text)
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
@@ -78,29 +87,44 @@ class Encoder:
         """Ids of each text as unsigned 32-bit little-endian bytes."""
         split = [self.pieces(t) for t in texts]
         cache = self.cache
-        new = set().union(*split) - cache.keys() if split else set()
-        full, own, marked = len(cache) >= CACHE, set(), []
+        new = set().union(*split).difference(cache) if split else set()      # of the dict: its key view would be walked whole
+        full, own = len(cache) >= CACHE, set(new)
         if new:
-            # a letter and the mark after it never share a token: word and mark encode apart
-            # (Latin letters only; others may turn into a letter and a sign that joins the mark)
-            marked = [p for p in new if len(p) > 2 and p[-1] in MARKS and p[-2].isalpha() and p[-2] < "\u0130"] if self.known else []
-            new.difference_update(marked)
-            own = new.union((p[:-1] for p in marked), MARKS) - cache.keys()
-            short = [p for p in own if len(p) <= LEAF]
+            # a word of letters and the marks after it never share a token: they encode apart
+            ends = {p: q for p in new if (q := p.rstrip(self.marks)) != p and self.is_word(q)} if self.marks else {}
+            new.difference_update(ends)
+            new.update(ends.values(), (p[len(q):] for p, q in ends.items()))
+            new = new.difference(cache)
+            own |= new
+            words = [p for p in new if self.bytewise and len(p) <= LEAF and self.is_word(p)]
+            cache.update(zip(words, map(self.word, words)))
+            new.difference_update(words)
+            short = [p for p in new if len(p) <= LEAF]
             for p, e in zip(short, self.tok.encode_batch_fast(short, add_special_tokens=False)):
                 cache[p] = array("I", e.ids).tobytes()
-            for p in own:
+            for p in new:
                 if len(p) > LEAF:
                     cache[p] = array("I", self.long_piece(p)).tobytes()
-            for p in marked:
-                cache[p] = cache[p[:-1]] + cache[p[-1]]
+            for p, q in ends.items():
+                cache[p] = cache[q] + cache[p[len(q):]]
         get = cache.__getitem__
         out = [b"".join(map(get, s)) for s in split]
         if full:                                              # frequent pieces came early and stay; what came now goes
-            for p in own.union(marked):
+            for p in own:
                 cache.pop(p, None)
         return out
 
+    @staticmethod
+    def is_word(p: str) -> bool:
+        """Latin letters, with or without a blank before them (letters of other alphabets may turn into a letter and a sign)."""
+        body = p[1:] if p[:1] == " " else p
+        return body.isalpha() and (body.isascii() or max(body) < "\u0130")
+
+    def word(self, p: str) -> bytes:
+        """Ids of a word that the byte-level splitter leaves whole: straight from the merges."""
+        signs = ("\u0120" + p[1:] if p[0] == " " else p) if p.isascii() else p.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
     # long pieces
 
     def strings(self, piece: str) -> list[tuple[str, int | None]]:
@@ -166,7 +190,8 @@ class Encoder:
         return self.tok.decode(ids.tolist(), skip_special_tokens=False)
 
 
-_UNEVEN = re.compile(r"\s\s|[^\S \n]")
+# two blanks together, or a blank that is neither a space nor a line end
+_UNEVEN = ["\x00", "  ", " \n", "\n ", "\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 _BEFORE_BLANK = re.compile(r"(?<=\S)(?= \S)")
 
 
