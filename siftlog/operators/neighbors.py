@@ -16,13 +16,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..runtime import stage
+from ..runtime import number_ordered, stage
 
 TILE_ROWS = 4096
 ROWS_PER_PIVOT, MAX_PIVOTS = 4096, 256
-SAMPLE_ROWS = 5000
 SLACK = 1e-6
 
 
@@ -42,6 +41,18 @@ def choose_pivots(points: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.array([r[0] for r in rows], dtype=np.float64), axis=0)
 
 
+def _reached(d2: np.ndarray, home: np.ndarray, between: np.ndarray, radius: np.ndarray, eps) -> np.ndarray:
+    """Which cells (columns) can hold a point within ``eps``, one number or one per row, of each row."""
+    eps = np.broadcast_to(np.asarray(eps, dtype=np.float64), len(d2))[:, None]
+    own = np.arange(len(d2)), home
+    gap = between[home]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = np.where(gap > 0, (d2 - d2[own][:, None]) / (2.0 * gap), 0.0)
+    near = (plane <= eps + SLACK) & (np.sqrt(d2) <= radius[None, :] + eps + SLACK)
+    near[own] = True
+    return near
+
+
 class Cells:
     """Points (``id, w, vec``) with home cells, guest cells and tile counts for one ε."""
 
@@ -50,6 +61,7 @@ class Cells:
         n = points.count()
         kind = points.schema["id"].dataType.simpleString()
         self.kind = kind
+        self.pivots = None
         if n <= ROWS_PER_PIVOT:              # one cell; it may still be cut into tiles
             self.homes = points.select("id", "w", "vec", F.lit(0).alias("home"))
             self.members = points.select("id", "w", "vec", F.lit(0).alias("cell"))
@@ -69,39 +81,38 @@ class Cells:
             home, f"id {kind}, w double, vec array<float>, home int, reach double"))
         cells = {r["home"]: (r["n"], r["r"]) for r in self.homes.groupBy("home").agg(
             F.count(F.lit(1)).alias("n"), F.max("reach").alias("r")).collect()}       # one row per pivot
-        radius = np.array([cells.get(j, (0, -np.inf))[1] for j in range(len(pivots))])
-        between = np.sqrt(_squared(pivots, pivots))
+        radius = self.radius = np.array([cells.get(j, (0, -np.inf))[1] for j in range(len(pivots))])
+        between = self.between = np.sqrt(_squared(pivots, pivots))
         eps_ = self.eps
 
         def spread(batches):
             for pdf in batches:
                 if not len(pdf):
                     continue
-                d2 = _squared(_matrix(pdf["vec"]), pivots)
-                h = pdf["home"].to_numpy()
-                mine = d2[np.arange(len(pdf)), h]
-                gap = between[h]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(gap > 0, (d2 - mine[:, None]) / (2.0 * gap), 0.0)
-                near = (plane <= eps_ + SLACK) & (np.sqrt(d2) <= radius[None, :] + eps_ + SLACK)
-                near[np.arange(len(pdf)), h] = True
+                near = _reached(_squared(_matrix(pdf["vec"]), pivots), pdf["home"].to_numpy(), between, radius, eps_)
                 r, c = np.nonzero(near)
                 out = pdf.iloc[r][["id", "w", "vec"]].copy()
                 out["cell"] = c.astype("int32")
                 yield out
 
         self.members = stage(self.homes.mapInPandas(spread, f"id {kind}, w double, vec array<float>, cell int"))
-        sizes = {r["cell"]: r["n"] for r in self.members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        tiles = lambda k: max(1, -(-int(k) // tile_rows))
-        self._home_tiles = F.array(*[F.lit(tiles(cells.get(j, (0, 0))[0])) for j in range(len(pivots))])
-        self._member_tiles = F.array(*[F.lit(tiles(sizes.get(j, 0))) for j in range(len(pivots))])
+        self._home_tiles = self._tiles({j: n for j, (n, _) in cells.items()})
+        self._member_tiles = self.tiles_of(self.members)
+
+    def _tiles(self, sizes: dict[int, int]) -> Column:
+        return F.array(*[F.lit(max(1, -(-int(sizes.get(j, 0)) // self.tile_rows))) for j in range(len(self.pivots))])
+
+    def tiles_of(self, rows: DataFrame) -> Column:
+        """Tiles that the rows of each cell (``cell``) take."""
+        return self._tiles({r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()})      # one row per pivot
 
-    def run(self, left: DataFrame, right: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    def run(self, left: DataFrame, right: DataFrame, fn: Callable, schema: str, tiles: Column | None = None) -> DataFrame:
         """Apply ``fn(left_tile, right_tile)`` to every pair of tiles of every cell.
 
-        ``left`` has home rows (``home``), ``right`` member rows (``cell``).
+        ``left`` has home rows (``home``), ``right`` member rows (``cell``) or others whose ``tiles`` are given.
         """
-        hn, mn = F.element_at(self._home_tiles, F.col("cell") + 1), F.element_at(self._member_tiles, F.col("cell") + 1)
+        right_tiles = self._member_tiles if tiles is None else tiles
+        hn, mn = F.element_at(self._home_tiles, F.col("cell") + 1), F.element_at(right_tiles, F.col("cell") + 1)
         a = (left.withColumnRenamed("home", "cell")
              .withColumn("ht", F.pmod(F.xxhash64("id", F.lit(1)), hn).cast("int"))
              .withColumn("mt", F.explode(F.sequence(F.lit(0), mn - 1))))
@@ -133,54 +144,66 @@ def eps_neighbors(points: DataFrame, eps: float, tile_rows: int = TILE_ROWS) ->
                      f"id {cells.kind}, other {cells.kind}, dist double")
 
 
-def knn_sample(points: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The reference sample of the ε estimate: all points, or the first 5,000 by hash."""
-    return points.orderBy(F.xxhash64("id", F.lit(7))).limit(rows)
+def kth_distance(points: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """``id, dist`` to the k-th nearest other point (the farthest, if there are fewer), exact for all points.
 
-
-def kth_distance(points: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """``id, dist`` to the k-th nearest other point, over the bounded sample of ``points``."""
-    sample = stage(knn_sample(points).select("id", "vec"))
-    n = sample.count()                                    # SAMPLE_ROWS at most
+    The k-th distance within the own cell, or to the k nearest pivots that are other points,
+    bounds the answer from above; only cells within that bound are looked at next.
+    """
+    points = stage(points.select("id", F.lit(1.0).alias("w"), "vec"))
+    n = points.count()
     k = min(k, n - 1)
     if k < 1:
-        return sample.select("id", F.lit(0.0).alias("dist"))
-    blocks = max(1, -(-n // block))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    at = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")
-    kind = sample.schema["id"].dataType.simpleString()
+        return points.select("id", F.lit(0.0).alias("dist"))
+    cells = Cells(points, 0.0, block)
+    kind = cells.kind
 
     def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"id": [], "ds": []})
-        d = np.sqrt(_squared(_matrix(x["vec"]), _matrix(y["vec"])))
-        d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
+        """The k smallest distances from each row of ``y`` to the rows of ``x``."""
+        d = np.sqrt(_squared(_matrix(y["vec"]), _matrix(x["vec"])))
+        d[y["id"].to_numpy()[:, None] == x["id"].to_numpy()[None, :]] = np.inf
         m = min(k, d.shape[1])
         best = np.partition(d, m - 1, axis=1)[:, :m]
-        return pd.DataFrame({"id": x["id"], "ds": [row[np.isfinite(row)].tolist() for row in best]})
+        return pd.DataFrame({"id": y["id"], "ds": [row[np.isfinite(row)].tolist() for row in best]})
+
+    def smallest(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ds"))), 1, k).alias("ds"))
+
+    schema = f"id {kind}, ds array<double>"
+    homes = cells.homes.select("id", "vec", "home")
+    near = smallest(cells.run(homes, cells.members.select("id", "vec", "cell"), nearest, schema))
+    if cells.pivots is not None:
+        near = stage(near)
+        pivots, between, radius = cells.pivots, cells.between, cells.radius
+
+        def guests(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                d2, home = _squared(_matrix(pdf["vec"]), pivots), pdf["home"].to_numpy()
+                bound = pdf["bound"].fillna(np.inf).to_numpy()
+                if len(pivots) > k:            # k of the k + 1 nearest pivots are other points
+                    bound = np.minimum(bound, np.sqrt(np.partition(d2, k, axis=1)[:, k]))
+                new = _reached(d2, home, between, radius, bound) & ~_reached(d2, home, between, radius, 0.0)
+                r, c = np.nonzero(new)
+                out = pdf.iloc[r][["id", "vec"]].copy()
+                out["cell"] = c.astype("int32")
+                yield out
 
-    left = sample.withColumn("r", at).withColumn("c", every)
-    right = sample.withColumn("c", at).withColumn("r", every)
-    parts = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(nearest, f"id {kind}, ds array<double>")
-    return parts.groupBy("id").agg(
-        F.element_at(F.array_sort(F.flatten(F.collect_list("ds"))), k).alias("dist"))
+        bounded = homes.join(near.select("id", F.get("ds", F.lit(k - 1)).alias("bound")), "id")
+        asked = stage(bounded.select("id", "vec", "home", "bound").mapInPandas(guests, f"id {kind}, vec array<float>, cell int"))
+        near = smallest(near.unionByName(cells.run(homes, asked, nearest, schema, cells.tiles_of(asked))))
+    return near.select("id", F.get("ds", F.lit(k - 1)).alias("dist"))
 
 
 def estimate_eps(points: DataFrame, k: int = 4, lo: float = 0.15, hi: float = 0.90) -> DataFrame:
-    """One row ``n, eps``: the elbow of the sorted k-distances, clipped; 0.5 for tiny inputs."""
-    from pyspark.sql import Window as W
-
-    n_all = points.select(F.count(F.lit(1)).alias("n")).scalar()
-    dist = kth_distance(points, k)
-    order = W.orderBy("dist", "id")                       # SAMPLE_ROWS rows at most
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ranked = dist.select("dist", (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy()).alias("m"),
-                         F.first("dist").over(whole).alias("y0"), F.last("dist").over(whole).alias("y1"))
-    x = F.when(F.col("m") > 1, F.col("i") / (F.col("m") - 1)).otherwise(0.0)
-    slope = F.col("y1") - F.col("y0")
-    span = F.sqrt(F.lit(1.0) + slope * slope)
-    chord = F.abs(slope * x - F.col("dist") + F.col("y0")) / span
+    """One row ``n, eps``: the elbow of the sorted k-distances of all points, clipped; 0.5 for tiny inputs."""
+    dist = stage(kth_distance(points, k))
+    m, y0, y1 = dist.agg(F.count(F.lit(1)), F.min("dist"), F.max("dist")).first()
+    ranked = number_ordered(dist, [F.col("dist"), F.col("id")], "i")
+    slope = (y1 or 0.0) - (y0 or 0.0)
+    x = F.col("i") / F.lit(max(m - 1, 1))
+    chord = F.abs(F.lit(slope) * x - F.col("dist") + F.lit(y0)) / F.lit((1.0 + slope * slope) ** 0.5)
     best = ranked.withColumn("d", chord).agg(F.max_by("dist", F.struct(F.round("d", 12), -F.col("i"))).alias("eps"))
-    picked = F.when(n_all <= k + 1, F.lit(0.5)).otherwise(
-        F.least(F.greatest(F.when(F.col("eps") > 0, F.col("eps")).otherwise(0.5), F.lit(lo)), F.lit(hi)))
-    return best.select(n_all.alias("n"), picked.alias("eps"))
+    picked = F.lit(0.5) if m <= k + 1 else F.least(F.greatest(F.when(F.col("eps") > 0, F.col("eps")).otherwise(0.5), F.lit(lo)), F.lit(hi))
+    return best.select(F.lit(m).cast("long").alias("n"), picked.alias("eps"))

@@ -68,6 +68,25 @@ def test_knn_and_eps(spark):
     assert NB.estimate_eps(df.limit(4)).first()["eps"] == 0.5
 
 
+def test_knn_over_many_cells(spark, monkeypatch):
+    """More points than any sample, in groups of one, few and many, against brute force."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 8))
+    v = np.concatenate([c + rng.normal(size=(m, 8)) * s for c, m, s in zip(centres, rng.choice([1, 3, 90, 350], 60), rng.choice([.01, .2, .6], 60))]).astype("float32")
+    v = np.concatenate([v, v[:40]])                       # equal points are points
+    assert len(v) > 5000
+    monkeypatch.setattr(NB, "ROWS_PER_PIVOT", 250)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<float>")
+    a = v.astype(float)
+    want = np.array([np.sort(np.delete(np.sqrt(((a - a[i]) ** 2).sum(1)), i))[3] for i in range(len(a))])
+    got = {r["id"]: r["dist"] for r in NB.kth_distance(df, 4).collect()}
+    assert len(got) == len(v) and all(abs(got[i] - want[i]) < 1e-5 for i in range(len(v)))
+    y = np.sort(want)
+    elbow = y[np.abs((y[-1] - y[0]) * np.arange(len(y)) / (len(y) - 1) - y + y[0]).argmax()]
+    row = NB.estimate_eps(df, 4, lo=0.0, hi=9.0).first()
+    assert row["n"] == len(v) and abs(row["eps"] - elbow) < 1e-3
+
+
 def test_components_of_chain_hub_and_pair(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(300, 299)]
     got = {r["node"]: r["component"] for r in CL.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
