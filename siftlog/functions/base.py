@@ -39,6 +39,16 @@ def is_ascii(c: Column | str) -> Column:
     return F.octet_length(c) == F.char_length(c)
 
 
+_DIGITS = [c for c in map(chr, range(0x80, 0x110000)) if c.isdecimal()]
+
+
+def ascii_digits(c: Column | str) -> Column:
+    """Decimal digits of every script as 0-9, so that what a pattern finds can be cast."""
+    c = col(c)
+    plain = F.translate(c, "".join(_DIGITS), "".join(str(int(d)) for d in _DIGITS))
+    return F.when(is_ascii(c), c).otherwise(plain)
+
+
 def strip(c: Column | str) -> Column:
     """Drop leading and trailing white space of every kind, not only blanks."""
     c = col(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed as X
-from .base import col, contains_any, extract, extract_all, literal_array, lookup, matches
+from .base import ascii_digits, col, contains_any, extract, extract_all, literal_array, lookup, matches
 from .text import normalize_message
 from .vectors import let
 
@@ -22,6 +22,7 @@ def _flag(test: Column) -> Column:
 
 def http_status(message) -> Column:
     """First status code that stands in an HTTP context, NULL when there is none."""
+    message = ascii_digits(message)
     first = extract(message, X.HTTP_PATTERN, 1, ignore_case=True)
     second = extract(message, X.HTTP_PATTERN, 2, ignore_case=True)
     return F.when(first != "", first).when(second != "", second).try_cast("int")
@@ -34,12 +35,13 @@ def feature_columns(level, service, message) -> dict[str, Column]:
 
     hits = let(normalized, lambda text: F.size(F.filter(literal_array(X.FEATURE_WORDS), lambda w: F.contains(text, w))))
     status = http_status(message)
-    top = F.array_max(F.transform(extract_all(low, X.NUMBER_PATTERN, 1), lambda n: n.try_cast("double")))
-    last_value = F.try_element_at(extract_all(low, X.DURATION_PATTERN, 1), F.lit(-1)).try_cast("double")
-    last_unit = F.try_element_at(extract_all(low, X.DURATION_PATTERN, 2), F.lit(-1))
+    digits = ascii_digits(low)
+    top = F.array_max(F.transform(extract_all(digits, X.NUMBER_PATTERN, 1), lambda n: n.try_cast("double")))
+    last_value = F.try_element_at(extract_all(digits, X.DURATION_PATTERN, 1), F.lit(-1)).try_cast("double")
+    last_unit = F.try_element_at(extract_all(digits, X.DURATION_PATTERN, 2), F.lit(-1))
     seconds = (F.when(last_unit == "ms", last_value / 1000)
                .when(last_unit.isin("minutes", "min"), last_value * 60).otherwise(last_value))
-    repeats = extract(low, X.REPEAT_PATTERN, 1, ignore_case=True)
+    repeats = extract(digits, X.REPEAT_PATTERN, 1, ignore_case=True)
 
     values = [
         lookup(F.upper(col(level)), X.FEATURE_LEVEL_WEIGHT, X.DEFAULT_FEATURE_LEVEL_WEIGHT),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed as X
-from .base import extract, lookup, strip
+from .base import ascii_digits, extract, lookup, strip
 
 
 def _epoch(year, month, day, clock) -> Column:
@@ -25,7 +25,7 @@ def parse_timestamp(text, year: int, respect_offset: bool = False) -> Column:
     Fractions and zone offsets of ISO stamps are ignored unless
     ``respect_offset``; stamps without a year get ``year``.
     """
-    t = strip(text)
+    t = ascii_digits(strip(text))
     months = {m: i + 1 for i, m in enumerate(X.MONTHS)}
 
     sec, millis = extract(t, X.EPOCH_PATTERN, 1), extract(t, X.EPOCH_PATTERN, 2)

@@ -15,6 +15,7 @@ from ..functions.text import fixed_point
 from ..runtime import evaluate_once
 
 SEP = "\x01"
+ESCAPE = "\x02"               # stands before a sign of a line that itself holds the separator
 FORMATS = ["JSON", *X.LINE_PATTERNS]
 
 # ts | level token | service | message | first extra | second extra, as group references
@@ -184,13 +185,24 @@ def _split_groups(line: Column, probe: Column, fmt: Column) -> Column:
     def chain(unicode: bool) -> Column:
         out = F.when(F.lit(False), F.lit(None).cast("array<string>"))
         for name, text in X.LINE_PATTERNS.items():
-            subject = probe if name == "SYSLOG" else line
+            subject = _guarded(probe if name == "SYSLOG" else line)
             full = pattern(text + r"[\s\S]*$", unicode=unicode)
             swapped = F.regexp_replace(subject, full, SEP.join(FIELDS[name]) + SEP + "x")
             out = out.when(fmt == name, F.when(swapped != subject, F.split(swapped, SEP)))
         return out
 
-    return F.when(is_ascii(line), chain(False)).otherwise(chain(True))
+    parts = F.when(is_ascii(line), chain(False)).otherwise(chain(True))
+    return F.when(line.contains(SEP), F.transform(parts, _unguarded)).otherwise(parts)
+
+
+def _guarded(line: Column) -> Column:
+    """A line that holds the separator has it, and the escape itself, written as two other control signs."""
+    plain = F.replace(F.replace(line, F.lit(ESCAPE), F.lit(ESCAPE + "\x04")), F.lit(SEP), F.lit(ESCAPE + "\x03"))
+    return F.when(line.contains(SEP), plain).otherwise(line)
+
+
+def _unguarded(part: Column) -> Column:
+    return F.replace(F.replace(part, F.lit(ESCAPE + "\x03"), F.lit(SEP)), F.lit(ESCAPE + "\x04"), F.lit(ESCAPE))
 
 
 def parse_lines(df: DataFrame, line: str = "value", fmt: str = "format") -> DataFrame:

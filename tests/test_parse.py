@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftlog.functions.features import feature_vector
+from siftlog.functions.times import parse_timestamp
 from siftlog.operators import lines as L
 from siftlog.operators.parse import parse_lines, with_format
 from siftlog.plans.analyze import parse_logs
@@ -51,6 +53,21 @@ def test_unicode_digits_and_spaces(spark):
     assert got["format"] == "STANDARD"
 
 
+def test_control_bytes_stay_in_their_field(spark):
+    message = "sent 8=FIX.4.4\x019=12\x0135=D\x02\x03 rejected"
+    rows = [("2024-03-01T08:00:00Z error [gate] " + message,), ("2024-03-01 08:00:00,123 FATAL [main] a.B: " + message,)]
+    for r in parse_lines(with_format(spark.createDataFrame(rows, "value string"))).collect():
+        assert r["message"] == message and r["parsed"]
+
+
+def test_digits_of_other_scripts(spark):
+    east = str.maketrans("0123456789", "".join(chr(0x660 + d) for d in range(10)))
+    stamp, text = "2024-03-01T08:00:05", "failed after 123 tries, http 503, took 45 ms"
+    df = spark.createDataFrame([(stamp, text), (stamp.translate(east), text.translate(east))], "t string, m string")
+    plain, other = df.select(parse_timestamp("t", 2024), feature_vector(F.lit("ERROR"), F.lit("s"), F.col("m"))).collect()
+    assert plain[0] == 1709280005.0 == other[0] and list(plain[1]) == pytest.approx(list(other[1]))
+
+
 def test_multiline_cap_and_leading_continuation(spark):
     rows = [("s", 0, "  first is indented")] + [("s", i, f"  at line{i}") for i in range(1, 450)] + [("s", 450, "head"), ("s", 451, "\tat x")]
     df = spark.createDataFrame(rows, "source string, line_no bigint, value string")
