@@ -103,7 +103,8 @@ def fit(doc: np.ndarray, f: np.ndarray, x: np.ndarray, grade: np.ndarray, grades
 def train(docs: DataFrame, graded: DataFrame, grades: int, max_rows: int = MAX_ROWS) -> OrdinalModel | None:
     """A model from ``graded(doc_id, grade)``; None where no graded text exists.
 
-    Null ids and grades, and grades out of range, are left out; of several grades of one id the lowest counts.
+    Null ids and grades, and grades out of range, are left out; of several grades of one id the lowest counts,
+    and of several texts of one id the smallest in byte order, so at most ``max_rows`` texts reach the driver.
     """
     picked = (graded.filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1))
               .groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
@@ -124,6 +125,7 @@ def train(docs: DataFrame, graded: DataFrame, grades: int, max_rows: int = MAX_R
                     names=["doc_id", "grade", "f", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")      # max_rows rows
+    texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))                 # partial minimums: a repeated id is no hot group
     got = texts.select("doc_id", "text", "grade").mapInArrow(rows, "doc_id long, grade int, f binary, x binary").collect()
     if not got:
         return None

@@ -43,3 +43,12 @@ def test_edges(spark):
     assert train(docs, none, 3) is None
     odd = spark.createDataFrame([(4, None), (4, 7), (None, 1)], "doc_id long, grade int")
     assert train(docs, odd, 3) is None
+
+
+def test_repeated_ids_count_once(spark):
+    texts = [(i, f"{'fine clear' if i % 2 else 'dull vague'} words") for i in range(40)]
+    grades = spark.createDataFrame([(i, 1 + i % 2) for i in range(40)], "doc_id long, grade int")
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    often = spark.createDataFrame(texts + [(7, "zz later text")] + [texts[3]] * 500, "doc_id long, text string")
+    a, b = train(once, grades, 3), train(often, grades, 3)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds)
