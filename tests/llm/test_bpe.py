@@ -81,3 +81,15 @@ def test_token_files_round_trip(spark):
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert read_token_files(write_token_files(df.limit(0), BYTE, token_folder(spark))).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_marks_and_odd_blanks_as_the_library(name):
+    bits = [" ", "  ", "\n", "\t", "don't", "it's", " 's", "Hello", "wörld", "ÀÉ", "日本", "ﬁ", "a1", "99", ".", "!!", "&&&", "'", "<|endoftext|>", "́", "é", "ß",
+            "\x00", "　", "\x85", "_", "İ", "ŭ", "ª", "µ", "word,", '"q"', "$$$", "`"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(8000)]
+    enc = bpe.Encoder(public_tokenizers.path(name))
+    want = [e.ids for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    got = [raw for i in range(0, len(texts), 500) for raw in enc.ids_bytes(texts[i:i + 500])]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
