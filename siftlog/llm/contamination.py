@@ -26,31 +26,30 @@ from .words import ALNUM, Words, chunks, grams
 
 SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
+UNIT = 1 << 32                # one point of score in a cell of the alignment
 MIN_SCORE = 0.5               # of the score of a whole, equal passage
 BLOCK_WORDS = 2_000_000       # words of test items in one broadcast block
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment: score, first word and word after the last in ``passage``."""
-    m = len(passage)
-    steps = np.arange(m + 1, dtype=np.int32) * -GAP
-    table = np.zeros((len(item) + 1, m + 1), np.int32)
-    for i, word in enumerate(item, start=1):
-        row = np.zeros(m + 1, np.int32)
-        np.maximum(table[i - 1, :-1] + np.where(passage == word, MATCH, MISMATCH), table[i - 1, 1:] + GAP, out=row[1:])
-        np.maximum(row, 0, out=row)
-        table[i] = np.maximum.accumulate(row + steps) - steps      # gaps in the item
-    i, j = divmod(int(table.argmax()), m + 1)
-    score, end = int(table[i, j]), j
-    while table[i, j] > 0:
-        here = table[i, j]
-        if i and j and here == table[i - 1, j - 1] + (MATCH if passage[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif i and here == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, j, end
+    """Best local alignment: score, first word and word after the last in ``passage``.
+
+    One row is held, however long the passage is: a cell is its score above 32 bits in which
+    the alignment begins.  Of equal scores in a cell the later beginning is kept, of equal best cells the first.
+    """
+    at = np.arange(len(passage) + 1, dtype=np.int64)           # an empty alignment begins where it stands
+    steps = at * -GAP * UNIT
+    row, best = at, (0, 0, 0)
+    for word in item:
+        new = at.copy()
+        reached = np.maximum(row[:-1] + np.where(passage == word, MATCH * UNIT, MISMATCH * UNIT), row[1:] + GAP * UNIT)
+        np.maximum(new[1:], reached, out=new[1:])
+        row = np.maximum.accumulate(new + steps) - steps       # gaps in the item
+        score = row >> 32
+        end = int(score.argmax())
+        if score[end] > best[0]:
+            best = int(score[end]), int(row[end] & (UNIT - 1)), end
+    return best
 
 
 class Items:

@@ -24,6 +24,14 @@ def test_alignment():
         assert score == plain_align(a, b) and (score == 0 or plain_align(a, b[low:high]) == score)
 
 
+def test_alignment_of_a_very_long_passage():
+    rng = np.random.default_rng(8)
+    item, passage = np.arange(300), rng.integers(1000, 2000, 2_000_000)
+    passage[1_500_000:1_500_300] = item
+    assert align(item[:40], passage) == (80, 1_500_000, 1_500_040)
+    assert align(item, passage[:0]) == (0, 0, 0) and align(item[:0], passage) == (0, 0, 0)
+
+
 def corpus(seed):
     rng = random.Random(seed)
     text = lambda n: [rng.choice(VOCAB) for _ in range(n)]
