@@ -11,7 +11,7 @@ candidate groups; the shingle sets of each group are verified exactly.
 
 Skew: equal sets are one class before anything is compared and are sent once per
 task run; a segment shared by many texts leaves one edge per text, not all
-pairs; a large group is verified in pairs of bounded blocks.
+pairs, made where the text is read: one record per segment and task run is shuffled; a large group is verified in pairs of bounded blocks.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.cluster import connected_components
 from ..runtime import lookup_join, stage
-from .exchange import PACKED, bucket_count, by_bucket, gather, packed, text_batches
+from .exchange import PACKED, bucket_count, gather, packed, text_batches
 from .words import Words, chunks, grams, mix, rolling
 
 SEGMENT_BITS = 1 << 20
 VERIFY_SHINGLES = 1_000_000   # shingles of one block of a verified group
 KEY = np.dtype([("key", "<u8"), ("set", "<i8")])
+EDGE = np.dtype([("src", "<i8"), ("dst", "<i8")])
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,14 +122,20 @@ def segment_keys(h, doc, n, ids, bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, KEY)
 
 
-def shared_keys(rec: np.ndarray) -> pd.DataFrame:
-    """One edge from every set of a key to the smallest set of the key."""
-    rec = np.sort(np.unique(rec), order=("key", "set"))
+def settled(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The record with the smallest set of each key, and an edge to that set from every other set of the key."""
+    rec = np.unique(rec)                                      # in the order (key, set)
     k, s = rec["key"], rec["set"]
     first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
     root = s[np.flatnonzero(first)][np.cumsum(first) - 1] if len(k) else s
-    e = pd.DataFrame({"src": s[~first], "dst": root[~first]})
-    return e.drop_duplicates()
+    edges = np.empty(int((~first).sum()), EDGE)
+    edges["src"], edges["dst"] = s[~first], root[~first]
+    return rec[first], np.unique(edges)
+
+
+def shared_keys(rec: np.ndarray) -> pd.DataFrame:
+    """One edge from every set of a key to the smallest set of the key."""
+    return pd.DataFrame(settled(rec)[1])
 
 
 def linked(ids: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, group: np.ndarray, percent: int) -> pd.DataFrame:
@@ -225,12 +232,19 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
             return segment_keys(h[sel], doc[sel], np.where(use, n, 0), ids, bands)
 
         def flush(rec):
-            rec = np.unique(rec)
+            # one record per key goes to the key's bucket; the other sets of the run are tied to it here
+            rec, own = settled(rec)
             yield packed((rec["key"] % np.uint64(buckets)).astype(np.int32), rec)
+            if len(own):
+                yield packed(-1 - (own["src"].view(np.uint64) % np.uint64(buckets)).astype(np.int32), own)
 
         yield from gather(batches, make, flush)
 
-    edges = by_bucket(given.mapInArrow(keys, PACKED), KEY, shared_keys, "src long, dst long")
+    def tie(bucket: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        raw = b"".join(bytes(p) for p in part["payload"])
+        return pd.DataFrame(np.unique(np.frombuffer(raw, EDGE))) if bucket[0] < 0 else shared_keys(np.frombuffer(raw, KEY))
+
+    edges = given.mapInArrow(keys, PACKED).groupBy("bucket").applyInPandas(tie, "src long, dst long")
     groups = stage(connected_components(stage(edges.distinct())).select(F.col("node").alias("h1"), F.col("component").alias("grp")))
     # the texts to verify: one per class; a large group is cut into blocks, and every pair of blocks is one task's work
     found = stage(classes.join(groups, "h1"))
