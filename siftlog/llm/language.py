@@ -82,7 +82,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
     rest = docs.drop("lang_pred", "score", "margin", "accepted")
     at = rest.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    letter = re.compile(r"[^\W\d_]")
 
     def run(batches):
         made = Compressors(dictionaries)
@@ -91,7 +90,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
                 part = batch.slice(a, 500)
                 lang, margin = [], []
                 for t in part.column(at).to_pylist():
-                    if t is None or not made.langs or not letter.search(t):
+                    if t is None or not made.langs or not any(map(str.isalpha, t)):
                         lang.append("und")
                         margin.append(0.0)
                         continue

@@ -27,7 +27,7 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_edges(spark):
-    df = spark.createDataFrame([(1, "hello there my friend " * 9, "en", 1), (2, "bonjour mon cher ami " * 9, "fr", 1), (3, None, "fr", 1), (4, "123 !", "en", 1), (5, "bonjour mon cher ami, bonjour mon cher ami", None, 1),
+    df = spark.createDataFrame([(1, "hello there my friend " * 9, "en", 1), (2, "bonjour mon cher ami " * 9, "fr", 1), (3, None, "fr", 1), (4, "123² ½ !", "en", 1), (5, "bonjour mon cher ami, bonjour mon cher ami", None, 1),
                                 (6, "", None, 1), (None, "hello there my friend, hello there my friend", None, 1)], "doc_id long, text string, lang string, score int")
     d = language.train(df)
     assert sorted(d) == ["en", "fr"]
