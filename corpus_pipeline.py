@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; rows with a null id stay."""
-    groups = stage(jaccard_groups(docs))
+    """One document of each group of near copies (five-word shingles, 80 %), the one with the smallest id; rows with a null id stay."""
+    groups = stage(jaccard_groups(docs, width=5, percent=80))
     gone = stage(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
     kept = lookup_join(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
     again = stage(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))

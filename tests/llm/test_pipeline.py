@@ -1,10 +1,11 @@
 import hashlib
+import random
 
 import corpus_pipeline as C
 import pytest
 from tokenizers import Tokenizer
 
-from .brute import jaccard, repeats, words
+from .brute import components, jaccard, repeats, shingles, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +77,21 @@ def test_run_and_near_copies_of_odd_rows(spark, outputs):
                                 outputs[0].schema)
     assert sorted((r["doc_id"] or 0) for r in C.near_copies(spark, odd, SF).collect()) == [0, 1, 5]
     assert C.near_copies(spark, odd.limit(0), SF).count() == 0
+
+
+def test_near_copies_take_five_words_and_80_percent(spark, outputs):
+    rng = random.Random(12)
+    texts = []
+    for n in (5, 30, 49, 50, 51, 52, 53, 98, 150, 300):
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        for changes in (0, 1, 2, 3, 5):
+            w = list(base)
+            for k in range(min(changes, n // 10)):
+                w[(k + 1) * n // (changes + 1)] = f"x{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(w))
+    sets = {i: shingles(t, 5) for i, t in enumerate(texts)}
+    close = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = {i for i, c in components(sets, close).items() if i == c}
+    assert want != {i for i, _, c in jaccard(list(enumerate(texts))) if i == c}      # the two bars differ on these texts
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], outputs[0].schema)
+    assert {r["doc_id"] for r in C.near_copies(spark, docs, SF).collect()} == want
