@@ -2,11 +2,12 @@
 
 The tree grows level by level.  At each node
 
-1. a segment with a digit, or any segment of a node with more than ``MAX_BRANCHES``
-   different ones, becomes the wildcard ``*``;
+1. a segment with a digit becomes the wildcard ``*``; so does, in a node with more than
+   ``MAX_BRANCHES`` different ones, each that has less than 1 / ``MAX_BRANCHES`` of the node's pages;
 2. branches whose share of blocked labels does not differ from that of
-   their node by more than Hoeffding's bound merge into one branch ``~``;
-3. the purity of a branch is its blocked share, smoothed towards its parent's.
+   their node by more than Hoeffding's bound merge into one branch ``~``, branches without labels into ``?``;
+3. the purity of a branch is its blocked share, smoothed towards its parent's; that of a host is smoothed
+   towards 0, so a host without labels is not blocked.  A branch without labels has its parent's purity.
 
 A page is rejected when the purity of its template reaches ``MIN_PURITY``.  Everything is
 grouping and joining of counts; a large host is just many counted rows, and its
@@ -33,7 +34,6 @@ MAX_BRANCHES = 32
 CONFIDENCE = 0.05             # of the bound that keeps branches apart
 SMOOTHING = 2.0               # labels that a parent counts for
 MIN_PURITY = 0.5
-MAX_DEPTH = 12                # deeper segments share the template of their twelfth
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,25 +64,26 @@ def _purity(blocked: Column, labelled: Column, prior: Column, smoothing: float)
 def with_templates(pages: DataFrame, max_branches: int = MAX_BRANCHES, smoothing: float = SMOOTHING) -> DataFrame:
     """``pages`` (``host``, ``path``, ``bad``: true, false or null where unlabelled) with ``template`` and ``purity``."""
     names = pages.columns
-    segments = F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, MAX_DEPTH)
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = stage(pages.select(*names, segments.alias("_s"), F.lit("").alias("template")))
     labelled, blocked = F.count("bad").alias("l"), F.count_if("bad").alias("b")
-    depth, l, b = rows.agg(F.max(F.size("_s")), labelled, blocked).first()
+    depth = rows.agg(F.max(F.size("_s"))).first()[0]
     hosts = rows.groupBy("host").agg(labelled, blocked)
-    hosts = stage(hosts.select("host", _purity(F.col("b"), F.col("l"), F.lit(b / l if l else 0.0), smoothing).alias("purity")))
+    hosts = stage(hosts.select("host", _purity(F.col("b"), F.col("l"), F.lit(0.0), smoothing).alias("purity")))
     rows = lookup_join(rows, hosts, ["host"])
     bound = math.sqrt(math.log(2 / CONFIDENCE) / 2)
     for level in range(depth or 0):
         seg = F.get("_s", F.lit(level))
         rows = stage(rows.withColumn("_g", seg))
         deep = rows.filter(F.col("_g").isNotNull())
-        nodes = stage(deep.groupBy("host", "template", "_g").agg(labelled, blocked, F.first("purity").alias("prior")))
-        parents = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+        nodes = stage(deep.groupBy("host", "template", "_g").agg(F.count(F.lit(1)).alias("n"), labelled, blocked, F.first("purity").alias("prior")))
+        parents = nodes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         wide = lookup_join(nodes, stage(parents), ["host", "template"])
-        wide = stage(wide.withColumn("token", F.when(F.col("_g").rlike("[0-9]") | (F.col("k") > max_branches), "*").otherwise(F.col("_g"))))
+        rare = (F.col("k") > max_branches) & (F.col("n") * max_branches < F.col("pn"))
+        wide = stage(wide.withColumn("token", F.when(F.col("_g").rlike("[0-9]") | rare, "*").otherwise(F.col("_g"))))
         branch = wide.groupBy("host", "template", "token").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.first("pl").alias("pl"), F.first("pb").alias("pb"))
         apart = F.abs(F.col("b") / F.col("l") - F.col("pb") / F.col("pl")) > bound * (1 / F.sqrt("l") + 1 / F.sqrt("pl"))
-        branch = stage(branch.withColumn("name", F.when((F.col("l") > 0) & apart, F.col("token")).otherwise("~")).select("host", "template", "token", "name"))
+        branch = stage(branch.withColumn("name", F.when(F.col("l") == 0, "?").when(apart, F.col("token")).otherwise("~")).select("host", "template", "token", "name"))
         wide = lookup_join(wide, branch, ["host", "template", "token"])
         merged = wide.groupBy("host", "template", "name").agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.first("prior").alias("prior"))
         merged = stage(merged.select("host", "template", "name", _purity(F.col("b"), F.col("l"), F.col("prior"), smoothing).alias("next")))

@@ -9,7 +9,7 @@ import pytest
 from siftlog.llm import language
 from siftlog.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, scan_licenses
 from siftlog.llm.queries import Q
-from siftlog.llm.urls import RULES, judge_pages
+from siftlog.llm.urls import RULES, judge_pages, with_templates
 from siftlog.llm.vectors import vector_groups
 
 from .brute import LOWER, components
@@ -78,6 +78,23 @@ def test_url_edges(spark):
     assert got[len(urls) - 1]["verdict"] == "block"            # nearly all labelled pages of that host are blocked
 
 
+def test_url_planted_templates_on_large_hosts(spark):
+    rows = [("wide.org", f"/{'ads' if i % 2 else 'docs'}/{i}", bool(i % 2)) for i in range(200)] + [("wide.org", f"/{a}{b}/p", None) for a in "abcdefgh" for b in "abcdefgh"]
+    rows += [("deep.org", "/a" * 12 + ("/ads" if i % 2 else "/docs"), bool(i % 2)) for i in range(80)]
+    rows += [("wide.org", "/ads/new/x", None), ("wide.org", "/docs/new/x", None), ("deep.org", "/a" * 12 + "/ads", None), ("deep.org", "/a" * 12 + "/docs", None)]
+    rows += [("none.org", "/en/x", None)]
+    got = {(r["host"], r["path"]): r["purity"] for r in with_templates(spark.createDataFrame(rows, "host string, path string, bad boolean")).collect()}
+    assert got["wide.org", "/ads/new/x"] > .5 > got["wide.org", "/docs/new/x"] and got["wide.org", "/aa/p"] < .5
+    assert got["deep.org", "/a" * 12 + "/ads"] > .5 > got["deep.org", "/a" * 12 + "/docs"]
+    assert got["none.org", "/en/x"] == 0
+
+
+def test_url_pages_of_hosts_without_labels_are_allowed(spark):
+    rows = judge_pages(spark.read.parquet(f"{SF}/pages.parquet")).collect()
+    labelled = {r["host"] for r in rows if r["rule"] is not None}
+    assert {r["verdict"] for r in rows if r["host"] not in labelled} == {"allow"}
+
+
 def plain_licenses(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
     base, at = set(), []
