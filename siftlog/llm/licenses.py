@@ -8,7 +8,10 @@ corpus, rarest first, and the join is filtered exactly:
 * length: it holds at least ``need`` template words in all;
 * position: the words after the first shared one, on both sides, still suffice.
 
-A block is a line, or, in a longer line, a window of ``BLOCK`` words every ``BLOCK`` / 2 words.
+A block is any run of words of the whole text, lines or not, of ``BLOCK`` words or twice those of the
+longest template (``across_lines``, as the query has it): the filters choose stretches around prefix words, and
+in these the template words of every run are counted.  Else a block is a line, or, in a longer line, a
+window of ``BLOCK`` words every ``BLOCK`` / 2 words.
 """
 
 from __future__ import annotations
@@ -55,6 +58,7 @@ class Templates:
         self.vocabulary = np.unique(w.hash)
         word = np.searchsorted(self.vocabulary, w.hash)
         self.sets = [np.unique(word[w.doc == i]) for i in range(len(templates))]
+        self.longest = int(w.per_doc.max(initial=0))
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
         p = Words(pa.array(list(phrases), pa.string()), ALNUM)
         self.phrases = [(label, int(p.per_doc[i]), rolling(p.hash[p.first_word[i]:p.first_word[i + 1]], int(p.per_doc[i]))[0])
@@ -88,12 +92,13 @@ class Templates:
         return out
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, block: int = BLOCK,
+                  across_lines: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters.  ``score`` is 1 where
     a base phrase stands, else the best containment of a matching block, else 0.  Null or
-    empty texts have no words and empty labels; a null doc_id stays null.
+    empty texts have no words and empty labels; a null doc_id stays null.  ``across_lines``: see above.
     """
     t = Templates(list(templates), dict(phrases), threshold)
     text_batches(docs.sparkSession)
@@ -115,13 +120,46 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thresho
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), *_scan(part.column(1), t, block)],
+                yield pa.RecordBatch.from_arrays([part.column(0), *_scan(part.column(1), t, block, across_lines)],
                                                  names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     return given.mapInArrow(scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
-def _scan(texts: pa.Array, t: Templates, block: int) -> list[pa.Array]:
+def run_matches(at: np.ndarray, rank: np.ndarray, doc: np.ndarray, t: Templates, width: int) -> list[tuple[int, int, float]]:
+    """(text, template, containment) of the best run of ``width`` words of each stretch, where it reaches the template.
+
+    ``at``, ``rank``, ``doc``: place, rank and text of all template words.  A stretch is what lies less than ``width``
+    words from a prefix word, in one text; every run that can match lies in one.
+    """
+    out = []
+    seed = np.flatnonzero(t.any_prefix[rank])
+    if not len(seed):
+        return out
+    new = np.flatnonzero((doc[seed][1:] != doc[seed][:-1]) | (np.diff(at[seed]) >= 2 * width)) + 1
+    for s in np.split(seed, new):
+        low = max(np.searchsorted(at, at[s[0]] - width, side="right"), np.searchsorted(doc, doc[s[0]]))
+        high = min(np.searchsorted(at, at[s[-1]] + width), np.searchsorted(doc, doc[s[0]], side="right"))
+        place, r = at[low:high], rank[low:high]
+        for i, _ in t.matches(np.unique(r)):                      # a run holds no more words than its stretch
+            own = np.isin(r, t.sorted[i])
+            p, word = place[own], r[own]
+            order = np.lexsort((p, word))
+            before = np.full(len(p), -1, np.int64)                # the place of the same word before
+            same = word[order][1:] == word[order][:-1]
+            before[order[1:][same]] = p[order[:-1][same]]
+            # the word is new to the runs that begin after its last place, up to its own
+            steps = np.zeros(int(p[-1] - p[0]) + width + 2, np.int64)
+            base = int(p[0]) - width
+            np.add.at(steps, np.maximum(p - width, before) + 1 - base, 1)
+            np.add.at(steps, p + 1 - base, -1)
+            shared = int(np.cumsum(steps).max())
+            if shared >= t.need[i]:
+                out.append((int(doc[s[0]]), i, shared / len(t.sorted[i])))
+    return out
+
+
+def _scan(texts: pa.Array, t: Templates, block: int, across_lines: bool) -> list[pa.Array]:
     w = Words(texts, ALNUM)
     n = w.docs
     base = [set() for _ in range(n)]
@@ -143,7 +181,11 @@ def _scan(texts: pa.Array, t: Templates, block: int) -> list[pa.Array]:
     more = [set(s) for s in base]
     hit, word = find(w.hash, t.vocabulary)
     rank = t.rank[word]
-    if t.any_prefix[rank].any():
+    if across_lines:
+        for doc, i, share in run_matches(hit, rank, w.doc[hit], t, max(block, 2 * t.longest)):
+            more[doc].add(t.labels[i])
+            score[doc] = max(score[doc], share)
+    elif t.any_prefix[rank].any():
         breaks = np.flatnonzero(w.raw == 10)
         line = np.searchsorted(breaks, w.begin) + w.doc                      # grows at every line and every text
         new = np.concatenate([[True], line[1:] != line[:-1]])

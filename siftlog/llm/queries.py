@@ -59,7 +59,7 @@ def op6_bpe_encoding(spark, sf):
 
 
 def op7_license_scan(spark, sf):
-    return scan_licenses(table(spark, sf, "documents"))
+    return scan_licenses(table(spark, sf, "documents"), across_lines=True)
 
 
 def op8_embedding_near_dedup(spark, sf):

@@ -136,6 +136,44 @@ def test_licenses_match_brute_force(spark):
     assert got[None] == (2, 1, 0, 0, "mit", "mit", 1.0) and scan_licenses(df.limit(0)).count() == 0
 
 
+def plain_runs(text, templates, width):
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
+    labels, score = set(), 0.0
+    for label, t in templates:
+        own = set(t.split())
+        best = max(len(own & set(words[s:s + width])) for s in range(max(1, len(words))))
+        if best >= math.ceil(THRESHOLD * len(own) - 1e-9):
+            labels.add(label)
+            score = max(score, best / len(own))
+    return ",".join(sorted(labels)), score
+
+
+@pytest.mark.parametrize("extra", [0, 90])
+def test_wrapped_notices_match_brute_force(spark, extra):
+    rng = random.Random(7 + extra)
+    long = " ".join(f"t{i}" for i in range(extra))
+    templates = TEMPLATES + ([("long", long)] if extra else [])
+    vocabulary = " ".join(t for _, t in TEMPLATES).split()
+    texts = [None, "", "of"] + ["# " + "\n#  ".join(" ".join(t.split()[k:k + 8]) for k in range(0, len(t.split()), 8)) for _, t in templates]
+    for n in range(200):
+        w = [rng.choice(vocabulary) if rng.random() < .2 else f"x{rng.randrange(50)}" for _ in range(rng.randrange(0, 300))]
+        for _ in range(rng.randrange(0, 3)):
+            t = rng.choice(templates)[1].split()
+            for _ in range(rng.randrange(0, 5)):
+                k = rng.randrange(len(t))
+                t[k:k + 1] = rng.choice([["zz"], [], [t[k], "zz"] * 3])
+            k = rng.randrange(len(w) + 1)
+            w[k:k] = t
+        texts.append("".join(x + ("\n * " if i % 9 == 8 else " ") for i, x in enumerate(w)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(df, templates, {}, across_lines=True).collect()}
+    for i, t in enumerate(texts):
+        labels, score = plain_runs(t, templates, max(64, 2 * extra))
+        assert got[i][0] == labels and got[i][1] == pytest.approx(score), t
+    assert all(label in got[3 + i][0] for i, (label, _) in enumerate(templates))
+    assert scan_licenses(df.limit(0), across_lines=True).count() == 0
+
+
 @pytest.mark.parametrize("tile,dims", [(8192, 64), (60, 64), (40, 7)])
 def test_vectors_match_brute_force(spark, tile, dims):
     rng = np.random.default_rng(dims)
