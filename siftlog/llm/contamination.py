@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. One scan counts every n-gram of the test items over the whole corpus; the
-   rarer half of each item's n-grams are its seeds, so an item keeps seeds
-   even if it was copied everywhere.
-2. A second scan finds the seeds.  Each hit gives the passage in which the item
-   would lie; overlapping passages join.  A passage whose words cannot reach the
-   score is left out (its shared words bound the score).
+"""Benchmark decontamination: rare seed words, then Smith-Waterman alignment.
+
+1. One scan counts every word of the test items over the whole corpus.  An
+   alignment that reaches the score leaves at most ``lost`` places of the item unmatched, so of its
+   rarest ``lost + need`` places it matches ``need``; their words are the seeds.
+2. A second scan finds the places where ``need`` seeds of an item lie in as many words as such
+   an alignment can span at most; overlapping passages join, and no alignment is lost.  A passage
+   whose words cannot reach the score is left out (its shared words bound the score).
 3. The item is aligned with the passage by local alignment of words, which
    bears replaced, added and lost words.
 
@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import lookup_join, number_ordered, stage
 from .exchange import text_batches
-from .words import ALNUM, Words, chunks, grams
+from .words import ALNUM, Words, chunks
 
-SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 UNIT = 1 << 32                # one point of score in a cell of the alignment
 MIN_SCORE = 0.5               # of the score of a whole, equal passage
@@ -53,53 +52,53 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """Test items of one block with their n-grams."""
+    """Test items of one block with their words."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], min_score: float):
         w = Words(pa.array(texts, pa.string()), ALNUM)
         self.ids = ids
         self.words = [w.hash[w.first_word[i]:w.first_word[i + 1]] for i in range(len(ids))]
-        seed, item, at = [], [], []
-        for n in range(1, SEED_WORDS + 1):
-            g, ok = grams(w, n)
-            owner = w.doc[:len(g)]
-            # an item shorter than a seed is itself the seed
-            use = np.flatnonzero(ok & ((w.per_doc[owner] == n) if n < SEED_WORDS else (w.per_doc[owner] >= n)))
-            seed.append(g[use] + np.uint64(n))
-            item.append(owner[use])
-            at.append(use - w.first_word[owner[use]])
-        seed, self.item, self.at = map(np.concatenate, (seed, item, at))
-        self.gram, self.number = np.unique(seed, return_inverse=True)
-        self.lengths = sorted({min(len(x), SEED_WORDS) for x in self.words if len(x)})
+        self.word, self.number = np.unique(w.hash, return_inverse=True)
+        self.first = w.first_word
+        size = w.per_doc
+        least = np.ceil(min_score * MATCH * size - 1e-9).astype(np.int64)           # the score to reach
+        self.lost = np.maximum(0, size - np.maximum(1, -(-least // MATCH)))          # places that may stay unmatched
+        self.span = MATCH * size - least + size                                      # words of the longest passage, each edit costs a point
+        self.need = np.maximum(1, (size - self.lost) // 2)                           # seeds that a passage holds
+
+    def numbers(self, w: Words) -> np.ndarray:
+        """The number of each word of a text among the words of the items, one past the last where it is none."""
+        out = np.full(len(w.hash), len(self.word))
+        place, number = find(w.hash, self.word)
+        out[place] = number
+        return out
+
+    def shared(self, i: int, passage: np.ndarray) -> int:
+        """Places of item ``i`` whose word is among the numbers of ``passage``."""
+        held = np.zeros(len(self.word) + 1, bool)
+        held[passage] = True
+        return int(np.count_nonzero(held[self.number[self.first[i]:self.first[i + 1]]]))
 
     def seeds(self, counts: np.ndarray) -> "Seeds":
-        """The rarer half of each item's n-grams by corpus count, equal counts by hash."""
-        keep = np.zeros(len(self.item), bool)
+        """The rarest ``lost + need`` places of each item by corpus count, equal counts by hash."""
+        item, number = [], []
         for i in range(len(self.ids)):
-            own = self._own(i)
-            grams_ = np.unique(self.number[own])
-            if not len(grams_):
-                continue
-            rare = grams_[np.lexsort((self.gram[grams_], counts[grams_]))][:-(-len(grams_) // 2)]
-            keep[own[np.isin(self.number[own], rare)]] = True
-        return Seeds(self, keep)
-
-    def _own(self, i: int) -> np.ndarray:
-        if not hasattr(self, "_order"):
-            self._order = np.argsort(self.item, kind="stable")
-            self._start = np.concatenate([[0], np.cumsum(np.bincount(self.item, minlength=len(self.ids)))])
-        return self._order[self._start[i]:self._start[i + 1]]
+            own = self.number[self.first[i]:self.first[i + 1]]
+            rare = np.unique(own[np.lexsort((own, counts[own]))][:self.lost[i] + self.need[i]])
+            item.append(np.full(len(rare), i))
+            number.append(rare)
+        return Seeds(self, np.concatenate(item), np.concatenate(number))
 
 
 class Seeds:
-    """Sorted seed grams, with the (item, offset) entries of each."""
+    """Sorted seed words, with the items of each."""
 
-    def __init__(self, items: Items, keep: np.ndarray):
-        gram = items.gram[items.number[keep]]
-        order = np.argsort(gram, kind="stable")
-        self.gram, first = np.unique(gram[order], return_index=True)
+    def __init__(self, items: Items, item: np.ndarray, number: np.ndarray):
+        order = np.argsort(number, kind="stable")
+        used, first = np.unique(number[order], return_index=True)
+        self.word = items.word[used]
         self.low, self.high = first, np.append(first[1:], len(order))
-        self.item, self.at = items.item[keep][order], items.at[keep][order]
+        self.item = item[order]
 
 
 def find(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,37 +115,32 @@ def find(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return near[hit], at[hit]
 
 
-def _gram_hits(w: Words, lengths: list[int], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    places, entries = [], []
-    for n in lengths:
-        g, ok = grams(w, n)
-        place, entry = find(g + np.uint64(n), table)
-        places.append(place[ok[place]])
-        entries.append(entry[ok[place]])
-    return np.concatenate(places), np.concatenate(entries)
-
-
 def candidates(w: Words, items: Items, seeds: Seeds) -> list[tuple[int, int, int, int]]:
     """(text, item, first word, word after the last) of every passage to align, in words of the batch."""
-    place, entry = _gram_hits(w, items.lengths, seeds.gram)
+    place, entry = find(w.hash, seeds.word)
     if not len(place):
         return []
     lens = seeds.high[entry] - seeds.low[entry]
     flat = np.repeat(seeds.low[entry] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
     place = np.repeat(place, lens)
-    item, offset, doc = seeds.item[flat], seeds.at[flat], w.doc[place]
-    size = np.array([len(x) for x in items.words])[item]
-    spare = size // 2 + 4                                    # words that an edited copy may have gained or lost
-    low = np.maximum(place - offset - spare, w.first_word[doc])
-    high = np.minimum(place - offset + size + spare, w.first_word[doc + 1])
-    order = np.lexsort((low, item, doc))
-    out: list[tuple[int, int, int, int]] = []
-    for d, i, a, b in zip(doc[order].tolist(), item[order].tolist(), low[order].tolist(), high[order].tolist()):
-        if out and out[-1][0] == d and out[-1][1] == i and a <= out[-1][3]:
-            out[-1] = (d, i, out[-1][2], max(b, out[-1][3]))
-        else:
-            out.append((d, i, a, b))
-    return out
+    item = seeds.item[flat]
+    key = w.doc[place] * len(items.ids) + item
+    order = np.argsort(key, kind="stable")                   # places stay in order
+    place, item, key = place[order], item[order], key[order]
+    last = np.arange(len(place)) + items.need[item] - 1
+    near = np.flatnonzero(last < len(place))
+    last = last[near]
+    near_enough = (key[last] == key[near]) & (place[last] - place[near] < items.span[item[near]])
+    near, last = near[near_enough], last[near_enough]
+    if not len(near):
+        return []
+    i, d = item[near], w.doc[place[near]]
+    low = np.maximum(place[last] - items.span[i] + 1, w.first_word[d])
+    high = np.minimum(place[near] + items.span[i], w.first_word[d + 1])
+    # both ends grow within a key; overlapping passages join
+    new = np.flatnonzero(np.concatenate([[True], (key[near][1:] != key[near][:-1]) | (low[1:] > high[:-1])]))
+    end = np.append(new[1:], len(near)) - 1
+    return list(zip(d[new].tolist(), i[new].tolist(), low[new].tolist(), high[end].tolist()))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS,
@@ -179,23 +173,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
 
 def _block_leaks(given: DataFrame, rows: list, min_score: float, kinds: str) -> DataFrame:
     spark = given.sparkSession
-    items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
-    if not items.lengths:
+    items = Items([r["item_id"] for r in rows], [r["text"] for r in rows], min_score)
+    if not len(items.word):
         return spark.createDataFrame([], kinds)
 
     def count(batches):
-        seen = np.zeros(len(items.gram), np.int64)
+        seen = np.zeros(len(items.word), np.int64)
         for batch in batches:
             for a, b in chunks(batch.column(0)):
                 w = Words(batch.column(0).slice(a, b - a), ALNUM)
-                seen += np.bincount(_gram_hits(w, items.lengths, items.gram)[1], minlength=len(seen))
+                seen += np.bincount(find(w.hash, items.word)[1], minlength=len(seen))
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["word", "n"])
 
-    counted = given.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(items.gram), np.int64)
+    counted = given.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(items.word), np.int64)
     for r in counted:
-        counts[r["gram"]] = r["n"]
+        counts[r["word"]] = r["n"]
     seeds = items.seeds(counts)
 
     def match(batches):
@@ -204,9 +198,10 @@ def _block_leaks(given: DataFrame, rows: list, min_score: float, kinds: str) ->
                 part = batch.slice(a, b - a)
                 w = Words(part.column(1), ALNUM)
                 best: dict[tuple[int, int], tuple] = {}
+                numbers = items.numbers(w)
                 for d, i, low, high in candidates(w, items, seeds):
                     item, passage = items.words[i], w.hash[low:high]
-                    if MATCH * np.isin(item, passage).sum() < min_score * MATCH * len(item):      # no alignment reaches the score
+                    if MATCH * items.shared(i, numbers[low:high]) < min_score * MATCH * len(item):      # no alignment reaches the score
                         continue
                     score, s, e = align(item, passage)
                     if score >= min_score * MATCH * len(item):

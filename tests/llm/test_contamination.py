@@ -75,3 +75,25 @@ def test_clean_texts_stay(spark):
     kept = {r["doc_id"] for r in decontaminated(d, b).collect()}
     assert kept == {i for i, _ in docs} - {i for i, _ in want if i is not None}
     assert decontaminated(d.limit(0), b).count() == 0 and decontaminated(d, b.limit(0)).count() == len(docs)
+
+
+def test_every_alignment_of_the_score_is_found(spark):
+    rng = random.Random(6)
+    items = [(i, [rng.choice(VOCAB) for _ in range(rng.choice([1, 2, 4, 5, 6, 7, 12, 16, 24]))]) for i in range(30)]
+    texts = []
+    for d in range(240):
+        p = list(items[d % 30][1])
+        if d % 8 == 0:
+            p = [x for k, v in enumerate(p) for x in ([v] if k == 0 else [f"y{k}", v])]      # a word between all
+        elif d % 8 == 1:
+            p = [f"y{k}" if k % 3 == 2 else v for k, v in enumerate(p)]
+        else:
+            for k in rng.sample(range(len(p)), round(rng.uniform(.15, .3) * len(p))):
+                p[k] = rng.choice(VOCAB)
+        at = rng.randrange(30)
+        w = [rng.choice(VOCAB) for _ in range(60)]
+        texts.append((d, w[:at] + p + w[at:]))
+    want = {(d, i) for d, w in texts for i, t in items if MATCH * sum(x in w for x in t) >= len(t) and plain_align(t, w) >= MATCH * .5 * len(t)}
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(d, b).collect()} == want and len(want) > 200
