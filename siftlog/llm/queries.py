@@ -5,15 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, language, ordinal, token_files
+from . import bpe, language, ordinal, sqltext, token_files
 from .contamination import leaks
 from .jaccard import jaccard_groups
 from .licenses import scan_licenses
+from .merkle import document_manifest
+from .nearest import nearest
+from .spelling import spelling_groups
 from .suffixes import repeated_spans
 from .urls import judge_pages
 from .vectors import vector_groups
 
-Q, SQL = {}, {}
+Q, SQL = {}, {"op11_merkle_manifest": sqltext.MERKLE, "op12_spelling_variants": sqltext.SPELLING}
 
 
 def table(spark, sf, name):
@@ -75,6 +78,19 @@ def op10_ngram_jaccard_join(spark, sf):
     return jaccard_groups(table(spark, sf, "documents"))
 
 
+def op11_merkle_manifest(spark, sf):
+    return document_manifest(table(spark, sf, "documents"))
+
+
+def op12_spelling_variants(spark, sf):
+    return spelling_groups(table(spark, sf, "documents"))
+
+
+def op13_nearest_neighbours(spark, sf):
+    return nearest(table(spark, sf, "embeddings"))
+
+
 for _f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op3_language_id, op4_url_filter, op5_quality_classifier,
-           op6_bpe_encoding, op7_license_scan, op8_embedding_near_dedup, op9_token_files, op10_ngram_jaccard_join):
+           op6_bpe_encoding, op7_license_scan, op8_embedding_near_dedup, op9_token_files, op10_ngram_jaccard_join,
+           op11_merkle_manifest, op12_spelling_variants, op13_nearest_neighbours):
     Q[_f.__name__] = _f
