@@ -1,17 +1,20 @@
 """N-gram Jaccard join by parity sketches.
 
-Every distinct 4-word shingle of a text toggles one bit of a sketch, so the
-Hamming distance of two sketches is a lower bound of the symmetric difference
-of the sets.  Texts are compared within size bands; in a band the difference of
-a linked pair is at most ``d``, so of ``d + 1 + slack`` sketch segments at least
-``1 + slack`` agree.  Segments with at most one bit set carry little and are
-left out by every text that has no more than ``slack`` of them: one agreeing
-full segment then still remains, and no pair is lost.  Texts that share a segment form
-candidate groups; the shingle sets of each group are verified exactly.
-
-Skew: equal sets are one class before anything is compared and are sent once per
-task run; a segment shared by many texts leaves one edge per text, not all
-pairs, made where the text is read: one record per segment and task run is shuffled; a large group is verified in pairs of bounded blocks.
+Every distinct shingle of a text toggles one bit of a sketch, so the Hamming distance of two
+sketches is a lower bound of the symmetric difference of the sets.  Texts are compared within size
+bands; in a band the difference of a linked pair is at most ``d``, so of ``d + 1 + slack`` segments of a
+wide sketch at least ``1 + slack`` agree.
+
+1. Segments that several texts share are found by their hash.  A text without more than ``slack`` segments that
+   could agree with another's is done.  All others keep the rarest of theirs and leave out as many as
+   ``slack`` of the commonest (segments with at most one bit count as commonest): a linked pair still shares one.
+2. Texts that share a kept segment are compared by a sketch of ``BITS_PER_DIFFERENCE * d`` bits; only pairs whose Hamming distance
+   is at most ``d`` are candidates.
+3. The shingle sets of the groups that candidates form are verified exactly.
+
+Skew: equal sets are one class before anything is compared.  A segment that many texts of one task run
+hold goes to the texts at once and not to one bucket.  The sketches of a common segment are compared with
+pivots, so near copies cost one pass, and in pairs of bounded blocks.
 """
 
 from __future__ import annotations
@@ -23,13 +26,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.cluster import connected_components
 from ..runtime import lookup_join, stage
-from .exchange import PACKED, bucket_count, gather, packed, text_batches
+from .exchange import PACKED, bucket_count, by_bucket, gather, packed, text_batches
 from .words import Words, chunks, grams, mix, rolling
 
 SEGMENT_BITS = 1 << 20
+BITS_PER_DIFFERENCE = 4       # bits of the sketch that is compared, for each unit of the bound
+RUN_SETS = 64                 # sets of one segment in a task run from which on it is common, whatever the other runs hold
+SKETCHES = 4096               # sketches of a segment that are compared at once
 VERIFY_SHINGLES = 1_000_000   # shingles of one block of a verified group
-KEY = np.dtype([("key", "<u8"), ("set", "<i8")])
-EDGE = np.dtype([("src", "<i8"), ("dst", "<i8")])
+KEY = np.dtype([("key", "<u8"), ("set", "<i8"), ("info", "<u4")])     # info: weak segments of the text, and the two flags
+BACK, WEAK, COMMON = 1 << 31, 1 << 30, (1 << 31) - 1      # for the band before the own one; a segment with at most one bit; its rank if it is common
+SHARED = "set long, back boolean, weak boolean, n_weak int, rank int, key long"
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,31 +118,72 @@ def segment_keys(h, doc, n, ids, bands) -> np.ndarray:
         owner = np.repeat(np.arange(len(n)), np.diff(base))
         weak = bits <= 1
         slack = np.array([_slack(b[1]) for b in bands])[np.maximum(band, 0)]
-        many = np.bincount(owner, weights=weak, minlength=len(n)) > slack
-        keep = ~weak | many[owner]
+        n_weak = np.bincount(owner, weights=weak, minlength=len(n)).astype(np.int64)
+        keep = ~weak | (n_weak > slack)[owner]
         number = np.arange(total, dtype=np.int64) - base[owner]
         salt = mix((band[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64) + np.uint64(77))
         rec = np.empty(int(keep.sum()), KEY)
         rec["key"] = mix(key[keep] ^ salt[keep])
         rec["set"] = ids[owner[keep]]
+        rec["info"] = n_weak[owner[keep]] | np.where(weak[keep], WEAK, 0) | (BACK if back else 0)
         out.append(rec)
     return np.concatenate(out) if out else np.zeros(0, KEY)
 
 
-def settled(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The record with the smallest set of each key, and an edge to that set from every other set of the key."""
-    rec = np.unique(rec)                                      # in the order (key, set)
-    k, s = rec["key"], rec["set"]
-    first = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
-    root = s[np.flatnonzero(first)][np.cumsum(first) - 1] if len(k) else s
-    edges = np.empty(int((~first).sum()), EDGE)
-    edges["src"], edges["dst"] = s[~first], root[~first]
-    return rec[first], np.unique(edges)
-
-
-def shared_keys(rec: np.ndarray) -> pd.DataFrame:
-    """One edge from every set of a key to the smallest set of the key."""
-    return pd.DataFrame(settled(rec)[1])
+def shared(rec: np.ndarray) -> pd.DataFrame:
+    """Texts of the segments that more than one holds; rarer segments have a smaller ``rank``."""
+    rec = np.unique(rec)
+    _, at, texts = np.unique(rec["key"], return_inverse=True, return_counts=True)
+    marked = np.zeros(len(texts), bool)
+    marked[at[rec["info"] == COMMON]] = True
+    rank = np.where(marked, COMMON, texts)[at]
+    out = (rank > 1) & (rec["info"] != COMMON)
+    return memberships(rec[out], rank[out])
+
+
+def memberships(rec: np.ndarray, rank) -> pd.DataFrame:
+    info = rec["info"].astype(np.int64)
+    return pd.DataFrame({"set": rec["set"], "back": (info & BACK) > 0, "weak": (info & WEAK) > 0, "n_weak": (info & (WEAK - 1)).astype(np.int32),
+                         "rank": np.broadcast_to(np.int32(rank) if np.isscalar(rank) else rank.astype(np.int32), len(rec)), "key": rec["key"].view(np.int64)})
+
+
+def compact_sketch(h: np.ndarray, d: int) -> bytes:
+    """Parity sketch of a set for the bound ``d``."""
+    bits = sketch_bits(d)
+    place = ((mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_bits(d: int) -> int:
+    return 64 * -(-BITS_PER_DIFFERENCE * d // 64)
+
+
+def within_bound(sets: np.ndarray, sketches: np.ndarray, group: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of equal ``group`` (sorted) whose sketches differ in at most ``d`` bits; of a large group spanning ones."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(group)))
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.repeat(size <= RUN_SETS, size)
+    for step in range(1, min(int(size.max(initial=1)), RUN_SETS)):
+        a = np.flatnonzero((group[step:] == group[:-step]) & small[step:])
+        for k in range(0, len(a), 20_000):
+            p = a[k:k + 20_000]
+            p = p[np.bitwise_count(sketches[p] ^ sketches[p + step]).sum(1) <= d]
+            src.append(sets[p + step])
+            dst.append(sets[p])
+    for b, e in zip(first[size > RUN_SETS], (first + size)[size > RUN_SETS]):
+        own, label, done = sketches[b:e], np.arange(e - b), np.zeros(e - b, bool)
+        while True:                                          # as in ``linked``
+            left = np.flatnonzero(~done & (label != np.bincount(label).argmax()))
+            if not len(left):
+                break
+            done[left[0]] = True
+            tied = np.unique(label[np.bitwise_count(own ^ own[left[0]]).sum(1) <= d])
+            label[np.isin(label, tied)] = tied[0]
+        moved = np.flatnonzero(label != np.arange(e - b))
+        src.append(sets[b + moved])
+        dst.append(sets[b + label[moved]])
+    return np.concatenate(src), np.concatenate(dst)
 
 
 def linked(ids: np.ndarray, sizes: np.ndarray, shingles: np.ndarray, group: np.ndarray, percent: int) -> pd.DataFrame:
@@ -232,20 +280,30 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
             return segment_keys(h[sel], doc[sel], np.where(use, n, 0), ids, bands)
 
         def flush(rec):
-            # one record per key goes to the key's bucket; the other sets of the run are tied to it here
-            rec, own = settled(rec)
-            yield packed((rec["key"] % np.uint64(buckets)).astype(np.int32), rec)
-            if len(own):
-                yield packed(-1 - (own["src"].view(np.uint64) % np.uint64(buckets)).astype(np.int32), own)
+            # a segment that many texts of the run hold is common: its bucket is told so, its texts do not go there
+            rec = np.unique(rec)
+            _, at, texts = np.unique(rec["key"], return_inverse=True, return_counts=True)
+            common = (texts > RUN_SETS)[at]
+            far, near = rec[~common], rec[common]
+            if len(near):
+                mark = near[np.concatenate([[True], near["key"][1:] != near["key"][:-1]])]
+                mark["set"], mark["info"] = 0, COMMON
+                far = np.concatenate([far, mark])
+                yield packed(np.full(len(near), -1, np.int32), near)
+            yield packed((far["key"] % np.uint64(buckets)).astype(np.int32), far)
 
         yield from gather(batches, make, flush)
 
-    def tie(bucket: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        raw = b"".join(bytes(p) for p in part["payload"])
-        return pd.DataFrame(np.unique(np.frombuffer(raw, EDGE))) if bucket[0] < 0 else shared_keys(np.frombuffer(raw, KEY))
-
-    edges = given.mapInArrow(keys, PACKED).groupBy("bucket").applyInPandas(tie, "src long, dst long")
-    groups = stage(connected_components(stage(edges.distinct())).select(F.col("node").alias("h1"), F.col("component").alias("grp")))
+    def unpack(batches):
+        for batch in batches:
+            for payload in batch.column(0):
+                yield pa.RecordBatch.from_pandas(memberships(np.frombuffer(payload.as_py(), KEY), COMMON), preserve_index=False)
+
+    sent = stage(given.mapInArrow(keys, PACKED))
+    held = (by_bucket(sent.filter("bucket >= 0"), KEY, shared, SHARED)
+            .unionByName(sent.filter("bucket < 0").select("payload").mapInArrow(unpack, SHARED)))
+    edges = stage(_candidates(given, classes, held, bands, width))
+    groups = stage(connected_components(edges).select(F.col("node").alias("h1"), F.col("component").alias("grp")))
     # the texts to verify: one per class; a large group is cut into blocks, and every pair of blocks is one task's work
     found = stage(classes.join(groups, "h1"))
     sizes = found.groupBy("grp").agg(F.sum("n").alias("all")).filter(F.col("all") > verify_shingles)
@@ -286,3 +344,76 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
     alone = sig.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return (linked_rows.select("doc_id", "n", "component_id").unionByName(alone)
             .select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
+
+
+def _candidates(given: DataFrame, classes: DataFrame, held: DataFrame, bands: list[tuple[int, int, int]], width: int) -> DataFrame:
+    """Edges (src, dst) between sets that share a kept segment and whose sketches are within the bound of their band."""
+    lows = F.array(*[F.lit(b[0]) for b in bands])
+    slacks = F.array(*[F.lit(_slack(b[1])) for b in bands])
+    texts = held.groupBy("set", "back").agg(
+        F.max("n_weak").alias("n_weak"), F.array_sort(F.collect_list(F.when(~F.col("weak"), F.struct("rank", "key")))).alias("full"),
+        F.array_sort(F.collect_list(F.when(F.col("weak"), F.struct("rank", "key")))).alias("thin"))        # at most as many as the text has segments
+    texts = stage(texts).join(classes.withColumnRenamed("h1", "set"), "set")
+    band = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - 1 - F.col("back").cast("int")
+    texts = texts.withColumn("band", band).withColumn("slack", F.element_at(slacks, F.col("band") + 1))
+    take = lambda c, n: F.slice(c, 1, F.greatest(F.lit(0), n))
+    kept = F.concat(take("full", F.size("full") + F.col("n_weak") - F.col("slack")), take("thin", F.size("thin") - F.col("slack")))
+    texts = texts.withColumn("keys", F.transform(kept, lambda k: k["key"])).filter(F.size("keys") > 0)
+    wanted = stage(texts.groupBy("rep").agg(F.collect_list(F.struct("set", "band", "keys")).alias("places")).withColumnRenamed("rep", "doc_id"))
+    bounds = [b[1] for b in bands]
+    kinds = "band int, key long, set long, sketch binary"
+
+    def sketch(batches):
+        for batch in batches:
+            for a, b in chunks(batch.column(0)):
+                part = batch.slice(a, b - a)
+                h, doc = shingle_sets(part.column(0), width)
+                n, ids, _ = set_ids(h, doc, len(part))
+                ends = np.cumsum(n)
+                out: dict[str, list] = {"band": [], "key": [], "set": [], "sketch": []}
+                for i, places in enumerate(part.column(1).to_pylist()):
+                    for p in places:
+                        if p["set"] != ids[i]:               # another text of the same id
+                            continue
+                        own, m = compact_sketch(h[ends[i] - n[i]:ends[i]], bounds[p["band"]]), len(p["keys"])
+                        out["band"] += [p["band"]] * m
+                        out["key"] += p["keys"]
+                        out["set"] += [p["set"]] * m
+                        out["sketch"] += [own] * m
+                yield pa.RecordBatch.from_arrays([pa.array(out["band"], pa.int32()), pa.array(out["key"], pa.int64()), pa.array(out["set"], pa.int64()),
+                                                  pa.array(out["sketch"], pa.binary())], names=["band", "key", "set", "sketch"])
+
+    rows = lookup_join(given.filter(F.col("doc_id").isNotNull()), wanted, ["doc_id"]).select("text", "places").mapInArrow(sketch, kinds).distinct()
+    rows = stage(rows)
+    crowded = stage(rows.groupBy("band", "key").count().filter(F.col("count") > SKETCHES).select("band", "key", F.ceil(F.col("count") / SKETCHES).cast("int").alias("blocks")))
+    tiled = lookup_join(rows, crowded, ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    tiled = (tiled.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "sketch"))
+    work = ["band", "key", "i", "j"]
+
+    def test(table: pa.Table) -> pa.RecordBatch:
+        cols = [table.column(c).to_numpy() for c in work]
+        group = np.concatenate([[0], np.cumsum(np.any([c[1:] != c[:-1] for c in cols], axis=0))])
+        src, dst = [], []
+        for band in np.unique(cols[0]):
+            at = np.flatnonzero(cols[0] == band)
+            raw = np.frombuffer(b"".join(table.column("sketch").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)
+            x, y = within_bound(table.column("set").to_numpy()[at], raw, group[at], bounds[band])
+            src.append(x)
+            dst.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+    def compare(batches):
+        held = []                                            # the batches of groups that are not complete yet
+        for batch in batches:
+            table = pa.Table.from_batches([*held, batch])
+            last = [c.to_numpy() for c in table.select(work).columns]
+            open_ = int(np.flatnonzero(np.any([c != c[-1] for c in last], axis=0))[-1]) + 1 if np.any([c[0] != c[-1] for c in last]) else 0
+            if open_:
+                yield test(table.slice(0, open_))
+            held = table.slice(open_).to_batches()
+        if held:
+            yield test(pa.Table.from_batches(held))
+
+    return tiled.repartition(*work).sortWithinPartitions(*work).mapInArrow(compare, "src long, dst long").filter("src <> dst").distinct()
