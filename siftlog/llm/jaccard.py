@@ -130,10 +130,19 @@ def segment_keys(h, doc, n, ids, bands) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, KEY)
 
 
+def by_segment(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct records in the order of their segments, the number of each one's segment, and the records of each segment."""
+    rec = rec[np.lexsort((rec["set"], rec["key"]))]
+    key, own = rec["key"], rec["set"]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[:len(rec)]
+    rec = rec[new | np.concatenate([[True], own[1:] != own[:-1]])[:len(rec)]]
+    at = np.cumsum(np.concatenate([[True], rec["key"][1:] != rec["key"][:-1]])[:len(rec)]) - 1
+    return rec, at, np.bincount(at)
+
+
 def shared(rec: np.ndarray) -> pd.DataFrame:
     """Texts of the segments that more than one holds; rarer segments have a smaller ``rank``."""
-    rec = np.unique(rec)
-    _, at, texts = np.unique(rec["key"], return_inverse=True, return_counts=True)
+    rec, at, texts = by_segment(rec)
     marked = np.zeros(len(texts), bool)
     marked[at[rec["info"] == COMMON]] = True
     rank = np.where(marked, COMMON, texts)[at]
@@ -281,8 +290,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
 
         def flush(rec):
             # a segment that many texts of the run hold is common: its bucket is told so, its texts do not go there
-            rec = np.unique(rec)
-            _, at, texts = np.unique(rec["key"], return_inverse=True, return_counts=True)
+            rec, at, texts = by_segment(rec)
             common = (texts > RUN_SETS)[at]
             far, near = rec[~common], rec[common]
             if len(near):
