@@ -32,14 +32,14 @@ def bucket_count(spark: SparkSession, total_bytes: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // BUCKET_BYTES) + 1)
 
 
-def packed(buckets: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
-    """One binary row per bucket."""
+def packed(buckets: np.ndarray, records: np.ndarray, kind: type = np.int32) -> pa.RecordBatch:
+    """One binary row per bucket, whose number is a ``kind``."""
     order = np.argsort(buckets, kind="stable")
     b, r = buckets[order], records[order]
     starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int)
     ends = np.append(starts[1:], len(b))
     return pa.RecordBatch.from_arrays(
-        [pa.array(b[starts].astype(np.int32)), pa.array([r[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())],
+        [pa.array(b[starts].astype(kind)), pa.array([r[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())],
         names=["bucket", "payload"])
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import lookup_join, stage
+from ..runtime import lookup_join, number_ordered, stage
 from .exchange import PACKED, bucket_count, by_bucket, gather, packed, text_batches
 from .words import Words, chunks, grams, sliding
 
@@ -209,11 +209,19 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``; a text of which nothing is left goes.
 
     All columns stay; ``n_chars``, where it exists, is that of the new text.
-    Rows without repeats are returned unchanged, null and empty texts too.
+    Rows without repeats are returned unchanged, null and empty texts too.  Different texts of one id
+    are cut each by its own spans, in the order of the id and of a hash of the text; equal texts of one id stay equal.
     """
-    spans = stage(repeated_spans(docs, length).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")))
     names, at = docs.columns, docs.columns.index("text")
-    joined = lookup_join(docs, spans, ["doc_id"], "left").select(*names, "_spans")
+    rows = docs.withColumn("_text", F.xxhash64("text")).withColumn("_id", F.col("doc_id").cast("long"))
+    pairs = rows.filter(F.col("_id").isNotNull()).select("_id", "_text").distinct()
+    once, ids = pairs.groupBy("_id").count().agg(F.sum("count"), F.count(F.lit(1))).first()
+    if (once or 0) > ids:                                    # some id has several texts: each text gets a number in their order
+        rows = lookup_join(rows, stage(number_ordered(pairs, [F.col("_id"), F.col("_text")], "_own")), ["_id", "_text"], "left")
+    else:
+        rows = rows.withColumn("_own", F.col("_id"))
+    spans = repeated_spans(rows, length, id_col="_own").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    joined = lookup_join(rows, stage(spans.withColumnRenamed("doc_id", "_own")), ["_own"], "left").select(*names, "_spans")
 
     def cut(batches):
         for batch in batches:

@@ -15,6 +15,9 @@ comparisons over a block then still grows with the square of the rows, see the R
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.cluster import connected_components
 from ..runtime import lookup_join, stage
-from .exchange import PACKED, packed
+from .exchange import packed
 
 BLOCK_DIMS = 16               # dimensions of a block
 CELL_DIMS = 2                 # coordinates of a block that the grid uses
@@ -143,27 +146,42 @@ def vector_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
     usable = valid_vector(F.col("vec")) & F.col("vec_id").isNotNull()
     hashed = given.withColumn("h", F.when(usable, F.xxhash64("vec")))
-    classes = stage(hashed.filter(usable).groupBy("h", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    classes = stage(hashed.filter(usable).groupBy("h", "vec").agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
     lengths = [r[0] for r in classes.select(F.size("vec")).distinct().limit(1001).collect()]
     if len(lengths) > 1000:
         raise ValueError("more than 1000 different vector lengths")
-    results = [_joined(classes.filter(F.size("vec") == d).select("id", "n", "vec"), d, cosine, tile) for d in lengths]
+    results = [_joined(classes.filter(F.size("vec") == d).select(F.col("node").alias("id"), "n", "vec"), d, cosine, tile) for d in lengths]
     if not results:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = results[0]
     for r in results[1:]:
         found = found.unionByName(r)
     found = stage(found)
-    degree = found.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "id")
-    comps = connected_components(found.filter(F.col("b").isNotNull()).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    comps = comps.select(F.col("node").alias("id"), "component")
-    named = stage(classes.join(degree, "id", "left").join(comps, "id", "left").select(
-        "h", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")))
-    full = lookup_join(hashed.filter(usable), named, ["h", "vec"]).select("vec_id", "n_links", "component_id")
+    placed = stage(lookup_join(hashed.filter(usable), classes.select("h", "vec", "node", "n"), ["h", "vec"]).select("vec_id", "node", "n"))
+    # an id with different vectors ties their classes
+    again = stage(placed.groupBy("vec_id").agg(F.min("node").alias("dst"), F.max("node").alias("last")).filter("dst < last").select("vec_id", "dst"))
+    ties = lookup_join(placed, again, ["vec_id"]).select(F.col("node").alias("src"), "dst")
+    edges = found.filter(F.col("b").isNotNull()).select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(ties)
+    comps = stage(connected_components(edges))
+    named = stage(lookup_join(placed, comps, ["node"], "left").withColumn("component", F.coalesce("component", "node")))
+    first = stage(named.groupBy("component").agg(F.min("vec_id").alias("component_id")))
+    degree = stage(found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links")))
+    full = lookup_join(lookup_join(named, first, ["component"]), degree, ["node"], "left").select(
+        "vec_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
     rest = hashed.filter(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return full.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def tile_pair(task: int, tiles: int) -> tuple[int, int]:
+    """The (x, y), x <= y, that stands at place ``task`` of all such pairs in order."""
+    x = (2 * tiles + 1 - isqrt(max(0, (2 * tiles + 1) ** 2 - 8 * task))) // 2
+    while x and x * tiles - x * (x - 1) // 2 > task:         # rounding of the root
+        x -= 1
+    while (x + 1) * tiles - (x + 1) * x // 2 <= task:
+        x += 1
+    return x, task - (x * tiles - x * (x - 1) // 2) + x
+
+
 def _joined(classes: DataFrame, dims: int, cosine: float, tile: int) -> DataFrame:
     """Rows (a, null, links of a) and spanning edges (a, b, 0) of vectors of one length."""
     grid = Grid(dims, cosine)
@@ -222,15 +240,9 @@ def _joined(classes: DataFrame, dims: int, cosine: float, tile: int) -> DataFram
                             for t in range(other):
                                 tasks.append(start + own * (own + 1) // 2 + mine * other + t)
                                 sent.append(out)
-                yield packed(np.concatenate(tasks), np.concatenate(sent))
+                yield packed(np.concatenate(tasks), np.concatenate(sent), np.int64)
 
-    shape = {}                                         # task -> tile numbers of its two sides
-    for start, own, other in plan.values():
-        at = start
-        for x in range(own):
-            for y in range(x, own):
-                shape[at] = (x, y, own)
-                at += 1
+    starts = sorted((start, own) for start, own, _ in plan.values())      # as many as cells with vectors
 
     def work(task: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rec = np.frombuffer(b"".join(bytes(p) for p in part["payload"]), grid.record)
@@ -240,7 +252,8 @@ def _joined(classes: DataFrame, dims: int, cosine: float, tile: int) -> DataFram
         if rec["foreign"].any():
             a, b = rec[~rec["foreign"]], rec[rec["foreign"]]
         else:
-            x, y, own = shape.get(int(task[0]), (0, 0, 1))
+            start, own = starts[bisect_right(starts, (int(task[0]), np.inf)) - 1]
+            x, y = tile_pair(int(task[0]) - start, own)
             mine = (rec["id"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(own)
             a, b = (rec, None) if x == y else (rec[mine == x], rec[mine == y])
         i, j = compare(a, b, grid, cosine, block)
@@ -254,4 +267,4 @@ def _joined(classes: DataFrame, dims: int, cosine: float, tile: int) -> DataFram
         return pd.DataFrame({"a": np.concatenate([ids[hit], ids[moved]]), "b": pd.array([None] * len(hit) + ids[label[moved]].tolist(), "Int64"),
                              "n": np.concatenate([links[hit].astype(np.int64), np.zeros(len(moved), np.int64)])})
 
-    return classes.mapInArrow(send, PACKED).groupBy("bucket").applyInPandas(work, "a long, b long, n long")
+    return classes.mapInArrow(send, "bucket long, payload binary").groupBy("bucket").applyInPandas(work, "a long, b long, n long")

@@ -192,3 +192,16 @@ def test_vectors_match_brute_force(spark, tile, dims):
     want |= {i: (0, i, True) for i in range(900, 906)} | {906: (1, 906, True), 907: (1, 906, False), None: (0, None, False)}
     assert got == want
     assert vector_groups(df.limit(0)).count() == 0
+
+
+def test_vectors_of_one_id_count_for_themselves(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.05]), (3, [0.0, 1.0]), (4, [-1.0, 0.0]), (9, [-1.0, 0.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (9, 1, 4, False)]
+
+
+@pytest.mark.parametrize("tiles", [1, 2, 3, 7, 50])
+def test_tile_pairs_in_order(tiles):
+    from siftlog.llm.vectors import tile_pair
+
+    assert [tile_pair(k, tiles) for k in range(tiles * (tiles + 1) // 2)] == [(x, y) for x in range(tiles) for y in range(x, tiles)]

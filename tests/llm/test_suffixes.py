@@ -63,3 +63,11 @@ def test_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, "x " * 80), (1, None), (2, "")], "doc_id long, text string")
     assert repeated_spans(df).count() == 0 and repeated_spans(df.limit(0)).count() == 0
     assert without_repeats(df.limit(0)).count() == 0
+
+
+def test_two_texts_of_one_id(spark):
+    """Each text keeps its own words: the other one's spans are not cut from it."""
+    passage, fresh = " ".join(f"p{i}" for i in range(70)), " ".join(f"n{i}" for i in range(100))
+    rows = [(1, passage), (5, "a b c " + passage + " d"), (5, fresh), (5, fresh), (7, None), (None, passage)]
+    got = sorted(((r["doc_id"], r["text"]) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()), key=str)
+    assert got == sorted([(1, passage), (5, "a b c d"), (5, fresh), (5, fresh), (7, None), (None, passage)], key=str)
