@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.cluster import connected_components
 from ..runtime import lookup_join, stage
-from .exchange import PACKED, bucket_count, by_bucket, gather, packed, text_batches
+from .exchange import PACKED, bucket_count, gather, packed, text_batches
 from .words import Words, chunks, grams, mix, rolling
 
 SEGMENT_BITS = 1 << 20
@@ -274,7 +274,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         return sig.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     classes = stage(sig.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     bands = size_bands(percent, int(largest))
-    buckets = bucket_count(spark, 0.4 * KEY.itemsize * float(total))
+    buckets = bucket_count(spark, 5 * (100 - percent) / (100 + percent) * KEY.itemsize * float(total))     # segments of two bands for each shingle
 
     def keys(batches):
         def make(part):
@@ -297,19 +297,16 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
                 mark = near[np.concatenate([[True], near["key"][1:] != near["key"][:-1]])]
                 mark["set"], mark["info"] = 0, COMMON
                 far = np.concatenate([far, mark])
-                yield packed(np.full(len(near), -1, np.int32), near)
+                yield packed(-1 - (near["set"].view(np.uint64) % np.uint64(buckets)).astype(np.int32), near)
             yield packed((far["key"] % np.uint64(buckets)).astype(np.int32), far)
 
         yield from gather(batches, make, flush)
 
-    def unpack(batches):
-        for batch in batches:
-            for payload in batch.column(0):
-                yield pa.RecordBatch.from_pandas(memberships(np.frombuffer(payload.as_py(), KEY), COMMON), preserve_index=False)
+    def settle(bucket: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        rec = np.frombuffer(b"".join(bytes(p) for p in part["payload"]), KEY)
+        return memberships(rec, COMMON) if bucket[0] < 0 else shared(rec)
 
-    sent = stage(given.mapInArrow(keys, PACKED))
-    held = (by_bucket(sent.filter("bucket >= 0"), KEY, shared, SHARED)
-            .unionByName(sent.filter("bucket < 0").select("payload").mapInArrow(unpack, SHARED)))
+    held = given.mapInArrow(keys, PACKED).groupBy("bucket").applyInPandas(settle, SHARED)
     edges = stage(_candidates(given, classes, held, bands, width))
     groups = stage(connected_components(edges).select(F.col("node").alias("h1"), F.col("component").alias("grp")))
     # the texts to verify: one per class; a large group is cut into blocks, and every pair of blocks is one task's work
