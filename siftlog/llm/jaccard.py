@@ -30,7 +30,7 @@ from .exchange import PACKED, bucket_count, gather, packed, text_batches
 from .words import Words, chunks, grams, mix, rolling
 
 SEGMENT_BITS = 1 << 20
-BITS_PER_DIFFERENCE = 4       # bits of the sketch that is compared, for each unit of the bound
+BITS_PER_DIFFERENCE = 3       # bits of the sketch that is compared, for each unit of the bound
 RUN_SETS = 64                 # sets of one segment in a task run from which on it is common, whatever the other runs hold
 SKETCHES = 4096               # sketches of a segment that are compared at once
 VERIFY_SHINGLES = 1_000_000   # shingles of one block of a verified group
@@ -145,7 +145,9 @@ def shared(rec: np.ndarray) -> pd.DataFrame:
     rec, at, texts = by_segment(rec)
     marked = np.zeros(len(texts), bool)
     marked[at[rec["info"] == COMMON]] = True
-    rank = np.where(marked, COMMON, texts)[at]
+    # linked texts meet in the own band of one of them
+    home = np.bincount(at, weights=(rec["info"] & BACK) == 0, minlength=len(texts)) > 0
+    rank = np.where(marked, COMMON, np.where(home, texts, 0))[at]
     out = (rank > 1) & (rec["info"] != COMMON)
     return memberships(rec[out], rank[out])
 
@@ -363,10 +365,14 @@ def _candidates(given: DataFrame, classes: DataFrame, held: DataFrame, bands: li
     texts = texts.withColumn("band", band).withColumn("slack", F.element_at(slacks, F.col("band") + 1))
     take = lambda c, n: F.slice(c, 1, F.greatest(F.lit(0), n))
     kept = F.concat(take("full", F.size("full") + F.col("n_weak") - F.col("slack")), take("thin", F.size("thin") - F.col("slack")))
-    texts = texts.withColumn("keys", F.transform(kept, lambda k: k["key"])).filter(F.size("keys") > 0)
-    wanted = stage(texts.groupBy("rep").agg(F.collect_list(F.struct("set", "band", "keys")).alias("places")).withColumnRenamed("rep", "doc_id"))
+    kept = stage(texts.select("rep", "set", "band", "back", F.explode(kept).alias("k")).select("rep", "set", "band", "back", F.col("k.key").alias("key")))
+    # a segment that only one text has kept, or none in its own band, joins nothing; sketches are made for the others only
+    several = kept.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("back").alias("away")).filter("n > 1 and not away")
+    several = stage(several.select("band", "key", F.ceil(F.col("n") / SKETCHES).cast("int").alias("blocks")))
+    places = lookup_join(kept, several, ["band", "key"]).groupBy("rep", "set", "band").agg(F.collect_list(F.struct("key", "blocks")).alias("keys"))
+    wanted = stage(places.groupBy("rep").agg(F.collect_list(F.struct("set", "band", "keys")).alias("places")).withColumnRenamed("rep", "doc_id"))
     bounds = [b[1] for b in bands]
-    kinds = "band int, key long, set long, sketch binary"
+    kinds = "band int, key long, blocks int, set long, sketch binary"
 
     def sketch(batches):
         for batch in batches:
@@ -375,25 +381,23 @@ def _candidates(given: DataFrame, classes: DataFrame, held: DataFrame, bands: li
                 h, doc = shingle_sets(part.column(0), width)
                 n, ids, _ = set_ids(h, doc, len(part))
                 ends = np.cumsum(n)
-                out: dict[str, list] = {"band": [], "key": [], "set": [], "sketch": []}
+                out: dict[str, list] = {"band": [], "key": [], "blocks": [], "set": [], "sketch": []}
                 for i, places in enumerate(part.column(1).to_pylist()):
                     for p in places:
                         if p["set"] != ids[i]:               # another text of the same id
                             continue
                         own, m = compact_sketch(h[ends[i] - n[i]:ends[i]], bounds[p["band"]]), len(p["keys"])
                         out["band"] += [p["band"]] * m
-                        out["key"] += p["keys"]
+                        out["key"] += [k["key"] for k in p["keys"]]
+                        out["blocks"] += [k["blocks"] for k in p["keys"]]
                         out["set"] += [p["set"]] * m
                         out["sketch"] += [own] * m
-                yield pa.RecordBatch.from_arrays([pa.array(out["band"], pa.int32()), pa.array(out["key"], pa.int64()), pa.array(out["set"], pa.int64()),
-                                                  pa.array(out["sketch"], pa.binary())], names=["band", "key", "set", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(out["band"], pa.int32()), pa.array(out["key"], pa.int64()), pa.array(out["blocks"], pa.int32()),
+                                                  pa.array(out["set"], pa.int64()), pa.array(out["sketch"], pa.binary())], names=list(out))
 
-    rows = lookup_join(given.filter(F.col("doc_id").isNotNull()), wanted, ["doc_id"]).select("text", "places").mapInArrow(sketch, kinds).distinct()
-    rows = stage(rows)
-    crowded = stage(rows.groupBy("band", "key").count().filter(F.col("count") > SKETCHES).select("band", "key", F.ceil(F.col("count") / SKETCHES).cast("int").alias("blocks")))
-    tiled = lookup_join(rows, crowded, ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = lookup_join(given.filter(F.col("doc_id").isNotNull()), wanted, ["doc_id"]).select("text", "places").mapInArrow(sketch, kinds)
     block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    tiled = (tiled.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = (rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "sketch"))
     work = ["band", "key", "i", "j"]
 
