@@ -10,7 +10,7 @@ visits leaves in the order in which they come out.  How many leaves is calibrate
 widened until ``recall`` of these neighbours lie in visited leaves.  The neighbours of
 a query come from all its leaves, scored in double precision on the given vectors.
 
-Skew: a leaf is worked on in tiles of rows and of queries, so one with a third
+Skew: small leaves are worked on together, a large one in tiles of rows and of queries, so one with a third
 of all rows (copies of one vector) is many tasks.  Only the best ``k`` of a query and tile leave a task.
 """
 
@@ -45,14 +45,20 @@ def scores(queries: np.ndarray, vecs: np.ndarray, q: np.ndarray, r: np.ndarray)
     return out
 
 
-def best_of(queries: np.ndarray, query_ids: np.ndarray, vecs: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query number, row number, score) of the ``k`` best rows of each query without rows of its own id; of equal scores the smaller ids."""
+def best_of(queries: np.ndarray, query_ids: np.ndarray, vecs: np.ndarray, ids: np.ndarray, k: int,
+            only: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, row number, score) of the ``k`` best rows of each query without rows of its own id; of equal scores the smaller ids.
+
+    ``only`` holds which leaves (by number) a query sees, and the leaf of each row.
+    """
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     size = np.abs(vecs).max(initial=0.0)
     for a in range(0, len(queries), 256):
         part = queries[a:a + 256]
         near = part @ vecs.T
         near[query_ids[a:a + 256, None] == ids] = -np.inf
+        if only is not None:
+            near[~only[0][a:a + 256][:, only[1]]] = -np.inf
         able = near > -np.inf
         if len(ids) > k:
             least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
@@ -243,6 +249,22 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     return found
 
 
+def shelves(tree: Tree, counts: dict[int, int]) -> list[tuple[int, int, int]]:
+    """(leaf, shelf, tiles of the shelf): leaves in the order of the tree, a shelf is full with ``TILE_ROWS`` rows."""
+    out, todo, shelf, held = [], [0], 0, 0
+    while todo:
+        node = todo.pop()
+        todo += reversed(tree.children[node])
+        n = counts.get(node, 0)
+        if not n:
+            continue
+        if held and held + n > TILE_ROWS:
+            shelf, held = shelf + 1, 0
+        held += n
+        out.append((node, shelf, -(-n // TILE_ROWS)))
+    return out
+
+
 def _search(rows: DataFrame, dims: int, every: int, k: int, recall: float, sample: int, leaf_rows: int) -> DataFrame:
     tree, kind = fit_tree(rows, dims, rows.count(), sample, leaf_rows=leaf_rows), rows.schema["vec"].dataType.simpleString()
 
@@ -260,22 +282,31 @@ def _search(rows: DataFrame, dims: int, every: int, k: int, recall: float, sampl
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.list_(pa.int64())), *batch.columns], names=["leaves", "vec_id", "vec", "query"])
 
     sent = stage(queries.select("vec_id", "vec", "query").mapInArrow(plan, f"leaves array<long>, vec_id long, vec {kind}, query long"))
-    asks = sent.select("vec_id", "query", "vec", F.explode("leaves").alias("leaf"))
-    # how many tiles a leaf has on both sides; the number of leaves is bounded by the sample
-    asked = asks.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TILE_QUERIES).cast("int").alias("ask_tiles"))
-    sizes = stage(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("row_tiles")).join(asked, "leaf"))
+    # neighbouring leaves share a shelf of about TILE_ROWS rows; one row per leaf reaches the driver, and leaves are bounded by the sample
+    counts = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table = rows.sparkSession.createDataFrame(shelves(tree, counts), "leaf long, shelf long, row_tiles int")
+    table = stage(table)
+    asks = lookup_join(sent.select("vec_id", "query", "vec", F.explode("leaves").alias("leaf")), table, ["leaf"])
+    asks = stage(asks.groupBy("shelf", "vec_id", "query").agg(F.first("vec").alias("vec"), F.collect_list("leaf").alias("leaves"), F.max("row_tiles").alias("row_tiles")))
+    asked = asks.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / TILE_QUERIES).cast("int").alias("ask_tiles"))
+    asked = stage(asked)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["leaf", "ask_tile", "row_tile"]
-    left = (lookup_join(asks, sizes, ["leaf"]).withColumn("ask_tile", F.pmod("query", "ask_tiles").cast("int"))
-            .withColumn("row_tile", each("row_tiles")).select(*keys, "vec_id", "query", "vec"))
-    right = (lookup_join(placed, sizes, ["leaf"]).withColumn("row_tile", F.pmod(F.xxhash64("vec_id", "vec"), F.col("row_tiles")).cast("int"))
-             .withColumn("ask_tile", each("ask_tiles")).select(*keys, "vec_id", "vec"))
+    keys = ["shelf", "ask_tile", "row_tile"]
+    left = (lookup_join(asks, asked, ["shelf"]).withColumn("ask_tile", F.pmod("query", "ask_tiles").cast("int"))
+            .withColumn("row_tile", each("row_tiles")).select(*keys, "vec_id", "query", "vec", "leaves"))
+    right = (lookup_join(lookup_join(placed, table, ["leaf"]), asked, ["shelf"]).withColumn("row_tile", F.pmod(F.xxhash64("vec_id", "vec"), F.col("row_tiles")).cast("int"))
+             .withColumn("ask_tile", each("ask_tiles")).select(*keys, "vec_id", "vec", "leaf"))
 
     def score(asking: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         if not len(asking) or not len(tile):
             return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
         own, ids = asking["vec_id"].to_numpy(), tile["vec_id"].to_numpy()
-        q, r, s = best_of(np.stack(asking["vec"].to_numpy()).astype(float), own, np.stack(tile["vec"].to_numpy()).astype(float), ids, k)
+        leaves, leaf = np.unique(tile["leaf"].to_numpy(), return_inverse=True)
+        seen = np.zeros((len(asking), len(leaves) + 1), bool)
+        for i, asked_leaves in enumerate(asking["leaves"]):
+            at = np.searchsorted(leaves, asked_leaves)
+            seen[i, at[leaves[np.minimum(at, len(leaves) - 1)] == asked_leaves]] = True      # a tile need not hold rows of every leaf
+        q, r, s = best_of(np.stack(asking["vec"].to_numpy()).astype(float), own, np.stack(tile["vec"].to_numpy()).astype(float), ids, k, (seen, leaf))
         return pd.DataFrame({"query": asking["query"].to_numpy()[q], "query_id": own[q], "vec_id": ids[r], "score": s})
 
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "query long, query_id long, vec_id long, score double")
