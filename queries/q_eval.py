@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlog.config import DetectorConfig
+from siftlog.config import settings
 from siftlog.functions.text import alert_key
 from siftlog.functions.levels import severity
 from siftlog.operators import alerts as AL, evaluate as EV, rolling, supervised as SU
@@ -137,7 +137,7 @@ Q["detect_full"] = detect_full
 
 
 def benchmark_report(spark, sf):
-    return BM.benchmark_report(labelled_entries(spark, sf).drop("score"), DetectorConfig(learn_synonyms=False))
+    return BM.benchmark_report(labelled_entries(spark, sf).drop("score"), settings(learn_synonyms=False))
 
 
 Q["benchmark_report"] = benchmark_report
@@ -160,7 +160,7 @@ SQL["alert_cooldown"] = f"""WITH RECURSIVE {ALERTS}, q AS MATERIALIZED (SELECT *
 walk AS (SELECT app, key, ts, alert_id, k, ts AS last, TRUE AS ok FROM q WHERE k = 1
   UNION ALL SELECT q.app, q.key, q.ts, q.alert_id, q.k, CASE WHEN q.ts - w.last >= 300 THEN q.ts ELSE w.last END, q.ts - w.last >= 300 FROM walk w JOIN q ON q.app = w.app AND q.key = w.key AND q.k = w.k + 1)
 SELECT app, key, ts, alert_id FROM walk WHERE ok"""
-Q["alert_hourly_cap"] = lambda spark, sf: AL.alert_gate(_alerts(spark, sf), cooldown=30.0, max_per_hour=8, chunk_rows=500).select("app", "key", "ts", "alert_id")
+Q["alert_hourly_cap"] = lambda spark, sf: AL.alert_gate(_alerts(spark, sf), cooldown=30.0, max_per_hour=8).select("app", "key", "ts", "alert_id")
 SQL["alert_hourly_cap"] = f"""WITH RECURSIVE {ALERTS}, q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY app ORDER BY ts, alert_id) AS k FROM al),
 walk AS (SELECT app, key, ts, alert_id, k, TRUE AS ok, [{{'t': ts, 'key': key}}] AS st FROM q WHERE k = 1
   UNION ALL SELECT app, key, ts, alert_id, k, ok, CASE WHEN ok THEN list_append(st, {{'t': ts, 'key': key}}) ELSE st END FROM (

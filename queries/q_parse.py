@@ -107,13 +107,13 @@ SQL["detect_format"] = "WITH " + DET_DUCK + " SELECT line_no, fmt AS format FROM
 
 def parse_fallback(spark, sf):
     """Every line under two wrong formats: a JSON error gives INFO, a pattern error a guessed level."""
-    raw = C.raw_lines(spark, sf).select("line_no", "value").filter(~F.col("value").startswith("<"))
+    raw = C.raw_lines(spark, sf).select("line_no", "value")
     raw = raw.withColumn("format", F.when(F.col("line_no") % 2 == 0, "JSON").otherwise("HEALTHAPP"))
     return P.parse_lines(raw).filter("not parsed").select("line_no", "format", "ts_raw", "level", "service", "message")
 
 
 Q["parse_fallback"] = parse_fallback
-SQL["parse_fallback"] = f"""WITH {C.RAW_DUCK}, x AS (SELECT line_no, {LN} AS ln FROM raw_lines WHERE regexp_matches(value, '\\S') AND value NOT LIKE '<%')
+SQL["parse_fallback"] = f"""WITH {C.RAW_DUCK}, x AS (SELECT line_no, {LN} AS ln FROM raw_lines WHERE regexp_matches(value, '\\S'))
 SELECT line_no, CASE WHEN line_no % 2 = 0 THEN 'JSON' ELSE 'HEALTHAPP' END AS format, '' AS ts_raw,
   CASE WHEN line_no % 2 = 0 THEN 'INFO' ELSE {S.infer_level('ln')} END AS level, 'unknown' AS service, ln AS message
 FROM x WHERE CASE WHEN line_no % 2 = 0 THEN NOT (json_valid(ln) AND ln LIKE '{{%') ELSE NOT regexp_matches(ln, {S.lit(X.LINE_PATTERNS['HEALTHAPP'])}) END"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlog.config import SENSITIVITY
+from siftlog.config import THRESHOLDS
 from siftlog.functions import features as FE, fixed as X, levels as LV, text as T, times as D, vectors as V
 from siftlog.operators.alerts import app_records as records
 
@@ -66,14 +66,14 @@ _q("alert_key", lambda: {"alert": T.alert_key("level", "service", "message")},
 
 def page_masks(spark, sf):
     """Masks on long, messy, non-log text: whole pages, in three mask families."""
-    pages = C.table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", r"[^\x00-\x7f]", "e"))
+    pages = C.table(spark, sf, "pages")
     return pages.select("page_id", F.md5(T.template_key("html")).alias("template"), F.md5(T.family_key("html")).alias("family"),
                         F.md5(T.scan_mask("html")).alias("mask"))
 
 
 Q["page_masks"] = page_masks
 SQL["page_masks"] = (f"SELECT page_id, md5({S.template_key('html')}) AS template, md5({S.family_key('html')}) AS family, md5({S.scan_mask('html')}) AS mask "
-                     "FROM (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7f]', 'e', 'g') AS html FROM pages)")
+                     "FROM pages")
 
 _words = ["ECONNRESET", "ETIMEDOUT", "ENOENT", "executor", "NullPointerException", "dbConn", "node42", "k8s", "HTTPServer", "oom", "eval", "ERRNO", "abc12de", "cfg7"]
 _pick = ", ".join(S.lit(w) for w in _words)
@@ -181,7 +181,7 @@ SQL["soft_cap"] = SQL["soft_cap"].replace("FROM logs", "FROM (SELECT entry_id, v
 def flag_threshold(spark, sf):
     """Rows that each sensitivity preset flags, for a score made of the event value."""
     score = V.soft_cap(F.col("value") / 100.0)
-    marks = F.array(*[F.struct(F.lit(k).alias("sensitivity"), (score >= t).alias("f")) for k, t in SENSITIVITY.items()])
+    marks = F.array(*[F.struct(F.lit(k).alias("sensitivity"), (score >= t).alias("f")) for k, t in THRESHOLDS.items()])
     return (C.logs(spark, sf).select(F.explode(marks).alias("m")).groupBy("m.sensitivity")
             .agg(F.count_if("m.f").alias("flagged"), F.count_if(~F.col("m.f")).alias("normal")))
 

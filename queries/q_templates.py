@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlog.config import DetectorConfig
+from siftlog.config import Settings
 from siftlog.functions import fixed as X
 from siftlog.functions.features import feature_vector
 from siftlog.functions.vectors import row_normalize
@@ -17,12 +17,12 @@ from . import corpus as C
 from . import sqltext as S
 
 Q, SQL = {}, {}
-CFG = DetectorConfig()
+CFG = Settings()
 
 
 def prepared(spark, sf):
     """Entries with their derived columns, staged once per application like a table."""
-    return C._once(spark, sf, "prepared", lambda: TP.prepare(C.entries(spark, sf), CFG))
+    return C._once(spark, sf, "prepared", lambda: TP.prepare(C.entries(spark, sf)))
 
 
 PREP = C.LOGS_DUCK + f""",
@@ -57,7 +57,7 @@ def baseline(spark, sf):
 
 
 def template_counts(spark, sf):
-    return TP.template_counts(TP.prepare(C.entries(spark, sf), CFG)).drop("first_id")
+    return TP.template_counts(TP.prepare(C.entries(spark, sf))).drop("first_id")
 
 
 Q["template_counts"] = template_counts
@@ -92,7 +92,7 @@ def document_templates(spark, sf):
     """Templates of the lines of all documents: long, multilingual, repeated text."""
     docs = C.table(spark, sf, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "message")).filter(F.trim("message") != "")
-    t = TP.prepare(lines.select((F.col("doc_id") * 100000 + F.col("pos")).alias("entry_id"), "message", F.lit("INFO").alias("level"), F.lit("").alias("ts_raw")), CFG)
+    t = TP.prepare(lines.select((F.col("doc_id") * 100000 + F.col("pos")).alias("entry_id"), "message", F.lit("INFO").alias("level"), F.lit("").alias("ts_raw")))
     return TP.template_counts(t)
 
 
@@ -100,7 +100,7 @@ Q["document_templates"] = document_templates
 
 
 def burst_windows(spark, sf):
-    return BU.hot_windows(BU.with_window(prepared(spark, sf), CFG), CFG).select("sev", F.col("win").cast("bigint").alias("win"), "cnt", "base", "cut")
+    return BU.hot_windows(BU.with_window(prepared(spark, sf))).select("sev", F.col("win").cast("bigint").alias("win"), "cnt", "base", "cut")
 
 
 Q["burst_windows"] = burst_windows
@@ -108,25 +108,25 @@ SQL["burst_windows"] = "WITH " + PREP + BURST + " SELECT sev, CAST(win AS BIGINT
 
 
 def burst_entries(spark, sf):
-    return BU.mark_bursts(prepared(spark, sf), CFG).filter("burst").select("entry_id", "sev")
+    return BU.mark_bursts(prepared(spark, sf)).filter("burst").select("entry_id", "sev")
 
 
 Q["burst_entries"] = burst_entries
 SQL["burst_entries"] = "WITH " + PREP + BURST + " SELECT entry_id, sev FROM bent WHERE burst"
 
-Q["incident_mode"] = lambda spark, sf: FL.incident(prepared(spark, sf), DetectorConfig(incident_share=0.15))
+Q["incident_mode"] = lambda spark, sf: FL.incident(prepared(spark, sf), FL.Volumes(incident=0.15))
 SQL["incident_mode"] = "WITH " + PREP + """ SELECT count(*) AS entries, count_if(sev <= 3) AS severe_entries, count_if(sev <= 3) / count(*)::DOUBLE AS severe_share,
   count_if(sev <= 3) / count(*)::DOUBLE >= 0.15 AS incident_mode, CASE WHEN count_if(sev <= 3) / count(*)::DOUBLE >= 0.15 THEN
   format('{:.0f}', count_if(sev <= 3) / count(*)::DOUBLE * 100) || '% of entries are ERROR or worse — corpus looks like an incident window' ELSE '' END AS incident_note FROM prep"""
 
 
 def flagged_templates(spark, sf, with_baseline=True):
-    p = BU.mark_bursts(prepared(spark, sf), CFG)
+    p = BU.mark_bursts(prepared(spark, sf))
     n = prepared(spark, sf).count()
     t = stage(TP.build_templates(p, FL.head_cut(n)))
     if with_baseline:
-        t = BL.compare(t, baseline(spark, sf), F.lit(n), CFG)
-    return FL.add_flags(t, n, CFG, has_baseline=with_baseline)
+        t = BL.compare(t, baseline(spark, sf), F.lit(n))
+    return FL.add_flags(t, n, has_baseline=with_baseline)
 
 
 def template_flags(spark, sf):
@@ -238,13 +238,13 @@ SQL["level_outliers"] = "WITH " + PREP + BURST + TPL + OUT + " SELECT template_i
 def scored_once(spark, sf):
     """Templates with all statistics and scored entries; staged, as a results table would be."""
     t = C._once(spark, sf, "stats", lambda: SR.add_level_and_cluster_sizes(with_outliers(with_word_clusters(flagged_templates(spark, sf)))))
-    scored = C._once(spark, sf, "scored", lambda: SR.flag(SR.score_entries(BU.mark_bursts(prepared(spark, sf), CFG), t, CFG), CFG.flag_threshold))
+    scored = C._once(spark, sf, "scored", lambda: SR.flag(SR.score_entries(BU.mark_bursts(prepared(spark, sf)), t), CFG.threshold))
     return t, scored
 
 
 def score_entries(spark, sf):
     t = SR.add_level_and_cluster_sizes(with_outliers(with_word_clusters(flagged_templates(spark, sf))))
-    s = SR.flag(SR.score_entries(BU.mark_bursts(prepared(spark, sf), CFG), stage(t), CFG), CFG.flag_threshold)
+    s = SR.flag(SR.score_entries(BU.mark_bursts(prepared(spark, sf)), stage(t)), CFG.threshold)
     return s.select("entry_id", "template_id", "cluster", F.round("score", 6).alias("score"), F.array_join("reason_codes", ",").alias("codes"), "flagged")
 
 
@@ -322,7 +322,7 @@ _over_scored("anomaly_groups", lambda t, s: G.anomaly_groups(s).select(
     sv AS (SELECT lvl, template, array_to_string(list_sort(list_distinct(list(service)))[1:5], ',') AS services FROM hit GROUP BY 1, 2)
     SELECT h.lvl, h.template, count(*) AS cnt, round(max(score), 6) AS score, arg_min(message, entry_id) AS rep_message, any_value(ra.reasons) AS reasons, any_value(sv.services) AS services
     FROM hit h JOIN ra ON ra.lvl = h.lvl AND ra.template = h.template JOIN sv ON sv.lvl = h.lvl AND sv.template = h.template GROUP BY h.lvl, h.template""")
-_over_scored("patterns", lambda t, s: G.patterns(s, s.count(), CFG).select("lvl", "template", "cnt", F.round("share", 9).alias("share"), "flagged", "rep_message", F.array_join("services", ",").alias("services")),
+_over_scored("patterns", lambda t, s: G.patterns(s, s.count()).select("lvl", "template", "cnt", F.round("share", 9).alias("share"), "flagged", "rep_message", F.array_join("services", ",").alias("services")),
              """SELECT lvl, template, count(*) AS cnt, round(count(*) / (SELECT count(*) FROM scored)::DOUBLE, 9) AS share, bool_or(score >= 0.70) AS flagged, arg_min(message, entry_id) AS rep_message,
              array_to_string(list_sort(list_distinct(list(service)))[1:5], ',') AS services FROM scored WHERE sev <= 4 GROUP BY lvl, template HAVING count(*) >= 5
              ORDER BY min(sev), count(*) DESC, lvl, template LIMIT 15""")
@@ -357,7 +357,7 @@ _over_scored("sorted_anomalies", lambda t, s: G.sorted_anomalies(G.report_rows(_
 _over_scored("explain_top", lambda t, s: G.explain_top(s.withColumn("score", F.round("score", 9)), 25).select("entry_id", "score", F.array_join("reasons", "; ").alias("reasons")),
              "SELECT entry_id, round(score, 9) AS score, array_to_string(reasons, '; ') AS reasons FROM scored ORDER BY round(score, 9) DESC, entry_id LIMIT 25")
 _over_scored("cluster_sizes", lambda t, s: G.cluster_sizes(t), "SELECT cluster, CAST(sum(cnt) AS BIGINT) AS entries, count(*) AS templates FROM st GROUP BY cluster")
-_over_scored("run_summary", lambda t, s: G.run_summary(s, G.anomaly_groups(s), G.patterns(s, s.count(), CFG), t),
+_over_scored("run_summary", lambda t, s: G.run_summary(s, G.anomaly_groups(s), G.patterns(s, s.count()), t),
              """SELECT count(*) AS entries, (SELECT count(DISTINCT cluster) FROM st WHERE cluster <> -1) AS clusters, count_if(score >= 0.70) AS anomalies, count_if(cluster = -1) AS noise_points,
              (SELECT count(*) FROM (SELECT DISTINCT lvl, template FROM hit)) AS anomaly_groups,
              (SELECT least(15, count(*)) FROM (SELECT 1 FROM scored WHERE sev <= 4 GROUP BY lvl, template HAVING count(*) >= 5)) AS patterns FROM scored""")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftlog.config import DetectorConfig
 from siftlog.functions import fixed as X
 from siftlog.functions.vectors import row_normalize
 from siftlog.operators import cluster as CL, neighbors as NB, synonyms as SY, templates as TP, textvec as TV
@@ -16,7 +15,6 @@ from .q_scalars import TERMS, TOKENS, WORDS
 from .q_templates import prepared
 
 Q, SQL = {}, {}
-CFG = DetectorConfig()
 EPS = 1.14          # radius of the checks on the given vectors
 
 
@@ -25,7 +23,7 @@ def _docs(spark, sf):
 
 
 def tfidf_vocab(spark, sf):
-    return TV.fit_vocabulary(_docs(spark, sf), CFG).select("idx", "term", "tf", "df", F.round("idf", 9).alias("idf"))
+    return TV.fit_vocabulary(_docs(spark, sf)).select("idx", "term", "tf", "df", F.round("idf", 9).alias("idf"))
 
 
 VOCAB = f""",
@@ -41,7 +39,7 @@ SQL["tfidf_vocab"] = "WITH " + C.LOGS_DUCK + VOCAB + " SELECT CAST(idx AS INT) A
 
 def tfidf_vectors(spark, sf):
     docs = _docs(spark, sf)
-    return TV.tfidf(docs, TV.fit_vocabulary(docs, CFG), "entry_id").select("entry_id", "term", F.round("weight", 6).alias("weight"))
+    return TV.tfidf(docs, TV.fit_vocabulary(docs), "entry_id").select("entry_id", "term", F.round("weight", 6).alias("weight"))
 
 
 Q["tfidf_vectors"] = tfidf_vectors
@@ -52,7 +50,7 @@ SELECT entry_id, term, round(r / sqrt(sum(r * r) OVER (PARTITION BY entry_id)),
 def document_vocab(spark, sf):
     """Vocabulary of all documents, whole texts."""
     docs = C.table(spark, sf, "documents").select(F.col("text").alias("message"))
-    return TV.fit_vocabulary(TV.with_normalized(docs), CFG).select("term", "tf", "df")
+    return TV.fit_vocabulary(TV.with_normalized(docs)).select("term", "tf", "df")
 
 
 Q["document_vocab"] = document_vocab
@@ -62,8 +60,8 @@ SQL["document_vocab"] = "WITH " + C.LOGS_DUCK + VOCAB.replace("SELECT entry_id,
 def embed_templates(spark, sf):
     p = prepared(spark, sf)
     t = TP.build_templates(p)
-    voc = TV.fit_vocabulary(TV.with_normalized(p.select("message")), CFG)
-    v = TV.embed_templates(t, voc, CFG)
+    voc = TV.fit_vocabulary(TV.with_normalized(p.select("message")))
+    v = TV.embed_templates(t, voc)
     return v.select("template_id", F.size("vec").cast("bigint").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
 
 

@@ -1,8 +1,8 @@
 """Log anomaly analytics on Spark DataFrames."""
 
-from .config import DetectorConfig
+from .config import Settings, settings
 
-__all__ = ["DetectorConfig", "analyze", "detect", "parse_logs", "read_logs"]
+__all__ = ["Settings", "settings", "analyze", "detect", "parse_logs", "read_logs"]
 
 
 def __getattr__(name):

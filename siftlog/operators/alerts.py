@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.levels import record_level, severity
 from ..functions.text import alert_key
-from ..runtime import number_ordered, stage
+from ..runtime import stage
 
 COOLDOWN, MAX_PER_HOUR, HOUR = 300.0, 30, 3600.0
-CHUNK_ROWS = 1_000_000
+FORGET_KEYS = 1_000           # keys held before those that no longer cool down are dropped
 
 
 def alert_min_level(anomalies: DataFrame, level: str) -> DataFrame:
@@ -59,60 +58,64 @@ class Gate:
         self.last = {k: t for k, t in self.last.items() if now - t < self.cooldown}
 
 
-def alert_gate(alerts: DataFrame, cooldown: float = COOLDOWN, max_per_hour: int | None = MAX_PER_HOUR,
-               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def _spans(first: DataFrame, owner: list[str], silence: float) -> DataFrame:
+    """Rows with ``_span``: a new span of an owner begins after a silence of at least ``silence`` seconds.
+
+    Neighbouring alerts that far apart never share a bucket of that width, so
+    buckets are aggregated first and only their ends are compared: one row per
+    owner and bucket, however many alerts it holds.
+    """
+    rows = first.withColumn("_bucket", F.floor(F.col("ts") / F.lit(silence)))
+    ends = rows.groupBy(*owner, "_bucket").agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
+    order = W.partitionBy(*owner).orderBy("_bucket")
+    begins = F.coalesce(F.col("_lo") - F.lag("_hi").over(order) >= F.lit(silence), F.lit(True))
+    spans = (ends.withColumn("_begins", begins.cast("int")).withColumn("_span", F.sum("_begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+             .select(*[F.col(c).alias(f"_{c}") for c in owner], F.col("_bucket").alias("_at"), "_span"))
+    same = F.col("_bucket") == F.col("_at")
+    for c in owner:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(spans, same).select(*first.columns, "_span")
+
+
+def alert_gate(alerts: DataFrame, cooldown: float = COOLDOWN, max_per_hour: int | None = MAX_PER_HOUR) -> DataFrame:
     """``app, key, ts, alert_id`` of the alerts that pass, in time order per application.
 
-    ``alerts`` has ``app, key, ts, alert_id``.  Alerts of one key at one moment
-    are reduced to the first before anything is ordered: the others are
-    suppressed whatever happens.  Applications with more than ``chunk_rows``
-    remaining rows are worked through in chunks that hand on their small state,
-    so no task holds more than one chunk.
+    ``alerts`` has ``app, key, ts, alert_id``; rows without ``ts`` never pass,
+    null applications and keys are values like others.  Alerts of one key at
+    one moment are reduced to the first before anything is ordered: the others
+    are suppressed whatever happens.
+
+    With a cap all keys of an application share one state; without, each key
+    has its own.  The state is empty after a silence as long as it reaches
+    back (an hour or the cooldown), so the time line is cut there and the spans
+    are spread over the cluster.  A task walks its sorted spans batch by batch
+    and holds only the state, at most the cap's stamps and the keys that cool
+    down.  A span without any silence is one sorted walk by its nature.
     """
-    first = alerts.groupBy("app", "key", "ts").agg(F.min("alert_id").alias("alert_id"))
-    placed = number_ordered(first, [F.col("app"), F.col("ts"), F.col("alert_id")], "pos")
-    starts = placed.groupBy("app").agg(F.min("pos").alias("_from"))
-    placed = stage(placed.join(starts, "app").withColumn(
-        "chunk", F.floor((F.col("pos") - F.col("_from")) / chunk_rows).cast("int")).drop("_from"))
-    chunks = (placed.agg(F.max("chunk")).first()[0] or 0) + 1
-    columns = "app string, key string, ts double, alert_id bigint"
-
-    def run(pdf: pd.DataFrame, gate: Gate) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        ok = [gate.allow(k, t) for k, t in zip(pdf["key"], pdf["ts"])]
-        return pdf.loc[ok, ["app", "key", "ts", "alert_id"]]
-
-    if chunks == 1:
-        return placed.groupBy("app").applyInPandas(lambda pdf: run(pdf, Gate(cooldown, max_per_hour)), columns)
-
-    # the state of an application: the stamps of its last hour and its cooling keys
-    out, state = None, None
-    for c in range(chunks):
-        part = placed.filter(F.col("chunk") == c)
-
-        def step(rows: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-            gate = Gate(cooldown, max_per_hour)
-            if len(carried):
-                stamps, keys = carried[carried["stamp"]], carried[~carried["stamp"]]
-                gate = Gate(cooldown, max_per_hour, sorted(stamps["ts"]), dict(zip(keys["key"], keys["ts"])))
-            passed = run(rows, gate).assign(passed=True, stamp=False) if len(rows) else pd.DataFrame()
-            if len(rows):
-                gate.forget(float(rows["ts"].max()))
-            app = (rows if len(rows) else carried)["app"].iloc[0]
-            keep = [(app, k, t, 0, False, False) for k, t in gate.last.items()]
-            keep += [(app, "", t, 0, False, True) for t in gate.stamps]
-            kept = pd.DataFrame(keep, columns=["app", "key", "ts", "alert_id", "passed", "stamp"])
-            frames = [f for f in (passed, kept) if len(f)]
-            return pd.concat(frames)[["app", "key", "ts", "alert_id", "passed", "stamp"]] if frames else kept
-
-        schema = columns + ", passed boolean, stamp boolean"
-        if state is None:
-            state = part.sparkSession.createDataFrame([], schema).select("app", "key", "ts", "stamp")
-        done = stage(part.groupBy("app").cogroup(state.groupBy("app")).applyInPandas(step, schema))
-        state = done.filter("not passed").select("app", "key", "ts", "stamp")
-        passed = done.filter("passed").select("app", "key", "ts", "alert_id")
-        out = passed if out is None else out.union(passed)
-    return out
+    columns = ["app", "key", "ts", "alert_id"]
+    first = (alerts.filter(F.col("ts").isNotNull() & ~F.isnan(F.col("ts").cast("double")))
+             .groupBy("app", "key", F.col("ts").cast("double").alias("ts")).agg(F.min("alert_id").alias("alert_id")))
+    owner = ["app"] if max_per_hour is not None else ["app", "key"]
+    silence = float(cooldown) if max_per_hour is None else max(HOUR, float(cooldown))
+    if silence <= 0:
+        return first.select(*columns)          # nothing ever cools down
+
+    def walk(batches):
+        at, gate = None, None
+        for pdf in batches:
+            ok = []
+            for app, key, ts, span in zip(pdf["app"], pdf["key"], pdf["ts"], pdf["_span"]):
+                place = (app, key if max_per_hour is None else None, span)
+                if gate is None or place != at:
+                    at, gate = place, Gate(cooldown, max_per_hour)
+                ok.append(gate.allow(key, ts))
+                if len(gate.last) > FORGET_KEYS and ok[-1]:
+                    gate.forget(ts)
+            yield pdf.loc[ok, columns]
+
+    placed = stage(_spans(first, owner, silence))
+    return (placed.repartition(*owner, "_span").sortWithinPartitions(*owner, "_span", "ts", "alert_id")
+            .mapInPandas(walk, "app string, key string, ts double, alert_id bigint"))
 
 
 def alert_stats(alerts: DataFrame, passed: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DetectorConfig
 from ..runtime import lookup_join, stage
 
+SURGE_LEAST = 3               # fixed value: entries of a template that can surge
+
 
 def baseline_key(level: Column, template: Column) -> Column:
     return F.concat(level, F.lit("|"), template)
@@ -18,7 +19,7 @@ def build_baseline(prepared: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("base_count")))
 
 
-def compare(templates: DataFrame, baseline: DataFrame, n: Column, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def compare(templates: DataFrame, baseline: DataFrame, n: Column, least: int = SURGE_LEAST) -> DataFrame:
     """Add ``base_count, novel, surge`` to templates (left join on the key); nothing is novel to an empty baseline."""
     baseline = stage(baseline)
     total_rows = baseline.agg(F.coalesce(F.sum("base_count"), F.lit(0))).first()[0]
@@ -28,7 +29,7 @@ def compare(templates: DataFrame, baseline: DataFrame, n: Column, cfg: DetectorC
               .withColumn("base_count", F.coalesce("base_count", F.lit(0).cast("bigint"))))
     known = F.col("base_count") > 0
     surge = (known & (total > 0) & (F.col("cnt") / n > 10 * (F.col("base_count") / total))
-             & (F.col("cnt") >= cfg.rare_min))
+             & (F.col("cnt") >= least))
     return joined.withColumn("novel", F.lit(bool(total_rows)) & ~known).withColumn("surge", F.coalesce(surge, F.lit(False))).drop("template_key")
 
 

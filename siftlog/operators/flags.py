@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DetectorConfig
 from ..functions import fixed as X
 from ..functions.text import fixed_point
 
 
+# fixed values: the defaults decide results
+@dataclass(frozen=True)
+class Volumes:
+    """Shares of all entries: of a flooding template, of a recurring one (or ``recurring_least`` entries), of severe ones in an incident."""
+
+    flood: float = 0.20
+    recurring: float = 0.002
+    recurring_least: int = 5
+    incident: float = 0.30
+
+
 def head_cut(n: int) -> int:
     return int(n * X.HISTORY_HEAD)
 
 
-def add_flags(templates: DataFrame, n: int, cfg: DetectorConfig = DetectorConfig(),
+def add_flags(templates: DataFrame, n: int, volumes: Volumes = Volumes(),
               has_baseline: bool = False) -> DataFrame:
     """Row-local rules over template counts; ``n`` is the number of entries."""
     share = F.col("cnt") / F.lit(n)
@@ -22,14 +34,14 @@ def add_flags(templates: DataFrame, n: int, cfg: DetectorConfig = DetectorConfig
     out = (templates.withColumn("share", share)
            .withColumn("span", span)
            .withColumn("head_share", F.col("head_cnt") / F.col("cnt"))
-           .withColumn("flood", severe & (share >= cfg.flood_share))
+           .withColumn("flood", severe & (share >= volumes.flood))
            .withColumn("global_rare", share <= X.GLOBAL_RARE_SHARE))
     if not has_baseline:
         out = out.withColumn("novel", F.lit(False)).withColumn("surge", F.lit(False))
         known_noise: Column = F.lit(False)
     else:
         known_noise = ~F.col("novel") & ~F.col("surge")
-    recurring_cut = max(cfg.recurring_min, int(n * cfg.recurring_share))
+    recurring_cut = max(volumes.recurring_least, int(n * volumes.recurring))
     chronic = (F.col("sev").isin(3, 4)
                & ((share >= X.CHRONIC_SHARE) | (F.col("cnt") >= X.CHRONIC_MIN_COUNT))
                & (F.col("span") >= X.CHRONIC_SPREAD) & ~F.coalesce("any_burst", F.lit(False)))
@@ -37,13 +49,13 @@ def add_flags(templates: DataFrame, n: int, cfg: DetectorConfig = DetectorConfig
             .withColumn("chronic", chronic))
 
 
-def incident(entries: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def incident(entries: DataFrame, volumes: Volumes = Volumes()) -> DataFrame:
     """One row: severe entries, their share, incident mode and the note."""
     total = F.count(F.lit(1))
     severe = F.count_if(F.col("sev") <= 3)
     row = entries.agg(total.alias("entries"), severe.alias("severe_entries"))
     share = F.when(F.col("entries") > 0, F.col("severe_entries") / F.col("entries")).otherwise(0.0)
-    row = row.withColumn("severe_share", share).withColumn("incident_mode", F.col("severe_share") >= cfg.incident_share)
+    row = row.withColumn("severe_share", share).withColumn("incident_mode", F.col("severe_share") >= volumes.incident)
     note = F.when(F.col("incident_mode"), F.concat(
         fixed_point(F.col("severe_share") * 100, 0),
         F.lit("% of entries are ERROR or worse — corpus looks like an incident window"))).otherwise("")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DetectorConfig
 from ..functions.levels import keep_in_report, severity, sort_severity
 from ..functions.text import family_key
 from ..runtime import lookup_join, number_ordered
 from .templates import KEY, first_services
 
+PATTERN_LEAST, PATTERN_TOP = 5, 15        # fixed values
+
 
 def _merged_reasons(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Ordered union of the reason lists of each key.
@@ -39,16 +40,16 @@ def anomaly_groups(scored: DataFrame, reasons: str = "reasons") -> DataFrame:
             .orderBy(F.desc("score"), severity("lvl"), F.desc("cnt"), "lvl", "template"))
 
 
-def patterns(scored: DataFrame, n: int, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Recurring severe templates, flagged or not: the top ``max_patterns`` by severity and count."""
+def patterns(scored: DataFrame, n: int, least: int = PATTERN_LEAST, top: int = PATTERN_TOP) -> DataFrame:
+    """Recurring severe templates, flagged or not: the ``top`` first ones of at least ``least`` entries, by severity and count."""
     severe = scored.filter(F.col("sev") <= 4)
     totals = (severe.groupBy(*KEY).agg(
         F.first("sev").alias("sev"), F.count(F.lit(1)).alias("cnt"), F.max("flagged").alias("flagged"),
         F.min_by("message", "entry_id").alias("rep_message"))
-        .filter(F.col("cnt") >= cfg.pattern_min).withColumn("share", F.col("cnt") / F.lit(n)))
-    top = totals.orderBy("sev", F.desc("cnt"), "lvl", "template").limit(cfg.max_patterns)
-    few = severe.join(F.broadcast(top.select(*KEY)), KEY, "left_semi")      # at most max_patterns keys
-    return top.join(first_services(few, KEY), KEY).orderBy("sev", F.desc("cnt"), "lvl", "template")
+        .filter(F.col("cnt") >= least).withColumn("share", F.col("cnt") / F.lit(n)))
+    first = totals.orderBy("sev", F.desc("cnt"), "lvl", "template").limit(top)
+    few = severe.join(F.broadcast(first.select(*KEY)), KEY, "left_semi")      # at most ``top`` keys
+    return first.join(first_services(few, KEY), KEY).orderBy("sev", F.desc("cnt"), "lvl", "template")
 
 
 def incident_families(flagged: DataFrame, limit: int | None = None) -> DataFrame:

@@ -6,18 +6,30 @@ rows; the entry pass is one lookup join plus row-local expressions.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import DetectorConfig
 from ..functions import fixed as X
 from ..functions.base import lookup
 from ..functions.levels import has_catastrophe, has_failure
 from ..functions.text import fixed_point
 from ..functions.vectors import soft_cap
 from ..runtime import lookup_join
+from .bursts import Bursts
 from .templates import KEY
 
 
+# fixed values: the defaults decide results
+@dataclass(frozen=True)
+class Rarity:
+    """A cluster is rare up to ``least`` entries or ``share`` of its level; mild entries count ``safe_damp`` of it."""
+
+    share: float = 0.02
+    least: int = 3
+    safe_damp: float = 0.5
+
+
 def add_level_and_cluster_sizes(templates: DataFrame) -> DataFrame:
     """Entries per level and per cluster, summed from the template counts."""
     levels = templates.groupBy("lvl").agg(F.sum("cnt").alias("level_total"))
@@ -25,7 +37,7 @@ def add_level_and_cluster_sizes(templates: DataFrame) -> DataFrame:
     return templates.join(levels, "lvl").join(clusters, "cluster")
 
 
-def template_terms(stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def template_terms(stats: DataFrame, rarity_of: Rarity = Rarity()) -> DataFrame:
     """Score terms and reason fragments that all entries of a template share.
 
     Needs: sev, cnt, share, span, head_share, flags, cluster, cluster_size,
@@ -45,7 +57,7 @@ def template_terms(stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
     base = F.when(hard, F.lit(1.0)).otherwise(base)
 
     # rarity
-    rare_cut = F.greatest(F.lit(cfg.rare_min), F.floor(F.col("level_total") * F.lit(cfg.rare_pct))).cast("double")
+    rare_cut = F.greatest(F.lit(rarity_of.least), F.floor(F.col("level_total") * F.lit(rarity_of.share))).cast("double")
     rare_cluster = ~noise & (F.col("cluster_size") <= rare_cut)
     rarity = (F.when(noise, F.lit(0.75))
               .when(rare_cluster, F.lit(0.45) + F.lit(0.30) * (F.lit(1.0) - F.col("cluster_size") / (rare_cut + F.lit(1.0))))
@@ -56,7 +68,7 @@ def template_terms(stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
     rarity = F.when(rare_template, F.greatest(rarity, F.lit(0.40))).otherwise(rarity)
     extreme = outlier & (F.col("outlier_z") >= X.OUTLIER_Z_EXEMPT) & (F.col("outlier_dist") > X.OUTLIER_DIST_FLOOR)
     damp_safe = (sev >= 5) & ~noise & ~extreme
-    rarity = F.when(damp_safe, rarity * F.lit(cfg.safe_rarity_damp)).otherwise(rarity)
+    rarity = F.when(damp_safe, rarity * F.lit(rarity_of.safe_damp)).otherwise(rarity)
     rarity = F.when(chronic, rarity * F.lit(X.CHRONIC_DAMP)).otherwise(rarity)
 
     rare_bonus = F.col("global_rare") & (sev <= 4) & ~chronic
@@ -110,13 +122,13 @@ def template_terms(stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
             .withColumn("_r2", F.filter(last, lambda r: r.isNotNull())))
 
 
-def score_entries(prepared: DataFrame, stats: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def score_entries(prepared: DataFrame, stats: DataFrame, rarity: Rarity = Rarity(), bursts: Bursts = Bursts()) -> DataFrame:
     """Entries with ``template_id, cluster, raw_score, score, reasons, reason_codes``.
 
     ``prepared`` carries ``burst``; ``stats`` is the output of the template
     steps.  Terms are added in a fixed order, in DOUBLE.
     """
-    terms = template_terms(stats, cfg).select(
+    terms = template_terms(stats, rarity).select(
         *KEY, "template_id", "cluster", "_s0", "_flood_add", "_recurring_add", "_novel_add", "_r0", "_r1", "_r2")
     joined = lookup_join(prepared, terms, KEY)
     severe = F.col("sev") <= 4
@@ -131,7 +143,7 @@ def score_entries(prepared: DataFrame, stats: DataFrame, cfg: DetectorConfig = D
         r = F.array(F.struct(F.lit(code).alias("code"), F.lit(text).alias("text")))
         return F.when(test, r).otherwise(F.slice(r, 1, 0))
 
-    burst_text = f"rate burst (> {cfg.burst_factor:g}x baseline in {cfg.burst_window:g}s window)"
+    burst_text = f"rate burst (> {bursts.factor:g}x baseline in {bursts.width:g}s window)"
     why = F.concat(F.col("_r0"), one(F.col("burst"), "burst", burst_text), F.col("_r1"),
                    one(F.col("_cat"), "catastrophe", "catastrophic keyword"),
                    one(F.col("_fail"), "failure", "failure keyword in severe entry"), F.col("_r2"))

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..config import DetectorConfig
 from ..functions.levels import severity
 from ..functions.text import template_key
 from ..functions.times import parse_timestamp
 from ..runtime import lookup_join
 
 KEY = ["lvl", "template"]
+YEAR = 2024                   # of time stamps that carry none
 
 
-def prepare(entries: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def prepare(entries: DataFrame, year: int = YEAR) -> DataFrame:
     """Add the derived columns that every later step reads: ``lvl, sev, template, epoch``."""
     return (entries.withColumn("lvl", F.upper("level"))
             .withColumn("sev", severity("level"))
             .withColumn("template", template_key("message"))
-            .withColumn("epoch", parse_timestamp("ts_raw", cfg.default_year)))
+            .withColumn("epoch", parse_timestamp("ts_raw", year)))
 
 
 def template_counts(prepared: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..config import DetectorConfig
 from ..functions.base import extract_all
 from ..functions.features import feature_vector
 from ..functions.fixed import TOKEN_PATTERN
@@ -46,8 +47,18 @@ def with_normalized(df: DataFrame, synonyms: DataFrame | None = None, message: s
     return (lookup_join(df, norm, [message], "left").withColumn("norm", F.coalesce("norm", F.lit(""))))
 
 
-def fit_vocabulary(docs: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """``term, tf, df, idf, idx`` of the ``text_features`` most frequent terms.
+# fixed values: the defaults decide results
+@dataclass(frozen=True)
+class TextModel:
+    """``size`` terms of at least ``min_df`` lines (None: 2 from ten lines on, else 1); ``weight`` of the feature block."""
+
+    size: int = 256
+    weight: float = 0.4
+    min_df: int | None = None
+
+
+def fit_vocabulary(docs: DataFrame, model: TextModel = TextModel()) -> DataFrame:
+    """``term, tf, df, idf, idx`` of the ``size`` most frequent terms.
 
     ``docs`` has one row per line with ``norm``.  Equal texts are counted
     first, so the terms of a text are produced once however often it repeats.
@@ -59,9 +70,9 @@ def fit_vocabulary(docs: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
         F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
     terms = (texts.select("w", text_terms("norm").alias("terms")).select("w", F.explode(marks).alias("m"))
              .groupBy("m.term").agg(F.sum(F.col("w") * F.col("m.tf")).alias("tf"), F.sum(F.col("w") * F.col("m.df")).alias("df")))
-    min_df = F.when(n >= 10, F.lit(2)).otherwise(F.lit(1)) if cfg.min_df is None else F.lit(cfg.min_df)
-    kept = terms.filter(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(cfg.text_features)
-    # text_features rows at most from here on
+    min_df = F.when(n >= 10, F.lit(2)).otherwise(F.lit(1)) if model.min_df is None else F.lit(model.min_df)
+    kept = terms.filter(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(model.size)
+    # ``size`` rows at most from here on
     return (kept.withColumn("idx", F.row_number().over(W.orderBy(F.desc("tf"), "term")) - 1)
             .withColumn("idf", F.log((1 + n) / (1 + F.col("df"))) + 1.0))
 
@@ -69,7 +80,7 @@ def fit_vocabulary(docs: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> D
 def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """Long form ``key, idx, term, weight``: (1 + ln tf) · idf, unit length per document."""
     hits = (docs.select(key, F.explode(text_terms("norm")).alias("term"))
-            .join(F.broadcast(vocabulary.select("term", "idx", "idf")), "term")      # text_features rows
+            .join(F.broadcast(vocabulary.select("term", "idx", "idf")), "term")      # ``size`` rows
             .groupBy(key, "idx", "term", "idf").agg(F.count(F.lit(1)).alias("k")))
     raw = hits.withColumn("raw", (1.0 + F.log("k")) * F.col("idf"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
@@ -86,18 +97,18 @@ def dense_text(docs: DataFrame, vocabulary: DataFrame, key: str, size: int) -> D
     return joined.select(key, F.when(F.col("m").isNull(), zeros).otherwise(dense).alias("text_vec"))
 
 
-def embed_templates(templates: DataFrame, vocabulary: DataFrame, cfg: DetectorConfig = DetectorConfig(),
+def embed_templates(templates: DataFrame, vocabulary: DataFrame, model: TextModel = TextModel(),
                     synonyms: DataFrame | None = None) -> DataFrame:
     """``template_id, vec``: text block and feature block of each representative."""
     reps = templates.select("template_id", "rep.level", "rep.service", "rep.message")
     docs = with_normalized(reps, synonyms)
-    text = dense_text(docs.select("template_id", "norm"), vocabulary, "template_id", cfg.text_features)
+    text = dense_text(docs.select("template_id", "norm"), vocabulary, "template_id", model.size)
     feats = reps.select("template_id", feature_vector("level", "service", "message").alias("feat_vec"))
-    vec = combine_blocks("text_vec", "feat_vec", cfg.feature_weight)
+    vec = combine_blocks("text_vec", "feat_vec", model.weight)
     return text.join(feats, "template_id").select("template_id", vec.cast("array<float>").alias("vec"))
 
 
-def combine_with_features(templates: DataFrame, vectors: DataFrame, cfg: DetectorConfig = DetectorConfig(),
+def combine_with_features(templates: DataFrame, vectors: DataFrame,
                           text: DataFrame | None = None, text_weight: float = 0.15,
                           feature_weight: float = 0.25) -> DataFrame:
     """Sentence vectors of any encoder (``template_id, vec``), then text block, then features."""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import DetectorConfig
+from ..config import Settings, settings
 from ..operators import baseline as BL, bursts as BU, cluster as CL, digest as DG, evaluate as EV, flags as FL, groups as G, lines as L
 from ..operators import neighbors as NB, outliers as OU, parse as P, score as SR, synonyms as SY, templates as TP, textvec as TV
 from ..runtime import lookup_join, stage
@@ -26,7 +26,7 @@ class Detection:
     n: int
     eps: float
     threshold: float
-    cfg: DetectorConfig
+    cfg: Settings
 
     @property
     def anomalies(self) -> DataFrame:
@@ -38,7 +38,7 @@ class Detection:
 
     @property
     def patterns(self) -> DataFrame:
-        return G.patterns(self.scored, self.n, self.cfg)
+        return G.patterns(self.scored, self.n, self.cfg.pattern_least, self.cfg.pattern_top)
 
     def families(self, limit: int | None = None) -> DataFrame:
         return G.incident_families(self.anomalies, limit)
@@ -47,10 +47,10 @@ class Detection:
         return G.run_summary(self.scored, self.groups, self.patterns, self.stats)
 
     def incident(self) -> DataFrame:
-        return FL.incident(self.scored, self.cfg)
+        return FL.incident(self.scored, self.cfg.volumes)
 
     def meta(self) -> DataFrame:
-        return DG.run_meta(self.scored, self.stats, self.threshold, self.cfg.flag_threshold, self.eps)
+        return DG.run_meta(self.scored, self.stats, self.threshold, self.cfg.threshold, self.eps)
 
     def digest(self, source_name: str = "") -> DataFrame:
         ranked = self.anomalies.withColumn("reason", F.array_join("reasons", "; "))
@@ -79,16 +79,16 @@ def parse_logs(lines: DataFrame, fmt: str | None = None, independent_lines: bool
     return L.number_entries(L.append_continuations(P.parse_lines(merged)))
 
 
-def template_vectors(prepared: DataFrame, templates: DataFrame, cfg: DetectorConfig, synonyms: DataFrame | None = None) -> DataFrame:
+def template_vectors(prepared: DataFrame, templates: DataFrame, cfg: Settings, synonyms: DataFrame | None = None) -> DataFrame:
     """Fast mode: synonyms and vocabulary from all lines, vectors of the representatives."""
-    if synonyms is None and cfg.learn_synonyms:
+    if synonyms is None and cfg.synonyms:
         synonyms = stage(SY.merged_dictionary(SY.learn_synonyms(prepared.select("message"))))
     docs = TV.with_normalized(prepared.select("message"), synonyms)
-    vocabulary = stage(TV.fit_vocabulary(docs, cfg))
-    return TV.embed_templates(templates, vocabulary, cfg, synonyms)
+    vocabulary = stage(TV.fit_vocabulary(docs, cfg.text))
+    return TV.embed_templates(templates, vocabulary, cfg.text, synonyms)
 
 
-def detect(entries: DataFrame, cfg: DetectorConfig = DetectorConfig(), baseline: DataFrame | None = None,
+def detect(entries: DataFrame, cfg: Settings = Settings(), baseline: DataFrame | None = None,
            vectors: DataFrame | None = None, synonyms: DataFrame | None = None) -> Detection:
     """Score entries (``entry_id, ts_raw, level, service, message``, plus any columns to keep).
 
@@ -99,43 +99,39 @@ def detect(entries: DataFrame, cfg: DetectorConfig = DetectorConfig(), baseline:
     taken = RESULT_COLUMNS & set(entries.columns)
     if taken:
         raise ValueError(f"rename these columns, they are results: {sorted(taken)}")
-    prepared = stage(TP.prepare(entries, cfg))
+    prepared = stage(TP.prepare(entries, cfg.year))
     n = prepared.count()
     if n == 0:
         raise ValueError("no entries")
     hot = None
-    if cfg.enable_burst:
-        hot = stage(BU.hot_windows(BU.with_window(prepared, cfg), cfg))
-    marked = BU.mark_bursts(prepared, cfg, hot)
+    if cfg.bursts.on:
+        hot = stage(BU.hot_windows(BU.with_window(prepared, cfg.bursts), cfg.bursts))
+    marked = BU.mark_bursts(prepared, cfg.bursts, hot)
     templates = TP.build_templates(marked, FL.head_cut(n))
     if baseline is not None:
-        templates = BL.compare(templates, baseline, F.lit(n), cfg)
-    templates = stage(FL.add_flags(templates, n, cfg, has_baseline=baseline is not None))
+        templates = BL.compare(templates, baseline, F.lit(n), cfg.rarity.least)
+    templates = stage(FL.add_flags(templates, n, cfg.volumes, has_baseline=baseline is not None))
 
     if vectors is None:
         vectors = template_vectors(prepared, templates, cfg, synonyms)
     vectors = stage(vectors)
     points = vectors.join(templates.select("template_id", F.col("cnt").alias("w")), "template_id").select(
         F.col("template_id").alias("id"), "w", "vec")
-    eps = cfg.eps if cfg.eps is not None else float(NB.estimate_eps(points, cfg.min_samples).first()["eps"])
-    labels = CL.dbscan(points, eps, cfg.min_samples).select(F.col("id").alias("template_id"), "cluster")
+    eps = cfg.radius if cfg.radius is not None else float(NB.estimate_eps(points, cfg.core).first()["eps"])
+    labels = CL.dbscan(points, eps, cfg.core).select(F.col("id").alias("template_id"), "cluster")
 
     joined = stage(templates.join(labels, "template_id").join(vectors, "template_id"))
     stats = stage(SR.add_level_and_cluster_sizes(OU.level_outliers(joined).drop("vec")))
-    scored = stage(SR.score_entries(marked, stats, cfg))
-    threshold = cfg.flag_threshold
-    if cfg.auto_threshold:
+    scored = stage(SR.score_entries(marked, stats, cfg.rarity, cfg.bursts))
+    threshold = cfg.threshold
+    if cfg.from_scores:
         threshold = EV.otsu_threshold(scored).first()["threshold"] or threshold
     return Detection(SR.flag(scored, threshold), stats, n, eps, float(threshold), cfg)
 
 
 def analyze(spark: SparkSession, path: str | None = None, lines: list[str] | None = None, table: str | None = None,
             df: DataFrame | None = None, fmt: str | None = None, sensitivity: str = "normal", independent_lines: bool = False,
-            baseline: DataFrame | None = None, cfg: DetectorConfig | None = None, **overrides) -> Detection:
+            baseline: DataFrame | None = None, cfg: Settings | None = None, **overrides) -> Detection:
     """Read, parse and score one corpus."""
-    cfg = cfg or DetectorConfig.from_sensitivity(sensitivity, **overrides)
+    cfg = cfg or settings(sensitivity, **overrides)
     return detect(parse_logs(read_logs(spark, path, lines, table, df), fmt, independent_lines), cfg, baseline)
-
-
-def with_threshold(cfg: DetectorConfig, threshold: float) -> DetectorConfig:
-    return replace(cfg, flag_threshold=threshold)

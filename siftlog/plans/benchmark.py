@@ -7,31 +7,31 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import DetectorConfig
+from ..config import Settings
 from ..operators import evaluate as EV, supervised as SU
 from .analyze import detect
 
 GRID_WEIGHTS, GRID_THRESHOLDS = [0.3, 0.4, 0.5], [0.5, 0.6, 0.7, 0.8]
 
 
-def evaluate(labelled: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def evaluate(labelled: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Confusion counts, precision, recall and F1 of one run; ``labelled`` carries ``label``."""
     return EV.prf1(detect(labelled, cfg).scored, "label", "flagged")
 
 
-def grid_search(labelled: DataFrame, cfg: DetectorConfig = DetectorConfig(), weights=None, thresholds=None, min_dfs=(None,)) -> DataFrame:
+def grid_search(labelled: DataFrame, cfg: Settings = Settings(), weights=None, thresholds=None, min_dfs=(None,)) -> DataFrame:
     """One detection per feature weight (and minimum df); all thresholds in one pass over its scores."""
     weights, thresholds = weights or GRID_WEIGHTS, thresholds or GRID_THRESHOLDS
     out = None
     for w in weights:
         for m in min_dfs:
-            scored = detect(labelled, replace(cfg, feature_weight=w, min_df=m)).scored
+            scored = detect(labelled, replace(cfg, text=replace(cfg.text, weight=w, min_df=m))).scored
             rows = EV.grid_search(scored.withColumn("feature_weight", F.lit(w)), thresholds).withColumn("min_df", F.lit(m).cast("int"))
             out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def benchmark_report(labelled: DataFrame, cfg: DetectorConfig = DetectorConfig(), do_grid: bool = False, do_supervised: bool = False,
+def benchmark_report(labelled: DataFrame, cfg: Settings = Settings(), do_grid: bool = False, do_supervised: bool = False,
                      min_f1: float | None = None, trees: int = 300) -> DataFrame:
     """One row per part: ``baseline``, optionally ``grid_best`` and ``supervised``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import DetectorConfig
+from ..config import Settings
 from ..functions import fixed as X
 from ..functions.levels import is_benign_live, severity
 from ..functions.times import parse_timestamp
@@ -61,7 +61,7 @@ class LiveDetector:
     """
 
     def __init__(self, state: str, sink: str, window: int = 500, min_window: int = 10,
-                 cfg: DetectorConfig = DetectorConfig(), suppress_info: bool = True, on_anomaly=None):
+                 cfg: Settings = Settings(), suppress_info: bool = True, on_anomaly=None):
         self.state, self.sink = state.rstrip("/"), sink.rstrip("/")
         self.window, self.min_window, self.cfg = window, min_window, cfg
         self.suppress_info, self.on_anomaly = suppress_info, on_anomaly

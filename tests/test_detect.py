@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftlog.config import DetectorConfig
+from siftlog.config import OPTIONS, settings
 from siftlog.operators import baseline as BL, evaluate as EV, templates as TP
 from siftlog.operators.parse import parse_lines, with_format
 from siftlog.plans.analyze import analyze, detect, template_vectors
@@ -11,7 +11,7 @@ from siftlog.plans.benchmark import benchmark_report
 from siftlog.runtime import stage
 from siftlog.sources import sinks, synthetic
 
-FAST = DetectorConfig(learn_synonyms=False)
+FAST = settings(learn_synonyms=False)
 
 
 @pytest.fixture(scope="module")
@@ -66,7 +66,14 @@ def test_hard_flag_baseline_and_sensitivity(spark):
     got = {r["entry_id"]: r for r in d.scored.filter("entry_id >= 199").collect()}
     assert got[200]["score"] > 0.99 * 0.8 and got[200]["flagged"] and "hard" in got[200]["reason_codes"]
     assert "novel" in got[201]["reason_codes"] and got[201]["flagged"] and not got[199]["flagged"]
-    assert DetectorConfig.from_sensitivity("high", eps=0.3).flag_threshold == 0.60
+
+
+def test_settings_reach_their_parts():
+    s = settings("high", eps=0.3, rare_min=7, burst_window=30.0, text_features=64, flood_share=None, not_an_option=1)
+    assert (s.threshold, s.radius, s.rarity.least, s.bursts.width, s.text.size, s.volumes.flood) == (0.60, 0.3, 7, 30.0, 64, 0.20)
+    assert settings("unheard of") == settings() and settings("low", flag_threshold=0.5).threshold == 0.5
+    for part, key in OPTIONS.values():
+        assert hasattr(getattr(s, part) if part else s, key)
 
 
 def test_analyze_lines_and_write(spark, tmp_path):

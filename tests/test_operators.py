@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftlog.config import DetectorConfig
 from siftlog.operators import alerts as AL, cluster as CL, neighbors as NB, textvec as TV, evaluate as EV
 from siftlog.functions import text as T
 from siftlog.runtime import lookup_join, number_as_read, number_ordered
@@ -114,16 +113,58 @@ def test_numbering(spark):
     assert all(r["n"] == r["id"] + 10 for r in read)
 
 
-def test_alert_chunks_agree_with_one_pass(spark):
+def _one_walk(rows, cooldown, cap):
+    """The gate's rules over all alerts in time order, one after the other."""
+    last, sent, out = {}, {}, set()
+    for app, key, ts, i in sorted(rows, key=lambda r: (r[2], r[3])):
+        recent = [t for t in sent.get(app, []) if ts - t < 3600]
+        if cap is not None and len(recent) >= cap or ts - last.get((app, key), float("-inf")) < cooldown:
+            continue
+        last[app, key] = ts
+        sent[app] = [*recent, ts]
+        out.add(i)
+    return out
+
+
+@pytest.mark.parametrize("cooldown, cap", [(300.0, 6), (300.0, None), (7200.0, 3), (0.0, 5), (30.0, 1)])
+def test_alert_gate_agrees_with_one_walk(spark, cooldown, cap):
     rng = np.random.default_rng(3)
-    rows = [("a" if rng.random() < 0.7 else "b", f"k{rng.integers(0, 9)}", float(t), i) for i, t in enumerate(np.sort(rng.integers(0, 30000, 900)))]
+    # one application owns nine tenths; busy hours, silences of an hour and exactly the cooldown
+    starts = np.cumsum(rng.choice([200.0, 300.0, 3600.0, 9000.0], 150))
+    rows = []
+    for t in starts:
+        for _ in range(int(rng.integers(1, 12))):
+            app = "hot" if rng.random() < 0.9 else [None, "b"][int(rng.integers(0, 2))]
+            key = None if rng.random() < 0.05 else f"k{rng.integers(0, 4)}"
+            rows.append((app, key, float(t + rng.integers(0, 90)), len(rows)))
+    rows += [(*r[:3], len(rows) + j) for j, r in enumerate(rows[:50])]            # repeats of one moment
     df = spark.createDataFrame(rows, "app string, key string, ts double, alert_id bigint")
-    gates, want = {}, set()
-    for app, key, ts, i in rows:
-        if gates.setdefault(app, AL.Gate(300.0, 6)).allow(key, ts):
-            want.add(i)
-    for chunk in (10_000, 120):
-        assert {r["alert_id"] for r in AL.alert_gate(df, 300.0, 6, chunk).collect()} == want
+    assert {r["alert_id"] for r in AL.alert_gate(df, cooldown, cap).collect()} == _one_walk(rows, max(cooldown, 1e-9), cap)
+
+
+def test_alert_gate_spreads_a_hot_application(spark):
+    """Nine tenths in one application with nightly silences: no span holds more than a day, and no task most of the rows."""
+    day = F.floor(F.col("id") / 500)
+    hot = spark.range(30_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("app"), F.col("id") % 7)).otherwise("hot").alias("app"),
+                                     F.concat(F.lit("k"), F.col("id") % 50).alias("key"),
+                                     (day * 86400 + (F.col("id") % 500) * 60).cast("double").alias("ts"), F.col("id").alias("alert_id"))
+    spans = AL._spans(hot, ["app"], 3600.0)
+    assert spans.groupBy("app", "_span").count().agg(F.max("count")).first()[0] <= 500
+    assert spans.count() == 30_000 and spans.filter("app = 'hot'").select("_span").distinct().count() == 60
+    walked = AL.alert_gate(hot, 300.0, 6).collect()
+    assert {r["alert_id"] for r in walked} == _one_walk([tuple(r) for r in hot.collect()], 300.0, 6)
+
+
+def test_alert_gate_odd_rows(spark):
+    schema = "app string, key string, ts double, alert_id bigint, _span int, extra string"
+    df = spark.createDataFrame([(None, None, 5.0, 1, 1, "x"), (None, None, None, 2, 1, "x"), ("a", "", float("nan"), 3, 1, "x"), ("a", "", -10.0, 4, 1, "x")], schema)
+    for cap in (30, None):
+        assert {r["alert_id"] for r in AL.alert_gate(df, 300.0, cap).collect()} == {1, 4}
+        assert AL.alert_gate(df.limit(0), 300.0, cap).collect() == []
+
+
+def test_alert_stats(spark):
+    df = spark.createDataFrame([], "app string, key string, ts double, alert_id bigint")
     storm = spark.createDataFrame([("x", "k", 1.0, i) for i in range(50)] + [("y", f"k{i}", float(i), 100 + i) for i in range(10)], df.schema)
     stats = {r["app"]: (r["sent"], r["suppressed"]) for r in AL.alert_stats(storm, AL.alert_gate(storm, max_per_hour=3)).collect()}
     assert stats == {"x": (1, 49), "y": (3, 7)}

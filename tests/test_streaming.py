@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siftlog import DetectorConfig
+from siftlog import settings
 from siftlog.operators.alerts import alert_gate
 from siftlog.operators.lines import merge_multiline
 from siftlog.streaming import alerts as SA, live, multiline
@@ -63,7 +63,7 @@ def test_rates_match_batch(spark, tmp_path):
 def test_live_detector_reports_once(spark, tmp_path):
     schema = "ts_raw string, level string, service string, message string"
     stream = _files(spark, _entries(), schema, str(tmp_path / "in"), 2)
-    det = live.LiveDetector(str(tmp_path / "state"), str(tmp_path / "sink"), window=200, min_window=5, cfg=DetectorConfig(learn_synonyms=False))
+    det = live.LiveDetector(str(tmp_path / "state"), str(tmp_path / "sink"), window=200, min_window=5, cfg=settings(learn_synonyms=False))
     det.start(stream, str(tmp_path / "cp"), availableNow=True).awaitTermination(240)
     det.flush(spark, 2)
     assert det.rescore_errors == 0
