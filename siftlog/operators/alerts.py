@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.levels import record_level, severity
 from ..functions.text import alert_key
-from ..runtime import stage
+from ..runtime import lookup_join, stage
 
 COOLDOWN, MAX_PER_HOUR, HOUR = 300.0, 30, 3600.0
 FORGET_KEYS = 1_000           # keys held before those that no longer cool down are dropped
@@ -118,8 +118,21 @@ def alert_gate(alerts: DataFrame, cooldown: float = COOLDOWN, max_per_hour: int
             .mapInPandas(walk, "app string, key string, ts double, alert_id bigint"))
 
 
+def delivery_stats(alerts: DataFrame, passed: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """``app, offered, sent, suppressed, errors`` with the outcomes of a ledger (``alert_id, sent, errors``).
+
+    Sent is what some channel took; suppressed what the gate held back; errors
+    are failed offers.  An alert that passed and that no channel took is neither.
+    """
+    known = lookup_join(passed.select("app", "alert_id"), stage(deliveries.select("alert_id", "sent", "errors")), ["alert_id"], "left")
+    done = known.groupBy("app").agg(F.count_if("sent").alias("_sent"), F.coalesce(F.sum("errors"), F.lit(0)).alias("_errors")).withColumnRenamed("app", "_app")
+    gate = alert_stats(alerts, passed).drop("sent")
+    return (gate.join(done, F.col("app").eqNullSafe(F.col("_app")), "left")
+            .select("app", "offered", F.coalesce("_sent", F.lit(0)).alias("sent"), "suppressed", F.coalesce("_errors", F.lit(0)).alias("errors")))
+
+
 def alert_stats(alerts: DataFrame, passed: DataFrame) -> DataFrame:
-    """``app, offered, sent, suppressed``."""
+    """``app, offered, sent, suppressed`` by the gate alone; see ``delivery_stats`` for what the channels made of them."""
     offered = alerts.groupBy("app").agg(F.count(F.lit(1)).alias("offered"))
     sent = passed.groupBy("app").agg(F.count(F.lit(1)).alias("sent"))
     return (offered.join(sent, "app", "left").na.fill({"sent": 0})

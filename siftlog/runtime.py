@@ -40,6 +40,21 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _folder(spark, path)
+    return fs.exists(place)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    fs, place = _folder(spark, path)
+    fs.delete(place, True)
+
+
 def evaluate_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a one-row ``inline``.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.alerts import COOLDOWN, HOUR, MAX_PER_HOUR, Gate
-from ..sources.sinks import deliver
+from .ledger import Ledger
 
 OUT = "app string, key string, ts double, alert_id bigint"
 STATE = "stamps array<double>, keys array<string>, times array<double>"
@@ -42,12 +42,14 @@ def gate_stream(alerts: DataFrame, cooldown: float = COOLDOWN, max_per_hour: int
     return alerts.groupBy("app").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def alert_sink(passed: DataFrame, table: str, channels: dict[str, Callable], checkpoint: str, **trigger):
-    """Write the passed alerts and their delivery results per micro-batch, idempotently by batch id."""
+def alert_sink(passed: DataFrame, table: str, channels: dict[str, Callable], checkpoint: str, tries: int = 1, **trigger):
+    """Write the passed alerts per micro-batch, and what became of them to the ledger ``<table>/delivery``."""
+    ledger = Ledger(f"{table}/delivery")
+
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/alerts/batch={batch_id}")
         stored = batch.sparkSession.read.parquet(f"{table}/alerts/batch={batch_id}")
-        deliver(stored, channels).write.mode("overwrite").parquet(f"{table}/delivery/batch={batch_id}")
+        ledger.offer(stored, channels, batch_id, tries)
 
     return (passed.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "5 seconds"})).start())

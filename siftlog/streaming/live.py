@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Settings
@@ -10,7 +12,8 @@ from ..functions.levels import is_benign_live, severity
 from ..functions.times import parse_timestamp
 from ..operators.parse import parse_lines, with_format
 from ..plans.analyze import detect
-from ..runtime import number_as_read, stage
+from ..runtime import drop_folder, number_as_read, stage
+from .ledger import ERROR_CHARS, Ledger
 
 
 def immediate(entries: DataFrame) -> DataFrame:
@@ -53,19 +56,29 @@ ENTRY = ["ts_raw", "level", "service", "message"]
 class LiveDetector:
     """Rescoring of the last ``window`` entries with exactly-once reporting.
 
-    Used as the ``foreachBatch`` function of one stream of entries.  The state
-    after micro-batch b lies in ``<state>/window/batch=b``; the rows reported
-    by b lie in ``<sink>/batch=b``.  Both are overwritten when b runs again, so
-    a repeated batch repeats its rows and nothing is reported twice.  A batch
-    larger than the window is scored whole and then trimmed.
+    Used as the ``foreachBatch`` function of one stream of entries.  Urgent
+    entries are reported with their batch.  The window is rescored at the end of
+    a batch when ``rescore_every`` entries came or ``rescore_seconds`` passed
+    since the last time, and holds ``min_window`` entries.
+
+    The state after micro-batch b lies in ``<state>/window/batch=b`` and
+    ``<state>/progress/batch=b`` (one row of counts); the rows reported by b lie
+    in ``<sink>/batch=b``.  All are overwritten when b runs again, so a repeated
+    batch repeats its rows and nothing is reported twice; a restarted query goes
+    on from there.  State before b - 1 is removed.  Failed rescores are rows of
+    ``<state>/errors``, outcomes of ``on_anomaly`` rows of the ledger
+    ``<state>/ledger``.  A batch larger than the window is scored whole and then
+    trimmed.
     """
 
     def __init__(self, state: str, sink: str, window: int = 500, min_window: int = 10,
-                 cfg: Settings = Settings(), suppress_info: bool = True, on_anomaly=None):
+                 cfg: Settings = Settings(), suppress_info: bool = True, on_anomaly=None,
+                 rescore_every: int = 50, rescore_seconds: float = 3.0, tries: int = 1):
         self.state, self.sink = state.rstrip("/"), sink.rstrip("/")
         self.window, self.min_window, self.cfg = window, min_window, cfg
-        self.suppress_info, self.on_anomaly = suppress_info, on_anomaly
-        self.rescore_errors = 0
+        self.suppress_info, self.on_anomaly, self.tries = suppress_info, on_anomaly, tries
+        self.rescore_every, self.rescore_seconds = max(1, min(rescore_every, window)), rescore_seconds
+        self.ledger = Ledger(f"{self.state}/ledger", "seq")
 
     def start(self, entries: DataFrame, checkpoint: str, **trigger):
         return (entries.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
@@ -76,21 +89,31 @@ class LiveDetector:
             return None
         return spark.read.parquet(f"{self.state}/window/batch={batch_id - 1}")
 
+    def _progress(self, spark: SparkSession, batch_id: int) -> dict:
+        if batch_id == 0:
+            return {"entries": 0, "severe": 0, "since": 0, "rescored_at": time.time(), "rescore_errors": 0, "window": 0}
+        return spark.read.parquet(f"{self.state}/progress/batch={batch_id - 1}").first().asDict()
+
     def process(self, batch: DataFrame, batch_id: int, force: bool = False) -> None:
         spark = batch.sparkSession
-        before = self._previous(spark, batch_id)
-        top = before.agg(F.max("seq")).first()[0] if before is not None else None
-        new = number_as_read(batch.select(*ENTRY), "seq", 0 if top is None else top + 1).withColumn("reported", F.lit(False))
+        before, past = self._previous(spark, batch_id), self._progress(spark, batch_id)
+        first = past["entries"]
+        new = number_as_read(batch.select(*ENTRY), "seq", first).withColumn("reported", F.lit(False))
         rows = new if before is None else before.select(*new.columns).unionByName(new)
 
         urgent = immediate(new).select("seq", *ENTRY, "score", "reasons")
-        rows = stage(rows.withColumn("reported", F.col("reported") | ((severity("level") <= 2) & (F.col("seq") > F.lit(-1 if top is None else top)))))
-        found, benign = None, None
-        if force or rows.count() >= self.min_window:
+        fresh = F.col("seq") >= F.lit(first)
+        rows = stage(rows.withColumn("reported", F.col("reported") | ((severity("level") <= 2) & fresh)))
+        held, came, severe = rows.agg(F.count(F.lit(1)), F.count_if(fresh), F.count_if(fresh & (severity("level") <= 3))).first()
+        now, since = time.time(), past["since"] + came
+        due = held >= self.min_window and (since >= self.rescore_every or now - past["rescored_at"] >= self.rescore_seconds)
+        found, benign, error = None, None, None
+        if held and (force or due):
             try:
                 found, benign = self._rescore(rows)
-            except Exception:           # a failed rescore is counted; the stream goes on
-                self.rescore_errors += 1
+            except Exception as e:           # a failed rescore is noted; the stream goes on
+                error = f"{type(e).__name__}: {e}"[:ERROR_CHARS]
+            since, past["rescored_at"] = 0, now
         out = urgent if found is None else urgent.unionByName(found)
         out.write.mode("overwrite").parquet(f"{self.sink}/batch={batch_id}")
 
@@ -99,8 +122,15 @@ class LiveDetector:
             done = found.select("seq").union(benign.select("seq")).withColumn("_now", F.lit(True))
             kept = kept.join(done, "seq", "left").withColumn("reported", F.col("reported") | F.coalesce("_now", F.lit(False))).drop("_now")
         kept.write.mode("overwrite").parquet(f"{self.state}/window/batch={batch_id}")
+        if error is not None:
+            spark.createDataFrame([(error,)], "error string").write.mode("overwrite").parquet(f"{self.state}/errors/batch={batch_id}")
+        counts = (first + came, past["severe"] + severe, since, past["rescored_at"], past["rescore_errors"] + (error is not None), min(held, self.window))
+        (spark.createDataFrame([counts], "entries bigint, severe bigint, since bigint, rescored_at double, rescore_errors bigint, window bigint")
+         .write.mode("overwrite").parquet(f"{self.state}/progress/batch={batch_id}"))
         if self.on_anomaly is not None:
-            self._notify(spark.read.parquet(f"{self.sink}/batch={batch_id}"))
+            self.ledger.offer(spark.read.parquet(f"{self.sink}/batch={batch_id}"), {"callback": self.on_anomaly}, batch_id, self.tries)
+        for part in ("window", "progress"):
+            drop_folder(spark, f"{self.state}/{part}/batch={batch_id - 2}")
 
     def _rescore(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Flagged rows of the window that were not reported: (to report, benign ones to pass over)."""
@@ -112,19 +142,6 @@ class LiveDetector:
         hits = stage(hits.withColumn("_mild", mild).select("seq", *ENTRY, "score", "reasons", "_mild"))
         return hits.filter("not _mild").drop("_mild"), hits.filter("_mild")
 
-    def _notify(self, rows: DataFrame) -> None:
-        """Offer each reported row to the user function on the executors; its errors stay there."""
-        fn = self.on_anomaly
-
-        def call(part):
-            for r in part:
-                try:
-                    fn(r.asDict())
-                except Exception:
-                    pass
-
-        rows.foreachPartition(call)
-
     def flush(self, spark: SparkSession, batch_id: int) -> None:
         """One forced rescore of what is in the window, for the end of a stream."""
         last = self._previous(spark, batch_id)
@@ -133,3 +150,13 @@ class LiveDetector:
 
     def anomalies(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.sink)
+
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """One row: entries, anomalies, incident, anomalies by level, failed rescores, entries in the window."""
+        last = spark.read.parquet(f"{self.state}/progress").orderBy(F.desc("batch")).limit(1)
+        levels = self.anomalies(spark).groupBy(F.upper("level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+        hits = levels.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("anomalies"),
+                          F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("by_level"))
+        incident = (F.col("entries") > 0) & (F.col("severe") >= F.lit(self.cfg.volumes.incident) * F.col("entries"))
+        return last.join(F.broadcast(hits)).select(                                # one row each
+            "entries", "anomalies", incident.alias("incident"), "by_level", "rescore_errors", "window")

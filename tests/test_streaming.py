@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlog import settings
-from siftlog.operators.alerts import alert_gate
+from siftlog.operators.alerts import alert_gate, delivery_stats
 from siftlog.operators.lines import merge_multiline
 from siftlog.streaming import alerts as SA, live, multiline
+from siftlog.streaming.ledger import Ledger
 
 
 def _files(spark, rows, schema, path, parts):
@@ -66,7 +67,9 @@ def test_live_detector_reports_once(spark, tmp_path):
     det = live.LiveDetector(str(tmp_path / "state"), str(tmp_path / "sink"), window=200, min_window=5, cfg=settings(learn_synonyms=False))
     det.start(stream, str(tmp_path / "cp"), availableNow=True).awaitTermination(240)
     det.flush(spark, 2)
-    assert det.rescore_errors == 0
+    row = det.summary(spark).first()
+    assert (row["entries"], row["rescore_errors"], row["anomalies"], row["by_level"]) == (81, 0, 21, {"ERROR": 20, "FATAL": 1})
+    assert not row["incident"] and row["window"] == 81
     rows = det.anomalies(spark).collect()
     seqs = [r["seq"] for r in rows]
     assert len(seqs) == len(set(seqs))
@@ -78,11 +81,66 @@ def test_live_detector_reports_once(spark, tmp_path):
     assert det.anomalies(spark).count() == len(rows)
 
 
+def test_rescore_waits_for_its_count_and_survives_a_restart(spark, tmp_path, monkeypatch):
+    """A rescore after every 20 entries: single entries wait in the state, also across a new detector."""
+    schema = "ts_raw string, level string, service string, message string"
+    scored = []
+    monkeypatch.setattr(live.LiveDetector, "_rescore", lambda self, rows: (scored.append(rows.count()), 1 / 0))
+    new = lambda: live.LiveDetector(str(tmp_path / "state"), str(tmp_path / "sink"), window=25, min_window=5, rescore_every=20, rescore_seconds=1e9)
+    batches = [8, 8, 4, 19, 1]
+    for i, n in enumerate(batches):
+        new().process(spark.createDataFrame(_entries()[:n], schema), i)
+    assert scored == [20, 26] and new().summary(spark).first()["window"] == 25
+    new().process(spark.createDataFrame(_entries()[:1], schema), 4)         # the last batch runs again
+    assert scored == [20, 26, 26] and new().summary(spark).first()["entries"] == 40
+    import os
+    assert sorted(n for n in os.listdir(tmp_path / "state/window") if n[0] != ".") == ["batch=3", "batch=4"]
+
+
+def test_callback_outcomes_are_kept_and_not_repeated(spark, tmp_path):
+    schema = "ts_raw string, level string, service string, message string"
+    log = str(tmp_path / "calls")
+
+    def callback(row):
+        with open(log, "a") as f:
+            f.write(f"{row['seq']}\n")
+        if row["message"] == "bad":
+            raise OSError("down")
+
+    det = live.LiveDetector(str(tmp_path / "state"), str(tmp_path / "sink"), min_window=1000, on_anomaly=callback, tries=2)
+    rows = spark.createDataFrame([("", "FATAL", "db", "good"), ("", "FATAL", "db", "bad"), ("", "INFO", "db", "fine")], schema)
+    det.process(rows, 0)
+    got = {r["seq"]: (r["sent"], r["tries"], r["error"]) for r in det.ledger.outcomes(spark).collect()}
+    assert got == {0: (True, 1, None), 1: (False, 2, "OSError: down")}
+    det.process(rows, 0)                                   # a repeated batch offers only what failed
+    assert sorted(open(log).read().split()) == ["0"] + ["1"] * 4
+    assert {r["seq"]: (r["sent"], r["errors"]) for r in det.ledger.deliveries(spark).collect()} == {0: (True, 0), 1: (False, 2)}
+
+
+def test_delivery_stats_count_channels(spark, tmp_path):
+    alerts = spark.createDataFrame([("a", f"k{i}", float(i), i) for i in range(6)] + [(None, "k", 0.0, 10), (None, "k", 1.0, 11)],
+                                   "app string, key string, ts double, alert_id bigint")
+
+    def bad(row):
+        raise ValueError("no")
+
+    def picky(row):
+        if row["alert_id"] == 1:
+            raise ValueError("not this one")
+
+    passed = alert_gate(alerts, max_per_hour=4)
+    ledger = Ledger(str(tmp_path / "ledger"))
+    ledger.offer(passed, {"bad": bad, "picky": picky}, 0)
+    got = {r["app"]: tuple(r)[1:] for r in delivery_stats(alerts, passed, ledger.deliveries(spark)).collect()}
+    assert got["a"] == (6, 3, 2, 5)
+
+
 def test_failed_rescore_is_counted(spark, tmp_path, monkeypatch):
     det = live.LiveDetector(str(tmp_path / "state"), str(tmp_path / "sink"), min_window=1)
     monkeypatch.setattr(live, "detect", lambda *a, **k: 1 / 0)
     det.process(spark.createDataFrame(_entries(), "ts_raw string, level string, service string, message string"), 0)
-    assert det.rescore_errors == 1
+    assert det.summary(spark).first()["rescore_errors"] == 1
+    assert "division by zero" in spark.read.parquet(str(tmp_path / "state/errors")).first()["error"]
     assert [r["level"] for r in det.anomalies(spark).collect()] == ["FATAL"]
 
 
@@ -126,5 +184,5 @@ def test_alert_sink_isolates_channels(spark, tmp_path):
     while time.time() < end and not os.path.exists(tmp_path / "t/delivery/batch=0/_SUCCESS"):
         time.sleep(0.5)
     q.stop()
-    got = spark.read.parquet(str(tmp_path / "t/delivery")).agg(F.count_if(F.col("sent")).alias("s"), F.sum("errors").alias("e")).first()
+    got = spark.read.parquet(str(tmp_path / "t/delivery")).agg(F.count_if("sent").alias("s"), F.count_if(~F.col("sent")).alias("e")).first()
     assert (got["s"], got["e"]) == (3, 3)
