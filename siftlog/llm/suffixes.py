@@ -4,16 +4,19 @@ Only suffixes that start at minimisers are kept: the smallest 16-word gram of
 every window of ``length`` words.  Two equal passages of ``length`` words have the
 same minimiser, whatever stands around them.
 
-1. The kept suffixes are sorted by their first words and neighbours compared;
-   a suffix whose neighbour is equal is an anchor, all others are gone for good.
-2. Around each anchor the match is extended: every run of ``length`` words whose
-   minimiser is the anchor, from the one that ends with it to the one that begins
-   with it, is sorted and compared with its neighbours in the order (run, doc_id,
-   position).  All but the first are repeats, and overlapping runs join to one span.
-
-Skew: a task sends one record per distinct run; the others of the task are
-already known to be repeats.  A passage in a third of all texts is then as many
-records as there are tasks.
+1. The kept suffixes are sorted by a packed key of their first 16 words and
+   neighbours compared; a suffix that shares them with no other is gone for good.
+2. The others travel with their words, as far as a run of ``length`` words around
+   the minimiser can reach.  They are sorted word by word, and so are the words before
+   them, read backwards; neighbours are compared in both orders.  The
+   words that neighbours have in common say how far a match extends to the right
+   and to the left, and where both together reach ``length`` words, all but the
+   first in the order (doc_id, position) are repeats.  Overlapping repeats join to one span.
+
+Skew: a task settles its own suffixes first and sends only those that still hold
+a run without an earlier equal of the task, with no more words than these runs have.  A gram that more than
+``HOT_SUFFIXES`` texts share sends its open runs one by one, spread by their words, so equal runs
+still meet and no bucket receives the whole gram.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import lookup_join, number_ordered, stage
 from .exchange import PACKED, bucket_count, by_bucket, gather, packed, text_batches
-from .words import Words, chunks, grams, sliding
+from .words import Words, chunks, grams, mix, sliding
 
 GRAM = 16
 SUFFIX = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("local", "?")])
-RUN = np.dtype([("gram", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("local", "?")])
+SPAN = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("end", "<i8")])
 TOP = np.uint64(2 ** 64 - 1)
 LOCAL = -1                    # bucket of records that a task has settled by itself
+HOT_SUFFIXES = 100_000        # suffixes of one gram that a bucket may receive whole, about 70 MB
+HELD_BYTES = 6 << 20          # suffixes that a task settles at once
 
 
 def minimisers(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,21 +52,91 @@ def minimisers(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return g, (sliding(around, width, np.maximum) == g) & ok, low
 
 
-def _settle(rec: np.ndarray, key: str) -> np.ndarray:
-    """Marks with ``local`` all but the first record of each key."""
-    rec = rec[np.lexsort((rec["pos"], rec["doc"], rec[key])) if key == "run" else np.lexsort((rec["doc"], rec[key]))]
-    rec["local"] = np.concatenate([[False], rec[key][1:] == rec[key][:-1]]) if len(rec) else rec["local"]
+def context(length: int) -> np.dtype:
+    """A suffix with its words: from ``length - GRAM`` before the minimiser to ``length`` after its begin.
+
+    Runs of ``length`` words that begin ``low`` to ``high`` words before the minimiser are open; words that none of them holds are 0.
+    """
+    return np.dtype([("gram", "<u8"), ("doc", "<i8"), ("pos", "<i4"), ("low", "<i2"), ("high", "<i2"), ("hot", "?"),
+                     ("words", "<u8", (2 * length - GRAM,))])
+
+
+def _trim(rec: np.ndarray, length: int) -> np.ndarray:
+    """Only the words that an open run holds stay."""
+    place = np.arange(GRAM - length, length)
+    rec["words"][(place < -rec["high"][:, None]) | (place >= length - rec["low"][:, None])] = 0
     return rec
 
 
-def _spans(rec: np.ndarray, length: int) -> pd.DataFrame:
-    """Spans of words covered by the runs of ``rec``."""
+def contexts(w: Words, doc_ids: np.ndarray, known: np.ndarray, hot: np.ndarray, length: int):
+    """Suffix records of the minimisers whose gram is ``known``, in groups of bounded size."""
+    g, kept, least = minimisers(w, length)
+    whole = w.doc[length - 1:] == w.doc[:len(least)]
+    anchors = np.flatnonzero(kept)
+    anchors = anchors[np.isin(g[anchors], known)]
+    back, around, kind = np.arange(length - GRAM + 1), np.arange(GRAM - length, length), context(length)
+    step = max(1, HELD_BYTES // kind.itemsize)
+    for p in (anchors[i:i + step] for i in range(0, len(anchors), step)):
+        start = p[:, None] - back
+        at = np.clip(start, 0, len(least) - 1)
+        own = (start == at) & whole[at] & (least[at] == g[p][:, None])       # the runs whose minimum the anchor is lie together
+        used = own.any(axis=1)
+        p, own = p[used], own[used]
+        rec = np.zeros(len(p), kind)
+        rec["gram"], rec["doc"], rec["pos"] = g[p], doc_ids[w.doc[p]], p - w.first_word[w.doc[p]]
+        rec["low"], rec["high"] = own.argmax(axis=1), length - GRAM - own[:, ::-1].argmax(axis=1)
+        rec["hot"] = np.isin(rec["gram"], hot)
+        rec["words"] = w.hash[np.clip(p[:, None] + around, 0, len(w.hash) - 1)]
+        yield _trim(rec, length)
+
+
+def ordered(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows word by word, and how many first words each has in common with the one before."""
+    rows = np.ascontiguousarray(words)
+    order = np.argsort(rows.view(f"S{rows.shape[1] * 8}").ravel(), kind="stable")       # byte order is an order of words
+    rows = rows[order]
+    differ = rows[1:] != rows[:-1]
+    return order, np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+
+
+def classes(order: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
+    """Rows with equal first ``n`` words get one number: they lie together in the order."""
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(common < n)])
+    return out
+
+
+def settled(rec: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records by (doc, pos), which runs of each are open, and which of these repeat an earlier one."""
     rec = rec[np.lexsort((rec["pos"], rec["doc"]))]
-    d, p = rec["doc"], rec["pos"].astype(np.int64)
-    new = np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + length)]) if len(rec) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(rec)) - 1 if len(rec) else at
-    return pd.DataFrame({"doc_id": d[at], "start": p[at], "end": p[last] + length})
+    back = np.arange(length - GRAM + 1)
+    runs = (rec["low"][:, None] <= back) & (back <= rec["high"][:, None])
+    again = np.zeros_like(runs)
+    if len(rec) < 2:
+        return rec, runs, again
+    before, after = ordered(rec["words"][:, :length - GRAM][:, ::-1]), ordered(rec["words"][:, length - GRAM:])
+    for k in back:
+        at = np.flatnonzero(runs[:, k])
+        if len(at) < 2:
+            continue
+        both = classes(*before, k)[at] * len(rec) + classes(*after, length - k)[at]
+        _, first, group = np.unique(both, return_index=True, return_inverse=True)
+        first = at[first[group]]
+        again[at, k] = (rec["doc"][at] != rec["doc"][first]) | (rec["pos"][at] != rec["pos"][first])
+    return rec, runs, again
+
+
+def _spans(rec: np.ndarray, again: np.ndarray, length: int) -> np.ndarray:
+    """Spans of words that the repeated runs cover."""
+    row, back = np.nonzero(again)
+    d, p = rec["doc"][row], rec["pos"][row].astype(np.int64) - back
+    order = np.lexsort((p, d))
+    d, p = d[order], p[order]
+    at = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + length)])) if len(d) else np.zeros(0, int)
+    out = np.zeros(len(at), SPAN)
+    out["doc_id"], out["start"] = d[at], p[at]
+    out["end"] = p[np.append(at[1:], len(d)) - 1] + length if len(d) else 0
+    return out
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +165,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             return rec
 
         def flush(rec):
-            rec = _settle(rec, "gram")
+            rec = rec[np.lexsort((rec["doc"], rec["gram"]))]
+            rec["local"] = np.concatenate([[False], rec["gram"][1:] == rec["gram"][:-1]])
             known = rec["local"] | np.append(rec["local"][1:], False)          # both neighbours of an equal pair
             buckets = (rec["gram"] % np.uint64(few)).astype(np.int32)
             witness = rec.copy()
@@ -120,61 +196,68 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     kinds = "doc_id long, gram long"
     anchors = (by_bucket(first.filter(F.col("bucket") != LOCAL), SUFFIX, compare, kinds)
                .unionByName(first.filter(F.col("bucket") == LOCAL).select("payload").mapInArrow(unpack, kinds)))
-    anchors = stage(anchors.groupBy("doc_id").agg(F.collect_set("gram").alias("grams")))
-    words = anchors.agg(F.sum(F.size("grams"))).first()[0] or 0
-    many = bucket_count(spark, float(words) * (length - GRAM) / 2 * RUN.itemsize)
-
-    def runs(batches):
-        def make(part):
-            w = Words(part.column(1))
-            g, _, low = minimisers(w, length)
-            r, inside = grams(w, length)
-            known = np.unique(part.column(2).flatten().to_numpy().view(np.uint64))
-            at = np.flatnonzero(inside)
-            at = at[np.isin(low[at], known)]
-            rec = np.zeros(len(at), RUN)
-            rec["gram"], rec["run"] = low[at], r[at]
-            rec["doc"], rec["pos"] = part.column(0).to_numpy()[w.doc[at]], at - w.first_word[w.doc[at]]
-            return rec
-
-        def flush(rec):
-            rec = _settle(np.unique(rec), "run")
-            far = rec[~rec["local"]]
-            yield packed((far["gram"] % np.uint64(many)).astype(np.int32), _slim(far))
-            near = rec[rec["local"]]
-            if len(near):
-                yield packed(np.full(len(near), LOCAL, np.int32), _slim(near))
-
-        yield from gather(batches, make, flush, 6 << 20)
-
-    second = stage(lookup_join(given, anchors, ["doc_id"]).select("doc_id", "text", "grams").mapInArrow(runs, PACKED))
+    anchors = stage(anchors.distinct())
+    hot = stage(anchors.groupBy("gram").count().filter(F.col("count") > HOT_SUFFIXES).select("gram", F.lit(True).alias("hot")))
+    if hot.head(1):
+        anchors = lookup_join(anchors, hot, ["gram"], "left")
+    else:
+        anchors = anchors.withColumn("hot", F.lit(None).cast("boolean"))
+    # an id has no more grams than words
+    anchors = stage(anchors.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot")))
+    kind = context(length)
+    count = anchors.agg(F.sum(F.size("grams"))).first()[0] or 0
+    many = bucket_count(spark, float(count) * kind.itemsize)
+    spread = np.multiply.accumulate(np.full(2 * length - GRAM, 0x9E3779B97F4A7C15, np.uint64))
+
+    def send(rec):
+        rec, runs, again = settled(np.concatenate(rec), length)
+        spans = _spans(rec, again, length)
+        if len(spans):
+            yield packed(np.full(len(spans), LOCAL, np.int32), spans)
+        runs &= ~again
+        own = np.flatnonzero(runs.any(axis=1) & ~rec["hot"])
+        far = rec[own]
+        far["low"], far["high"] = runs[own].argmax(axis=1), length - GRAM - runs[own][:, ::-1].argmax(axis=1)
+        yield packed((far["gram"] % np.uint64(many)).astype(np.int32), _trim(far, length))
+        row, back = np.nonzero(runs & rec["hot"][:, None])
+        for i in range(0, len(row), 8192):
+            one = rec[row[i:i + 8192]]
+            one["low"] = one["high"] = back[i:i + 8192]
+            one = _trim(one, length)
+            yield packed((mix((one["words"] * spread).sum(axis=1)) % np.uint64(many)).astype(np.int32), one)
+
+    def travel(batches):
+        held, size = [], 0
+        for batch in batches:
+            for a, b in chunks(batch.column(1)):
+                part = batch.slice(a, b - a)
+                known, own_hot = (np.unique(part.column(c).flatten().to_numpy().view(np.uint64)) for c in (2, 3))
+                for rec in contexts(Words(part.column(1)), part.column(0).to_numpy(), known, own_hot, length):
+                    held.append(rec)
+                    size += rec.nbytes
+                    if size >= HELD_BYTES:
+                        yield from send(held)
+                        held, size = [], 0
+        if held:
+            yield from send(held)
+
+    second = stage(lookup_join(given, anchors, ["doc_id"]).select("doc_id", "text", "grams", "hot").mapInArrow(travel, PACKED))
 
     def extend(rec):
-        rec = np.sort(np.unique(rec), order=("run", "doc", "pos"))
-        again = np.concatenate([[False], rec["run"][1:] == rec["run"][:-1]]) if len(rec) else np.zeros(0, bool)
-        return _spans(rec[again], length)
+        rec, _, again = settled(rec, length)
+        return pd.DataFrame(_spans(rec, again, length))
 
     def local(batches):
         for batch in batches:
-            rec = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), SLIM)
-            yield pa.RecordBatch.from_pandas(_spans(rec, length), preserve_index=False)
+            rec = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), SPAN)
+            yield pa.RecordBatch.from_arrays([pa.array(rec[f]) for f in SPAN.names], names=list(SPAN.names))
 
     kinds = "doc_id long, start long, end long"
-    pieces = (by_bucket(second.filter(F.col("bucket") != LOCAL), SLIM, extend, kinds)
+    pieces = (by_bucket(second.filter(F.col("bucket") != LOCAL), kind, extend, kinds)
               .unionByName(second.filter(F.col("bucket") == LOCAL).select("payload").mapInArrow(local, kinds)))
     return merged(pieces)
 
 
-SLIM = np.dtype([("run", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
-
-
-def _slim(rec: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rec), SLIM)
-    for f in SLIM.names:
-        out[f] = rec[f]
-    return out
-
-
 def merged(pieces: DataFrame) -> DataFrame:
     """Touching and overlapping spans of each id joined to one; an id has no more pieces than words."""
     sorted_ = F.array_sort(F.collect_list(F.struct("start", "end")))

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from siftlog.llm import suffixes
 from siftlog.llm.suffixes import repeated_spans, without_repeats
 
 from .brute import repeats, words
@@ -71,3 +73,34 @@ def test_two_texts_of_one_id(spark):
     rows = [(1, passage), (5, "a b c " + passage + " d"), (5, fresh), (5, fresh), (7, None), (None, passage)]
     got = sorted(((r["doc_id"], r["text"]) for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()), key=str)
     assert got == sorted([(1, passage), (5, "a b c d"), (5, fresh), (5, fresh), (7, None), (None, passage)], key=str)
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_grams_send_single_runs(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT_SUFFIXES", hot)
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert covered(repeated_spans(df)) == {i: s for i, s in repeats(rows).items() if s}
+
+
+def test_a_long_text_is_settled_in_groups(spark, monkeypatch):
+    """One text with more suffixes than a task settles at once, with passages of its own again."""
+    monkeypatch.setattr(suffixes, "HELD_BYTES", 20_000)
+    rng = random.Random(12)
+    w = [rng.choice(VOCAB) for _ in range(12_000)]
+    for at in (3_000, 7_000, 11_900):
+        w[at:at + 80] = w[100:180]
+    rows = [(1, " ".join(w)), (2, " ".join(w[5_000:5_049])), (3, " ".join(w[5_000:5_051])), (4, "z " * 5_000)]
+    got = covered(repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))
+    assert got == {i: s for i, s in repeats(rows).items() if s} and set(got) == {1, 3, 4}
+
+
+def test_order_and_common_words():
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 3, (200, 6)).astype(np.uint64)
+    order, common = suffixes.ordered(rows)
+    assert sorted(order.tolist()) == list(range(200))
+    for n in range(7):
+        number = suffixes.classes(order, common, n)
+        first = {}
+        assert all(first.setdefault(tuple(r[:n]), k) == k for r, k in zip(rows.tolist(), number.tolist())) and len(set(number.tolist())) == len(first)
