@@ -36,7 +36,7 @@ SPAN = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("end", "<i8")])
 TOP = np.uint64(2 ** 64 - 1)
 LOCAL = -1                    # bucket of records that a task has settled by itself
 HOT_SUFFIXES = 100_000        # suffixes of one gram that a bucket may receive whole, about 70 MB
-HELD_BYTES = 6 << 20          # suffixes that a task settles at once
+HELD_BYTES = 3 << 20          # suffixes that a task settles at once
 
 
 def minimisers(w: Words, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +206,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     anchors = stage(anchors.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot")))
     kind = context(length)
     count = anchors.agg(F.sum(F.size("grams"))).first()[0] or 0
-    many = bucket_count(spark, float(count) * kind.itemsize)
+    many = bucket_count(spark, 2.0 * count * kind.itemsize)       # settling a bucket takes several times its size
     spread = np.multiply.accumulate(np.full(2 * length - GRAM, 0x9E3779B97F4A7C15, np.uint64))
 
     def send(rec):
