@@ -1,12 +1,15 @@
-"""Benchmark decontamination: rare seed words, then Smith-Waterman alignment.
-
-1. One scan counts every word of the test items over the whole corpus.  An
-   alignment that reaches the score leaves at most ``lost`` places of the item unmatched, so of its
-   rarest ``lost + need`` places it matches ``need``; their words are the seeds.
-2. A second scan finds the places where ``need`` seeds of an item lie in as many words as such
-   an alignment can span at most; overlapping passages join, and no alignment is lost.  A passage
-   whose words cannot reach the score is left out (its shared words bound the score).
-3. The item is aligned with the passage by local alignment of words, which
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. The n-grams of an item are its word pairs at a distance of one or two, so a pair bears one word
+   added, lost or replaced in between.  An alignment that reaches the score keeps at least ``kept``
+   of them: it matches so many words that only every second edit can part two neighbours for good.  Items
+   for which that says nothing (one or two words) have their words as seeds.
+2. One scan counts the n-grams of the items over the whole corpus.  The seeds of an item are its
+   rarest, so many that ``need`` of those kept are among them; the most common ones never are.
+3. A second scan joins texts and items by seed: passages in which ``need`` seeds of an item lie in as
+   many words as an alignment can span at most; overlapping passages join, and no alignment is lost.
+   A passage whose words cannot reach the score is left out (its shared words bound the score).
+4. The item is aligned with the passage by local alignment of words, which
    bears replaced, added and lost words.
 
 Test items are the stated query set: they are read in blocks of at most
@@ -22,12 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import lookup_join, number_ordered, stage
 from .exchange import text_batches
-from .words import ALNUM, Words, chunks
+from .words import ALNUM, Words, chunks, mix
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 UNIT = 1 << 32                # one point of score in a cell of the alignment
+REACH = 2                     # farthest distance of the words of an n-gram
 MIN_SCORE = 0.5               # of the score of a whole, equal passage
-BLOCK_WORDS = 2_000_000       # words of test items in one broadcast block
+BLOCK_WORDS = 1_000_000       # words of test items in one broadcast block
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -62,17 +66,32 @@ class Items:
         self.first = w.first_word
         size = w.per_doc
         least = np.ceil(min_score * MATCH * size - 1e-9).astype(np.int64)           # the score to reach
-        self.lost = np.maximum(0, size - np.maximum(1, -(-least // MATCH)))          # places that may stay unmatched
         self.span = MATCH * size - least + size                                      # words of the longest passage, each edit costs a point
-        self.need = np.maximum(1, (size - self.lost) // 2)                           # seeds that a passage holds
-
-    def numbers(self, w: Words) -> np.ndarray:
+        self.kept = np.maximum(0, -(-least // MATCH) - 1)                            # n-grams that every such alignment keeps
+        self.need = np.maximum(1, self.kept // 2)                                    # seeds that a passage holds
+        singles = (self.kept == 0)[w.doc]
+        place, gram = pairs(w, ~singles)
+        place, gram = np.concatenate([place, np.flatnonzero(singles)]), np.concatenate([gram, w.hash[singles]])
+        order = np.argsort(place, kind="stable")
+        self.gram, self.gram_number = np.unique(gram[order], return_inverse=True)    # of all items, and of each place
+        self.gram_first = np.searchsorted(w.doc[place[order]], np.arange(len(ids) + 1))
+        self.has_singles = bool(singles.any())
+
+    def numbers(self, w: Words, words: "Table") -> np.ndarray:
         """The number of each word of a text among the words of the items, one past the last where it is none."""
         out = np.full(len(w.hash), len(self.word))
-        place, number = find(w.hash, self.word)
+        place, number = words.find(w.hash)
         out[place] = number
         return out
 
+    def grams(self, w: Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of the n-grams of texts that could be one of an item."""
+        known = numbers < len(self.word)
+        place, gram = pairs(w, known)
+        if self.has_singles:
+            place, gram = np.concatenate([place, np.flatnonzero(known)]), np.concatenate([gram, w.hash[known]])
+        return place, gram
+
     def shared(self, i: int, passage: np.ndarray) -> int:
         """Places of item ``i`` whose word is among the numbers of ``passage``."""
         held = np.zeros(len(self.word) + 1, bool)
@@ -80,46 +99,67 @@ class Items:
         return int(np.count_nonzero(held[self.number[self.first[i]:self.first[i + 1]]]))
 
     def seeds(self, counts: np.ndarray) -> "Seeds":
-        """The rarest ``lost + need`` places of each item by corpus count, equal counts by hash."""
+        """The rarest n-grams of each item by corpus count, equal counts by hash; those left out are ``kept - need``."""
         item, number = [], []
         for i in range(len(self.ids)):
-            own = self.number[self.first[i]:self.first[i + 1]]
-            rare = np.unique(own[np.lexsort((own, counts[own]))][:self.lost[i] + self.need[i]])
+            own = self.gram_number[self.gram_first[i]:self.gram_first[i + 1]]
+            rare = np.unique(own[np.lexsort((own, counts[own]))][:len(own) - max(0, self.kept[i] - self.need[i])])
             item.append(np.full(len(rare), i))
             number.append(rare)
         return Seeds(self, np.concatenate(item), np.concatenate(number))
 
 
 class Seeds:
-    """Sorted seed words, with the items of each."""
+    """Sorted seeds, with the items of each."""
 
     def __init__(self, items: Items, item: np.ndarray, number: np.ndarray):
         order = np.argsort(number, kind="stable")
         used, first = np.unique(number[order], return_index=True)
-        self.word = items.word[used]
+        self.gram = items.gram[used]
         self.low, self.high = first, np.append(first[1:], len(order))
         self.item = item[order]
 
 
-def find(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``values`` that occur in the sorted ``table``, and where."""
-    if not len(table) or not len(values):
-        return np.zeros(0, int), np.zeros(0, int)
-    bits = np.zeros(1 << 20, bool)
-    low = np.uint64((1 << 20) - 1)
-    bits[table & low] = True
-    near = np.flatnonzero(bits[values & low])
-    at = np.searchsorted(table, values[near])
-    at[at == len(table)] = 0
-    hit = table[at] == values[near]
-    return near[hit], at[hit]
+def pairs(w: Words, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first word and values of all pairs of ``used`` words at a distance up to ``REACH`` in one text."""
+    place, gram = [np.zeros(0, int)], [np.zeros(0, np.uint64)]
+    for d in range(1, REACH + 1):
+        at = np.flatnonzero(used[:-d] & used[d:] & (w.doc[:-d] == w.doc[d:]))
+        place.append(at)
+        gram.append(mix(w.hash[at] * np.uint64(0xD6E8FEB86659FD93) + w.hash[at + d]))
+    return np.concatenate(place), np.concatenate(gram)
+
+
+class Table:
+    """Sorted values with a bit table before the search, about 16 bits a value; built once in each task."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        size = 1 << max(16, (16 * len(values)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.bits = np.zeros(size, bool)
+        self.bits[values & self.mask] = True
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``wanted`` that occur in the table, and where."""
+        if not len(self.values) or not len(wanted):
+            return np.zeros(0, int), np.zeros(0, int)
+        near = np.flatnonzero(self.bits[wanted & self.mask])
+        at = np.searchsorted(self.values, wanted[near])
+        at[at == len(self.values)] = 0
+        hit = self.values[at] == wanted[near]
+        return near[hit], at[hit]
 
 
-def candidates(w: Words, items: Items, seeds: Seeds) -> list[tuple[int, int, int, int]]:
+def candidates(w: Words, items: Items, seeds: Seeds, table: Table, numbers: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(text, item, first word, word after the last) of every passage to align, in words of the batch."""
-    place, entry = find(w.hash, seeds.word)
+    place, gram = items.grams(w, numbers)
+    near, entry = table.find(gram)
+    place = place[near]
     if not len(place):
         return []
+    order = np.argsort(place, kind="stable")
+    place, entry = place[order], entry[order]
     lens = seeds.high[entry] - seeds.low[entry]
     flat = np.repeat(seeds.low[entry] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
     place = np.repeat(place, lens)
@@ -178,28 +218,30 @@ def _block_leaks(given: DataFrame, rows: list, min_score: float, kinds: str) ->
         return spark.createDataFrame([], kinds)
 
     def count(batches):
-        seen = np.zeros(len(items.word), np.int64)
+        seen = np.zeros(len(items.gram), np.int64)
+        words, table = Table(items.word), Table(items.gram)
         for batch in batches:
             for a, b in chunks(batch.column(0)):
                 w = Words(batch.column(0).slice(a, b - a), ALNUM)
-                seen += np.bincount(find(w.hash, items.word)[1], minlength=len(seen))
+                np.add.at(seen, table.find(items.grams(w, items.numbers(w, words))[1])[1], 1)
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["gram", "n"])
 
-    counted = given.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(items.word), np.int64)
-    for r in counted:
-        counts[r["word"]] = r["n"]
+    counted = given.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(len(items.gram), np.int64)
+    for r in counted:                                        # no more rows than n-grams of the block
+        counts[r["gram"]] = r["n"]
     seeds = items.seeds(counts)
 
     def match(batches):
+        words, table = Table(items.word), Table(seeds.gram)
         for batch in batches:
             for a, b in chunks(batch.column(1)):
                 part = batch.slice(a, b - a)
                 w = Words(part.column(1), ALNUM)
                 best: dict[tuple[int, int], tuple] = {}
-                numbers = items.numbers(w)
-                for d, i, low, high in candidates(w, items, seeds):
+                numbers = items.numbers(w, words)
+                for d, i, low, high in candidates(w, items, seeds, table, numbers):
                     item, passage = items.words[i], w.hash[low:high]
                     if MATCH * items.shared(i, numbers[low:high]) < min_score * MATCH * len(item):      # no alignment reaches the score
                         continue

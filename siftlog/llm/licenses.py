@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .contamination import find
 from .exchange import text_batches
-from .words import ALNUM, Words, chunks, grams, rolling
+from .words import ALNUM, Words, chunks, grams, rolling, find
 
 # Phrases and labels of the base rules.
 PHRASES = {

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from siftlog.llm.contamination import GAP, MATCH, MISMATCH, align, decontaminated, leaks
+from siftlog.llm.contamination import GAP, MATCH, MISMATCH, Items, Table, align, candidates, decontaminated, leaks
+from siftlog.llm.words import ALNUM, Words
 
 VOCAB = [f"w{i}" for i in range(500)]
 
@@ -97,3 +99,34 @@ def test_every_alignment_of_the_score_is_found(spark):
     b = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leaks(d, b).collect()} == want and len(want) > 200
+
+
+def test_very_common_seeds(spark):
+    """All words of the items stand in most texts; only texts that hold them in their order match."""
+    rng = random.Random(15)
+    common = [f"c{i}" for i in range(12)]
+    items = [(i, [rng.choice(common) for _ in range(n)]) for i, n in enumerate([1, 2, 3, 8, 20, 40, 40])]
+    texts = []
+    for d in range(120):
+        w = [rng.choice(common + VOCAB) for _ in range(rng.randrange(0, 90))]
+        if d % 4 == 0:
+            p = [x for x in items[d // 4 % 7][1] if rng.random() > .1]
+            w[10:10] = p
+        texts.append((d, w))
+    want = {(d, i) for d, w in texts for i, t in items if plain_align(t, w) >= len(t)}
+    b = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(d, b).collect()} == want and len(want) > 100
+
+
+def test_candidates_stay_few_as_items_grow():
+    """Passages to align, per text, hardly grow with the number of items."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = Words(pa.array([text(150) for _ in range(200)]), ALNUM)
+    for n in (200, 2000):
+        items = Items(list(range(n)), [text(30) for _ in range(n)], .5)
+        seeds = items.seeds(np.zeros(len(items.gram), np.int64))
+        got = candidates(texts, items, seeds, Table(seeds.gram), items.numbers(texts, Table(items.word)))
+        assert len(got) <= 2
