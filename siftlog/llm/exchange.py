@@ -7,6 +7,7 @@ follows the number of records, so that a bucket stays near ``BUCKET_BYTES``.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +28,14 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, TEXTS_PER_BATCH)
 
 
+def release() -> None:
+    """Gives freed memory of a worker back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bucket_count(spark: SparkSession, total_bytes: float) -> int:
     """Buckets for about ``total_bytes`` of records, at least one per shuffle partition."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total_bytes // BUCKET_BYTES) + 1)
@@ -60,11 +69,15 @@ def gather(batches: Iterator[pa.RecordBatch], make: Callable, flush: Callable, l
                 held, size = [], 0
     if held:
         yield from flush(np.concatenate(held))
+    held.clear()
+    release()
 
 
 def by_bucket(df: DataFrame, kind: np.dtype, work: Callable[[np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """``work`` on all records of one bucket at a time."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        return work(np.frombuffer(b"".join(bytes(p) for p in part["payload"]), kind))
+        out = work(np.frombuffer(b"".join(bytes(p) for p in part["payload"]), kind))
+        release()
+        return out
 
     return df.groupBy("bucket").applyInPandas(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.cluster import connected_components
 from ..runtime import lookup_join, stage
-from .exchange import PACKED, bucket_count, gather, packed, text_batches
+from .exchange import PACKED, bucket_count, gather, packed, release, text_batches
 from .words import Words, chunks, grams, mix, rolling
 
 SEGMENT_BITS = 1 << 20
@@ -276,7 +276,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         return sig.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     classes = stage(sig.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     bands = size_bands(percent, int(largest))
-    buckets = bucket_count(spark, 5 * (100 - percent) / (100 + percent) * KEY.itemsize * float(total))     # segments of two bands for each shingle
+    buckets = bucket_count(spark, 10 * (100 - percent) / (100 + percent) * KEY.itemsize * float(total))     # segments of two bands for each shingle; settling takes several times a bucket
 
     def keys(batches):
         def make(part):
@@ -306,7 +306,10 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
 
     def settle(bucket: tuple, part: pd.DataFrame) -> pd.DataFrame:
         rec = np.frombuffer(b"".join(bytes(p) for p in part["payload"]), KEY)
-        return memberships(rec, COMMON) if bucket[0] < 0 else shared(rec)
+        out = memberships(rec, COMMON) if bucket[0] < 0 else shared(rec)
+        del rec
+        release()
+        return out
 
     held = given.mapInArrow(keys, PACKED).groupBy("bucket").applyInPandas(settle, SHARED)
     edges = stage(_candidates(given, classes, held, bands, width))
@@ -342,7 +345,9 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         part = part.drop_duplicates(["doc_id", "grp", "payload"])
         sizes = np.array([len(p) // 8 for p in part["payload"]], np.int64)
         shingles = np.frombuffer(b"".join(bytes(p) for p in part["payload"]), np.uint64)
-        return linked(part["doc_id"].to_numpy(), sizes, shingles, part["grp"].to_numpy(), percent)
+        out = linked(part["doc_id"].to_numpy(), sizes, shingles, part["grp"].to_numpy(), percent)
+        release()
+        return out
 
     links = stage(held.groupBy("work").applyInPandas(verify, "src long, dst long"))
     comps = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))

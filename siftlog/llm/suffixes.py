@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import lookup_join, number_ordered, stage
-from .exchange import PACKED, bucket_count, by_bucket, gather, packed, text_batches
+from .exchange import PACKED, bucket_count, by_bucket, gather, packed, release, text_batches
 from .words import Words, chunks, grams, mix, sliding
 
 GRAM = 16
@@ -240,6 +240,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                         held, size = [], 0
         if held:
             yield from send(held)
+        held = []
+        release()
 
     second = stage(lookup_join(given, anchors, ["doc_id"]).select("doc_id", "text", "grams", "hot").mapInArrow(travel, PACKED))
 
