@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .exchange import text_batches
+from .exchange import release, text_batches
 from .words import chunks
 
 LEAF = 512                    # characters that are encoded in one go
@@ -221,6 +221,7 @@ def encoded(docs: DataFrame, path: str, long_chars: int = LONG_CHARS) -> DataFra
                 part = batch.slice(a, b - a)
                 raw = encoder(path).ids_bytes([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, _list_of_ids(raw)], names=[*part.schema.names, "ids"])
+            release()
 
     size = F.coalesce(F.char_length("text"), F.lit(0))
     short = docs.filter(size <= long_chars).mapInArrow(run, fields + ", ids array<int>")
@@ -319,6 +320,7 @@ def decoded(df: DataFrame, path: str) -> DataFrame:
                 flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
                 out = [enc.decode(flat[s:e]) if ok else None for s, e, ok in zip(ends[:-1], ends[1:], ids.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, "decoded"])
+            release()
 
     return df.mapInArrow(run, _fields(df) + ", decoded string")
 

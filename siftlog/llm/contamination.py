@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import lookup_join, number_ordered, stage
-from .exchange import text_batches
+from .exchange import release, text_batches
 from .words import ALNUM, Words, chunks, mix
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -256,6 +256,8 @@ def _block_leaks(given: DataFrame, rows: list, min_score: float, kinds: str) ->
                         pa.array([best[k][0] / (MATCH * len(items.words[k[1]])) for k in keys], pa.float64()),
                         pa.array([-best[k][1] for k in keys], pa.int64()), pa.array([best[k][2] for k in keys], pa.int64())],
                         names=["doc_id", "item_id", "score", "first_word", "last_word"])
+        del words, table
+        release()
 
     return given.mapInArrow(match, kinds)
 

@@ -313,6 +313,7 @@ def without_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             columns = list(batch.columns)
             columns[at] = cut_spans(columns[at], columns[-1])
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        release()
 
     out = joined.mapInArrow(cut, joined.schema).filter(F.col("_spans").isNull() | (F.trim("text") != ""))
     if "n_chars" in names:
