@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import HOT_ROWS, lookup_join, stage
-from .neighbors import TILE_ROWS, Cells, _matrix, _squared
+from .neighbors import TILE_ROWS, Cells, batched
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -50,22 +50,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def _tile_components(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Component numbers of the rows and columns of a bipartite adjacency matrix (-1: untouched column)."""
-    rows, cols = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
-    for start in range(near.shape[0]):
-        if rows[start] >= 0:
-            continue
-        front = np.array([start])
-        while len(front):
-            rows[front] = start
-            new_cols = near[front].any(0) & (cols < 0)
-            cols[new_cols] = start
-            front = np.nonzero(near[:, new_cols].any(1) & (rows < 0))[0]
-    return rows, cols
+def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Ties the sets of ``a`` and ``b``; ``label`` names the smallest member of each set."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        label[np.maximum(x, y)] = np.minimum(x, y)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: float = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: float = 4, tile_rows: int = TILE_ROWS, block_rows: int | None = None) -> DataFrame:
     """``id, cluster, core`` for weighted points ``id, w, vec``; noise is -1.
 
     A point is core when the weights within ε (itself included) reach
@@ -76,39 +77,47 @@ def dbscan(points: DataFrame, eps: float, min_samples: float = 4, tile_rows: int
     """
     points = points.select("id", F.col("w").cast("double").alias("w"), F.col("vec").cast("array<float>").alias("vec"))
     merged = stage(points.groupBy("vec").agg(F.min("id").alias("id"), F.sum("w").alias("w")))
-    cells = Cells(merged, eps, tile_rows)
+    cells = Cells(merged, eps, tile_rows, block_rows)
     limit, kind = cells.eps ** 2, cells.kind
 
-    def ball_weight(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        near = _squared(_matrix(x["vec"]), _matrix(y["vec"])) <= limit
-        return pd.DataFrame({"id": x["id"], "s": near @ y["w"].to_numpy()})
+    def ball_weight(block: pd.DataFrame, passing):
+        total = np.zeros(len(block))
+        for rows, near in passing:
+            w = rows["w"].to_numpy()
+            for r, c, _ in near(np.full(len(rows), limit), exact=False):
+                total += np.bincount(r, weights=w[c], minlength=len(block))
+        yield pd.DataFrame({"id": block["id"], "s": total})
 
     # a point as heavy as min_samples is core by itself; only light points are tested
     light = cells.homes.filter(F.col("w") < min_samples).select("id", "vec", "home")
-    sums = cells.run(light, cells.members.select("id", "w", "vec", "cell"), ball_weight, f"id {kind}, s double")
+    sums = cells.run(light, cells.homes.select("id", "w", "vec", "home"), ball_weight, f"id {kind}, s double")
     tested = sums.groupBy("id").agg(F.sum("s").alias("s")).filter(F.col("s") >= min_samples - 1e-9).select("id")
     core = stage(cells.homes.filter(F.col("w") >= min_samples).select("id").union(tested)
                  .withColumn("core", F.lit(True)))
-    # ids are unique on both sides of these joins, but for the few cells a point is copied to
-    homes = cells.homes.select("id", "vec", "home").join(core, "id", "left").na.fill({"core": False})
-    members = cells.members.select("id", "vec", "cell").join(core.select("id"), "id")
-
-    def span(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        near = _squared(_matrix(x["vec"]), _matrix(y["vec"])) <= limit
-        is_core = x["core"].to_numpy(dtype=bool)
-        xi, yi = x["id"].to_numpy(), y["id"].to_numpy()
-        out = []
-        if is_core.any():
-            rows, cols = _tile_components(near[is_core])
-            ids = np.concatenate([xi[is_core], yi[cols >= 0]])
-            comp = np.concatenate([rows, cols[cols >= 0]])
-            table = pd.DataFrame({"src": ids, "comp": comp}).drop_duplicates()
-            table["dst"] = table.groupby("comp")["src"].transform("min")
-            out.append(table[["src", "dst"]].assign(border=False))
-        r, c = np.nonzero(near[~is_core])
-        # a point that is not core has fewer than min_samples neighbours
-        out.append(pd.DataFrame({"src": xi[~is_core][r], "dst": yi[c], "border": True}))
-        return pd.concat(out, ignore_index=True)
+    # ids are unique on both sides of these joins
+    homes = stage(cells.homes.select("id", "vec", "home").join(core, "id", "left").na.fill({"core": False}))
+    members = homes.filter("core").select("id", "vec", "home")
+
+    def span(block: pd.DataFrame, passing):
+        xi, is_core, label = block["id"].to_numpy(), block["core"].to_numpy(dtype=bool), np.arange(len(block))
+        for rows, near in passing:
+            yi, first = rows["id"].to_numpy(), np.full(len(rows), -1)      # the first core point of the block that each row touches
+
+            def borders(near=near, yi=yi, first=first):
+                for r, c, _ in near(np.full(len(first), limit), exact=False):
+                    tied = is_core[r]
+                    # a point that is not core has fewer than min_samples neighbours
+                    yield xi[r[~tied]], yi[c[~tied]]
+                    r, c = r[tied], c[tied]
+                    new = first[c] < 0
+                    first[c[new]] = r[new]
+                    _unite(label, r, first[c])
+
+            for x, y in batched(borders()):
+                yield pd.DataFrame({"src": x, "dst": y, "border": True})
+            met = first >= 0
+            yield pd.DataFrame({"src": yi[met], "dst": xi[first[met]], "border": False})
+        yield pd.DataFrame({"src": xi[is_core], "dst": xi[label[is_core]], "border": False})
 
     links = stage(cells.run(homes, members, span, f"src {kind}, dst {kind}, border boolean"))
     comps = connected_components(links.filter("not border").select("src", "dst"))

@@ -1,6 +1,7 @@
 """Brute-force twins of the distributed operators, and behaviour under skew."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,29 @@ def test_dbscan_and_pairs_equal_brute_force(spark, monkeypatch, pivot_rows, tile
     assert pairs == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if d[i, j] <= eps}
 
 
+@pytest.mark.parametrize("pivot_rows", [10_000, 40])
+def test_points_travel_once_per_block(spark, monkeypatch, pivot_rows):
+    """Not once per tile; blocks of any size, and a block that passing rows reach in several pieces, give the same results."""
+    monkeypatch.setattr(NB, "ROWS_PER_PIVOT", pivot_rows)
+    monkeypatch.setattr(NB, "STREAM_ROWS", 50)
+    v, w, df = _points(spark, copies=60)
+    cells = NB.Cells(df, 0.25, tile_rows=16, block_rows=100)
+    assert cells.blocks.sum() <= 10
+    rows = cells.homes.select("id", "vec", "home")
+    passed = cells.run(rows, rows, lambda block, passing: (pd.DataFrame({"held": [len(block)], "n": [len(r)]}) for r, _ in passing), "held long, n long").collect()
+    assert len(passed) > cells.blocks.sum() and max(r["held"] for r in passed) < 200
+    assert len(v) <= sum(r["n"] for r in passed) <= len(v) * cells.blocks.sum()
+    want, core = _dbscan(v, w, 0.25, 4)
+    got = {r["id"]: (r["cluster"], r["core"]) for r in CL.dbscan(df, 0.25, 4, 16, 100).collect()}
+    assert got == {i: (int(want[i]), bool(core[i])) for i in range(len(v))}
+    d = _distance(v)
+    pairs = {(r["id"], r["other"]) for r in NB.eps_neighbors(df, 0.25, 16, 100).collect()}
+    assert pairs == {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if d[i, j] <= 0.25}
+    np.fill_diagonal(d, np.inf)
+    near = {r["id"]: r["dist"] for r in NB.kth_distance(df, 4, 16, 100).collect()}
+    assert all(abs(near[i] - np.sort(d[i])[3]) < 1e-6 for i in range(len(v)))
+
+
 def test_knn_and_eps(spark):
     v, _, df = _points(spark, 200)
     d = _distance(v)
