@@ -189,10 +189,10 @@ def rolling_window_counts(spark, sf):
     from siftlog.operators.lines import number_entries
     from pyspark.sql import functions as F_
 
-    pos = number_entries(e, 1000, "pos")
+    pos = stage(number_entries(e, 1000, "pos"))
     starts = pos.groupBy("source").agg(F_.min("pos").alias("_s"))
     pos = pos.join(starts, "source").withColumn("pos", F_.col("pos") - F_.col("_s")).drop("_s")
-    r = rolling.rolling_counts(pos, {"in_window": F_.count(F_.lit(1)), "severe": F_.count_if(F_.col("sev") <= 3)}, 500, block_rows=1000)
+    r = rolling.rolling_counts(pos, {}, 500, block_rows=1000, totals={"in_window": F_.lit(1), "severe": F_.col("sev") <= 3})
     return r.select("source", F_.col("line_no").alias("entry_id"), "in_window", "severe")
 
 
