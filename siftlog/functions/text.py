@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, functions as F
 
 from . import fixed as X
-from .base import col, contains_any, extract_all, is_ascii, literal_array, literal_map, pattern, strip
+from .base import col, contains_any, extract_all, is_ascii, literal_map, pattern, strip
+from .vectors import let
 
 
 def fixed_point(x, digits: int) -> Column:
@@ -123,15 +124,17 @@ def normalize_message(message, synonyms: dict | None = None, upper_only: bool =
 
 def learner_tokens(message) -> Column:
     """Lower-case words of three letters or more that are neither numbers nor stop words."""
-    stop = literal_array(X.STOPWORDS)
     tokens = extract_all(F.lower(col(message)), X.TOKEN_PATTERN)
-    return F.filter(tokens, lambda t: (F.char_length(t) >= 3) & ~t.rlike(r"^\d+$") & ~F.array_contains(stop, t))
+    return F.filter(tokens, lambda t: (F.char_length(t) >= 3) & ~t.rlike(r"^\d+$") & ~t.isin(*X.STOPWORDS))
 
 
 def text_terms(normalized) -> Column:
     """Uni- and bigrams of the normalised text, stop words dropped first."""
-    stop = literal_array(X.STOPWORDS)
-    words = F.filter(extract_all(F.lower(col(normalized)), X.TERM_PATTERN), lambda t: ~F.array_contains(stop, t))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+    words = F.filter(extract_all(F.lower(col(normalized)), X.TERM_PATTERN), lambda t: ~t.isin(*X.STOPWORDS))
+
+    def with_pairs(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
+                           lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+
+    return let(words, with_pairs)

@@ -13,7 +13,7 @@ from ..functions.features import feature_vector
 from ..functions.fixed import TOKEN_PATTERN
 from ..functions.text import normalize_message, normalize_token, text_terms
 from ..functions.vectors import combine_blocks
-from ..runtime import fits, lookup_join
+from ..runtime import evaluate_once, fits, lookup_join
 
 LITERAL_SYNONYMS = 5_000
 
@@ -65,10 +65,13 @@ def fit_vocabulary(docs: DataFrame, model: TextModel = TextModel()) -> DataFrame
     """
     texts = docs.groupBy("norm").agg(F.count(F.lit(1)).alias("w"))
     n = docs.select(F.count(F.lit(1)).alias("n")).scalar()
-    marks = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    terms = (texts.select("w", text_terms("norm").alias("terms")).select("w", F.explode(marks).alias("m"))
+    def mark(terms, tf: int, df: int):
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+
+    # a text without a repeated term needs one row per term
+    marks = F.when(F.size("terms") == F.size("once"), mark("once", 1, 1)).otherwise(F.concat(mark("terms", 1, 0), mark("once", 0, 1)))
+    held = evaluate_once(evaluate_once(texts, terms=text_terms("norm")).select("w", "terms"), once=F.array_distinct("terms"))
+    terms = (held.select("w", F.explode(marks).alias("m"))
              .groupBy("m.term").agg(F.sum(F.col("w") * F.col("m.tf")).alias("tf"), F.sum(F.col("w") * F.col("m.df")).alias("df")))
     min_df = F.when(n >= 10, F.lit(2)).otherwise(F.lit(1)) if model.min_df is None else F.lit(model.min_df)
     kept = terms.filter(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(model.size)
@@ -79,12 +82,14 @@ def fit_vocabulary(docs: DataFrame, model: TextModel = TextModel()) -> DataFrame
 
 def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """Long form ``key, idx, term, weight``: (1 + ln tf) · idf, unit length per document."""
-    hits = (docs.select(key, F.explode(text_terms("norm")).alias("term"))
+    # a document travels once, as its text; counts and norms are then worked out where its terms are
+    hits = (docs.select(key, "norm").filter(F.col(key).isNotNull()).repartition(key)
+            .select(key, F.explode(text_terms("norm")).alias("term"))
             .join(F.broadcast(vocabulary.select("term", "idx", "idf")), "term")      # ``size`` rows
             .groupBy(key, "idx", "term", "idf").agg(F.count(F.lit(1)).alias("k")))
     raw = hits.withColumn("raw", (1.0 + F.log("k")) * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
-    return raw.join(norms, key).select(key, "idx", "term", (F.col("raw") / F.col("_norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))      # ``size`` rows of a key at most
+    return raw.select(key, "idx", "term", (F.col("raw") / norm).alias("weight"))
 
 
 def dense_text(docs: DataFrame, vocabulary: DataFrame, key: str, size: int) -> DataFrame:

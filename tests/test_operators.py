@@ -252,3 +252,35 @@ def test_long_and_foreign_numbers_do_not_end_the_job(spark):
     df = spark.createDataFrame([("99999999999", "failed after \u0661\u0662\u0663 tries"), ("404", "took 5 ms"), ("x", "")], "s string, m string")
     rows = df.select(status_level("s").alias("l"), feature_vector(F.lit("INFO"), F.lit("svc"), F.col("m")).alias("v")).collect()
     assert [r["l"] for r in rows] == ["ERROR", "INFO", "INFO"] and all(len(r["v"]) == 14 for r in rows)
+
+
+def test_running_totals_equal_frames(spark):
+    """One step a row whatever the window: the frame sums come from running totals; nulls count 0."""
+    from siftlog.operators.rolling import rolling_counts
+
+    df = spark.createDataFrame([(s, i, None if i % 7 == 0 else i % 3) for s in "ab" for i in range(41)], "source string, pos bigint, x int")
+    for window in (1, 3, 4, 11, 100):
+        got = rolling_counts(df, {"want": F.sum("x")}, window, block_rows=4, totals={"n": F.lit(1), "x_sum": F.col("x")})
+        rows = got.orderBy("source", "pos").collect()
+        assert len(rows) == 82 and all(r["x_sum"] == (r["want"] or 0) and r["n"] == min(window, r["pos"] + 1) for r in rows)
+
+
+def test_tfidf_moves_each_document_once(spark):
+    """One exchange for counts and norms; a text goes through the term pattern once; repeated and null keys as before."""
+    import math
+
+    docs = spark.createDataFrame([(1, "disk full disk full"), (2, "the disk failed"), (2, "disk"), (3, ""), (None, "disk full")], "id long, norm string")
+    vocabulary = TV.fit_vocabulary(docs, TV.TextModel(min_df=1))
+    assert {(r["term"], r["tf"], r["df"]) for r in vocabulary.collect()} >= {("disk", 5, 4), ("full", 3, 2), ("disk full", 3, 2), ("full disk", 1, 1), ("failed", 1, 1)}
+    idf = {r["term"]: r["idf"] for r in vocabulary.collect()}
+    out = TV.tfidf(docs, vocabulary, "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(id") == 1 and "SortMergeJoin" not in plan
+    got = {(r["id"], r["term"]): r["weight"] for r in out.collect()}
+    counts = {1: {"disk": 2, "full": 2, "disk full": 2, "full disk": 1}, 2: {"disk": 2, "failed": 1, "disk failed": 1}}
+    raw = {k: {t: (1 + math.log(n)) * idf[t] for t, n in c.items()} for k, c in counts.items()}
+    want = {(k, t): v / math.sqrt(sum(x * x for x in c.values())) for k, c in raw.items() for t, v in c.items()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    words = spark.range(1).select(T.text_terms(F.lit("the disk is full")).alias("terms"))
+    assert words._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+    assert words.first()[0] == ["disk", "is", "full", "disk is", "is full"]
