@@ -255,8 +255,9 @@ def parse_entries(spark, sf):
     """The whole reading path: merge, sticky format, parse, number."""
     merged = L.merge_multiline(_with_positions(spark, sf), BLOCK)
     sticky = L.sticky_format(merged, BLOCK).drop("detected", "switched")
-    full = L.append_continuations(P.parse_lines(sticky))
-    return L.number_entries(full, BLOCK).select("source", "entry_id", "line_no", "format", "ts_raw", "level", "service", "message", "parsed")
+    full = L.append_continuations(P.parse_lines(sticky)).select("source", "line_no", "format", "ts_raw", "level", "service", "message", "parsed")
+    # numbering reads its rows several times: they are parsed once
+    return L.number_entries(stage(full), BLOCK).select("source", "entry_id", "line_no", "format", "ts_raw", "level", "service", "message", "parsed")
 
 
 Q["parse_entries"] = parse_entries

@@ -109,3 +109,14 @@ def test_line_numbers_over_blocks(spark, tmp_path):
         assert df.select("source").distinct().count() == 1 and wrong == 0 and df.count() == 5000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_entries_are_parsed_once_and_then_numbered(spark, sf):
+    """Numbering reads its rows several times; none of these readings parses a line again."""
+    from queries.q_parse import parse_entries
+
+    out = parse_entries(spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "Generate" not in plan
+    ids = sorted(r["entry_id"] for r in out.select("entry_id").collect())
+    assert ids == list(range(len(ids))) and len(ids) > 100
