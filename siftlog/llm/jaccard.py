@@ -8,8 +8,8 @@ wide sketch at least ``1 + slack`` agree.
 1. Segments that several texts share are found by their hash.  A text without more than ``slack`` segments that
    could agree with another's is done.  All others keep the rarest of theirs and leave out as many as
    ``slack`` of the commonest (segments with at most one bit count as commonest): a linked pair still shares one.
-2. Texts that share a kept segment are compared by a sketch of ``BITS_PER_DIFFERENCE * d`` bits; only pairs whose Hamming distance
-   is at most ``d`` are candidates.
+2. Texts that share a kept segment are compared by a sketch of ``BITS_PER_DIFFERENCE * d`` bits, made with the sizes in the first
+   pass, so that no text travels for it; only pairs whose Hamming distance is at most ``d`` are candidates.
 3. The shingle sets of the groups that candidates form are verified exactly.
 
 Skew: equal sets are one class before anything is compared.  A segment that many texts of one task run
@@ -158,15 +158,23 @@ def memberships(rec: np.ndarray, rank) -> pd.DataFrame:
                          "rank": np.broadcast_to(np.int32(rank) if np.isscalar(rank) else rank.astype(np.int32), len(rec)), "key": rec["key"].view(np.int64)})
 
 
-def compact_sketch(h: np.ndarray, d: int) -> bytes:
-    """Parity sketch of a set for the bound ``d``."""
-    bits = sketch_bits(d)
-    place = ((mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
-    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+def compact_sketches(h: np.ndarray, doc: np.ndarray, ds: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set for its bound of ``ds``; empty where that is 0."""
+    bits = 64 * -(-BITS_PER_DIFFERENCE * ds.astype(np.int64) // 64)
+    ends = np.cumsum(bits)
+    use = (ds > 0)[doc]
+    h, doc = h[use], doc[use]
+    place = ((mix(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * bits[doc].astype(np.uint64)) >> np.uint64(32)
+    odd = np.bincount((ends - bits)[doc] + place.astype(np.int64), minlength=int(ends[-1]) if len(ends) else 0) & 1
+    raw = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [raw[(e - m) // 8:e // 8] for e, m in zip(ends.tolist(), bits.tolist())]
 
 
-def sketch_bits(d: int) -> int:
-    return 64 * -(-BITS_PER_DIFFERENCE * d // 64)
+def band_bounds(n: np.ndarray, percent: int, back: int) -> np.ndarray:
+    """Difference bound of the band of each size, or of the band before it (``back`` = 1); 0 where there is none."""
+    bands = size_bands(percent, int(n.max(initial=0)))
+    band = np.searchsorted([b[0] for b in bands], n, side="right") - 1 - back
+    return np.where(band >= 0, np.array([b[1] for b in bands] + [0])[np.maximum(band, 0)], 0)
 
 
 def within_bound(sets: np.ndarray, sketches: np.ndarray, group: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +275,11 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
                 part = batch.slice(a, b - a)
                 h, doc = shingle_sets(part.column(1), width)
                 n, h1, h2 = set_ids(h, doc, len(part))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2)],
-                                                 names=["doc_id", "n", "h1", "h2"])
+                sketches = [pa.array(compact_sketches(h, doc, band_bounds(n, percent, back)), pa.binary()) for back in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), pa.array(h1), pa.array(h2), *sketches],
+                                                 names=["doc_id", "n", "h1", "h2", "own", "before"])
 
-    sig = stage(given.mapInArrow(signatures, "doc_id long, n long, h1 long, h2 long"))
+    sig = stage(given.mapInArrow(signatures, "doc_id long, n long, h1 long, h2 long, own binary, before binary"))
     total, largest = sig.agg(F.sum("n"), F.max("n")).first()
     if not largest:
         return sig.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -312,7 +321,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
         return out
 
     held = given.mapInArrow(keys, PACKED).groupBy("bucket").applyInPandas(settle, SHARED)
-    edges = stage(_candidates(given, classes, held, bands, width))
+    edges = stage(_candidates(sig, classes, held, bands))
     groups = stage(connected_components(edges).select(F.col("node").alias("h1"), F.col("component").alias("grp")))
     # the texts to verify: one per class; a large group is cut into blocks, and every pair of blocks is one task's work
     found = stage(classes.join(groups, "h1"))
@@ -358,7 +367,7 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_col: s
             .select("doc_id", F.col("n").alias("n_shingles"), "component_id"))
 
 
-def _candidates(given: DataFrame, classes: DataFrame, held: DataFrame, bands: list[tuple[int, int, int]], width: int) -> DataFrame:
+def _candidates(sig: DataFrame, classes: DataFrame, held: DataFrame, bands: list[tuple[int, int, int]]) -> DataFrame:
     """Edges (src, dst) between sets that share a kept segment and whose sketches are within the bound of their band."""
     lows = F.array(*[F.lit(b[0]) for b in bands])
     slacks = F.array(*[F.lit(_slack(b[1])) for b in bands])
@@ -371,36 +380,15 @@ def _candidates(given: DataFrame, classes: DataFrame, held: DataFrame, bands: li
     take = lambda c, n: F.slice(c, 1, F.greatest(F.lit(0), n))
     kept = F.concat(take("full", F.size("full") + F.col("n_weak") - F.col("slack")), take("thin", F.size("thin") - F.col("slack")))
     kept = stage(texts.select("rep", "set", "band", "back", F.explode(kept).alias("k")).select("rep", "set", "band", "back", F.col("k.key").alias("key")))
-    # a segment that only one text has kept, or none in its own band, joins nothing; sketches are made for the others only
+    # a segment that only one text has kept, or none in its own band, joins nothing
     several = kept.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("back").alias("away")).filter("n > 1 and not away")
     several = stage(several.select("band", "key", F.ceil(F.col("n") / SKETCHES).cast("int").alias("blocks")))
-    places = lookup_join(kept, several, ["band", "key"]).groupBy("rep", "set", "band").agg(F.collect_list(F.struct("key", "blocks")).alias("keys"))
-    wanted = stage(places.groupBy("rep").agg(F.collect_list(F.struct("set", "band", "keys")).alias("places")).withColumnRenamed("rep", "doc_id"))
+    places = stage(lookup_join(kept, several, ["band", "key"]).groupBy("rep", "set", "band", "back")
+                   .agg(F.collect_list(F.struct("key", "blocks")).alias("keys")))
+    # equal rows of an id are one text; another text of the same id has another set
+    made = sig.filter("n > 0 and doc_id is not null").select(F.col("doc_id").alias("rep"), F.col("h1").alias("set"), "own", "before").dropDuplicates(["rep", "set"])
+    rows = places.join(made, ["rep", "set"]).select("band", F.inline("keys"), "set", F.when(F.col("back"), F.col("before")).otherwise(F.col("own")).alias("sketch"))
     bounds = [b[1] for b in bands]
-    kinds = "band int, key long, blocks int, set long, sketch binary"
-
-    def sketch(batches):
-        for batch in batches:
-            for a, b in chunks(batch.column(0)):
-                part = batch.slice(a, b - a)
-                h, doc = shingle_sets(part.column(0), width)
-                n, ids, _ = set_ids(h, doc, len(part))
-                ends = np.cumsum(n)
-                out: dict[str, list] = {"band": [], "key": [], "blocks": [], "set": [], "sketch": []}
-                for i, places in enumerate(part.column(1).to_pylist()):
-                    for p in places:
-                        if p["set"] != ids[i]:               # another text of the same id
-                            continue
-                        own, m = compact_sketch(h[ends[i] - n[i]:ends[i]], bounds[p["band"]]), len(p["keys"])
-                        out["band"] += [p["band"]] * m
-                        out["key"] += [k["key"] for k in p["keys"]]
-                        out["blocks"] += [k["blocks"] for k in p["keys"]]
-                        out["set"] += [p["set"]] * m
-                        out["sketch"] += [own] * m
-                yield pa.RecordBatch.from_arrays([pa.array(out["band"], pa.int32()), pa.array(out["key"], pa.int64()), pa.array(out["blocks"], pa.int32()),
-                                                  pa.array(out["set"], pa.int64()), pa.array(out["sketch"], pa.binary())], names=list(out))
-
-    rows = lookup_join(given.filter(F.col("doc_id").isNotNull()), wanted, ["doc_id"]).select("text", "places").mapInArrow(sketch, kinds)
     block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     tiled = (rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "set", "sketch"))

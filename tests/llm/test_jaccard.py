@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from siftlog.llm import jaccard as J
 from siftlog.llm.jaccard import jaccard_groups, size_bands
 from siftlog.llm.words import ALNUM, Words, rolling, sliding
 
@@ -77,3 +78,30 @@ def test_nulls_repeats_and_empty(spark):
     assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 0, 2), (7, 297, 7), (8, 297, 7)], key=str)
     assert jaccard_groups(df.limit(0)).count() == 0
     assert jaccard_groups(df.filter("doc_id = 2")).collect() == [(2, 0, 2)]
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 500, rng.integers(0, 300))).astype(np.uint64) for _ in range(60)] + [np.zeros(0, np.uint64)]
+    h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    ds = J.band_bounds(np.array([len(s) for s in sets]), 85, 0)
+    for d in (0, 7, 50):
+        made = [np.frombuffer(x, np.uint8) for x in J.compact_sketches(h, doc, np.full(len(sets), d))]
+        assert all(len(x) == J.BITS_PER_DIFFERENCE * d // 64 * 8 + 8 * (J.BITS_PER_DIFFERENCE * d % 64 > 0) for x in made)
+        assert all(np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b)) for a, x in zip(sets, made) for b, y in zip(sets, made))
+    assert ds[-1] == 0 and [len(x) * 8 for x in J.compact_sketches(h, doc, ds)] == [-(-3 * d // 64) * 64 for d in ds]
+    bands = size_bands(85, 2000)
+    for n in (0, 1, 2, 13, 400, 1999):
+        home = sum(b[0] <= n for b in bands) - 1
+        assert [J.band_bounds(np.array([n, 3]), 85, k)[0] for k in (0, 1)] == [bands[home - k][1] if home >= k else 0 for k in (0, 1)]
+
+
+def test_texts_travel_for_verification_only(spark, monkeypatch):
+    rows = corpus(4)
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    plans, stage = [], J.stage
+    monkeypatch.setattr(J, "stage", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or stage(d))
+    got = sorted(tuple(r) for r in jaccard_groups(df).collect())
+    assert got == jaccard(rows)
+    joined = [p for p in plans if any("Join" in line for line in p.splitlines()) and "text#" in p.split("Join", 1)[1] and "places#" in p]
+    assert len(joined) == 1
