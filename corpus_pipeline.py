@@ -48,8 +48,9 @@ def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
-    return bpe.digests(bpe.decoded(bpe.encoded(docs.select("doc_id", "text"), TOKENIZER).drop("text"), TOKENIZER))
+    """Token counts and digests of ids and decoded texts; the ids are staged, so that a task has one Python worker and not two."""
+    ids = stage(bpe.encoded(docs.select("doc_id", "text"), TOKENIZER).drop("text"))
+    return bpe.digests(bpe.decoded(ids, TOKENIZER))
 
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeated_passages),

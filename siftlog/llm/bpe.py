@@ -18,6 +18,7 @@ import os
 import re
 import string
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ LEAF = 512                    # characters that are encoded in one go
 AGREE = 2                     # tokens on which a window and each side must agree
 LONG_CHARS = 60_000           # a longer text is encoded in parts over the cluster
 CACHE = 800_000               # pieces that a worker remembers; does not change results
+KEPT = 100_000                # of them, those that it remembers from one task to the next: frequent pieces come early
 MARKS = ",.!?;:"
 # the byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -47,6 +49,14 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """At the end of a task: workers live on between stages."""
+    known = _encoders.get(path)
+    if known and len(known.cache) > KEPT:
+        known.cache = dict(islice(known.cache.items(), KEPT))
+    release()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -222,6 +232,7 @@ def encoded(docs: DataFrame, path: str, long_chars: int = LONG_CHARS) -> DataFra
                 raw = encoder(path).ids_bytes([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, _list_of_ids(raw)], names=[*part.schema.names, "ids"])
             release()
+        forget(path)
 
     size = F.coalesce(F.char_length("text"), F.lit(0))
     short = docs.filter(size <= long_chars).mapInArrow(run, fields + ", ids array<int>")

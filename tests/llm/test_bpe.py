@@ -93,3 +93,15 @@ def test_words_marks_and_odd_blanks_as_the_library(name):
     want = [e.ids for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
     got = [raw for i in range(0, len(texts), 500) for raw in enc.ids_bytes(texts[i:i + 500])]
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+def test_a_worker_remembers_little_between_tasks(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 20)
+    monkeypatch.setattr(bpe, "_encoders", {})
+    texts = [" ".join(f"word{i} x{i}," for i in range(k, k + 50)) for k in range(0, 300, 30)] + [""]
+    want = [LIBRARY[WORD].encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(r, "<u4").tolist() for r in bpe.encoder(WORD).ids_bytes(texts)] == want
+        assert len(bpe.encoder(WORD).cache) > 20
+        bpe.forget(WORD)
+        assert len(bpe.encoder(WORD).cache) == 20

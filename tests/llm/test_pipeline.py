@@ -95,3 +95,13 @@ def test_near_copies_take_five_words_and_80_percent(spark, outputs):
     assert want != {i for i, _, c in jaccard(list(enumerate(texts))) if i == c}      # the two bars differ on these texts
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], outputs[0].schema)
     assert {r["doc_id"] for r in C.near_copies(spark, docs, SF).collect()} == want
+
+
+def test_encoding_has_one_python_worker_a_task(spark, outputs, monkeypatch):
+    plans, stage = [], C.stage
+    monkeypatch.setattr(C, "stage", lambda d: plans.append(d) or stage(d))
+    plans.append(C.encoding(spark, outputs[4], SF))
+    for d in plans:
+        nodes = [line.lstrip(" :+-").split(" ")[0] for line in d._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+        nodes = [n for n in nodes if n not in ("Project", "Filter", "Union")]
+        assert ("MapInArrow", "MapInArrow") not in zip(nodes, nodes[1:])
