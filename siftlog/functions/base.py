@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from .fixed import FLAGS, FLAGS_I
@@ -25,12 +28,18 @@ def matches(c: Column | str, text: str, ignore_case: bool = False) -> Column:
         c.rlike(pattern(text, ignore_case)))
 
 
-def extract(c: Column | str, text: str, group: int = 0, ignore_case: bool = False) -> Column:
-    return F.regexp_extract(col(c), pattern(text, ignore_case), group)
+def extract(c: Column | str, text: str, group: int = 0, ignore_case: bool = False, unicode: bool = True) -> Column:
+    return F.regexp_extract(col(c), pattern(text, ignore_case, unicode), group)
+
+
+def extract_all(c: Column | str, text: str, group: int = 0, ignore_case: bool = False, unicode: bool = True) -> Column:
+    return F.regexp_extract_all(col(c), F.lit(pattern(text, ignore_case, unicode)), F.lit(group))
 
 
-def extract_all(c: Column | str, text: str, group: int = 0, ignore_case: bool = False) -> Column:
-    return F.regexp_extract_all(col(c), F.lit(pattern(text, ignore_case)), F.lit(group))
+def by_script(c: Column | str, body: Callable[[Column, bool], Column]) -> Column:
+    """``body(text, unicode)`` with the cheaper ASCII classes for ASCII rows; the digits of other rows become 0-9."""
+    c = col(c)
+    return F.when(is_ascii(c), body(c, False)).otherwise(body(ascii_digits(c), True))
 
 
 def is_ascii(c: Column | str) -> Column:
@@ -81,3 +90,8 @@ def lookup(key: Column, entries: dict, default) -> Column:
 def contains_any(c: Column, words: list[str]) -> Column:
     """True when any of the plain words occurs in the text, in one pass."""
     return c.rlike("|".join(words))
+
+
+def holds_any(c: Column, words: list[str]) -> Column:
+    """``contains_any`` by plain searches, each cheaper than a pattern."""
+    return reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words])

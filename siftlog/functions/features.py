@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed as X
-from .base import ascii_digits, col, contains_any, extract, extract_all, literal_array, lookup, matches
-from .text import normalize_message
+from .base import by_script, col, extract, extract_all, holds_any, is_ascii, literal_array, lookup, matches
+from .text import normalize_token, synonym_map
 from .vectors import let
 
 FEATURE_NAMES = [
@@ -20,42 +20,62 @@ def _flag(test: Column) -> Column:
     return F.when(test, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
+def _http_code(message: Column) -> Column:
+    """Text of the first status code, from one match: the code ends the match, but for white space; empty without one."""
+    found = by_script(message, lambda c, u: extract(c, X.HTTP_PATTERN, 0, ignore_case=True, unicode=u))
+    return extract(found, r"([1-5]\d{2})\s*$", 1)
+
+
 def http_status(message) -> Column:
     """First status code that stands in an HTTP context, NULL when there is none."""
-    message = ascii_digits(message)
-    first = extract(message, X.HTTP_PATTERN, 1, ignore_case=True)
-    second = extract(message, X.HTTP_PATTERN, 2, ignore_case=True)
-    return F.when(first != "", first).when(second != "", second).try_cast("int")
+    return _http_code(col(message)).try_cast("int")
+
+
+def _feature_words(low: Column) -> Column:
+    """How many feature words the normalised text holds.
+
+    No feature word holds a blank, and the rules turn a lower-case word into a
+    synonym, the word for an error code, or parts of itself.  So only words
+    with one of the ``FEATURE_SIGNS`` can count, and only they are normalised.
+    """
+    table = synonym_map()
+    signs = "|".join(X.FEATURE_SIGNS)
+    words = F.filter(F.regexp_extract_all(low, F.lit("[A-Za-z][A-Za-z0-9]*"), F.lit(0)), lambda t: t.rlike(signs))
+    normalized = F.array_join(F.transform(words, lambda t: normalize_token(t, table)), " ")
+    hits = let(normalized, lambda text: F.size(F.filter(literal_array(X.FEATURE_WORDS), lambda w: F.contains(text, w))))
+    return F.when(holds_any(low, X.FEATURE_SIGNS), hits).otherwise(F.lit(0))
 
 
 def feature_columns(level, service, message) -> dict[str, Column]:
     message, service = col(message), col(service)
     low = F.lower(message)
-    normalized = normalize_message(low)
 
-    hits = let(normalized, lambda text: F.size(F.filter(literal_array(X.FEATURE_WORDS), lambda w: F.contains(text, w))))
-    status = http_status(message)
-    digits = ascii_digits(low)
-    top = F.array_max(F.transform(extract_all(digits, X.NUMBER_PATTERN, 1), lambda n: n.try_cast("double")))
-    last_value = F.try_element_at(extract_all(digits, X.DURATION_PATTERN, 1), F.lit(-1)).try_cast("double")
-    last_unit = F.try_element_at(extract_all(digits, X.DURATION_PATTERN, 2), F.lit(-1))
-    seconds = (F.when(last_unit == "ms", last_value / 1000)
-               .when(last_unit.isin("minutes", "min"), last_value * 60).otherwise(last_value))
-    repeats = extract(digits, X.REPEAT_PATTERN, 1, ignore_case=True)
+    hits = _feature_words(low)
+    numbers = by_script(low, lambda c, u: extract_all(c, X.NUMBER_PATTERN, 1, unicode=u))
+    top = F.array_max(F.transform(numbers, lambda n: n.try_cast("double")))
+    # a match holds its number and its unit: the text is searched once for both
+    last = F.try_element_at(by_script(low, lambda c, u: extract_all(c, X.DURATION_PATTERN, unicode=u)), F.lit(-1))
+    unit = F.regexp_extract(last, "[a-z]+$", 0)
+    seconds = (F.regexp_extract(last, r"^[0-9]+\.?[0-9]*", 0).try_cast("double")
+               * lookup(unit, {"minutes": 60.0, "min": 60.0}, 1.0) / lookup(unit, {"ms": 1000.0}, 1.0))
+    # an ASCII row without the letters of a unit has no size
+    memory = F.when(is_ascii(low) & ~holds_any(low, X.MEMORY_UNITS), F.lit(False)).otherwise(
+        matches(low, X.MEMORY_PATTERN, ignore_case=True))
+    repeats = by_script(low, lambda c, u: extract(c, X.REPEAT_PATTERN, 1, ignore_case=True, unicode=u))
 
     values = [
         lookup(F.upper(col(level)), X.FEATURE_LEVEL_WEIGHT, X.DEFAULT_FEATURE_LEVEL_WEIGHT),
         hits / F.lit(float(len(X.FEATURE_WORDS))),
-        F.when(status >= 500, F.lit(1.0)).when(status >= 400, F.lit(0.5)).otherwise(F.lit(0.0)),
+        lookup(F.left(_http_code(message), F.lit(1)), {"5": 1.0, "4": 0.5}, 0.0),
         _flag(top.isNotNull()),
         F.coalesce(F.least(F.log10(1.0 + top) / 9.0, F.lit(1.0)), F.lit(0.0)),
         F.least(F.char_length(message) / 200.0, F.lit(1.0)),
-        _flag(contains_any(low, X.STACK_WORDS)),
+        _flag(holds_any(low, X.STACK_WORDS)),
         _flag(matches(low, X.IP_PATTERN)),
         _flag(matches(low, X.PORT_PATTERN)),
-        _flag(last_unit.isNotNull()),
+        _flag(last.isNotNull()),
         F.coalesce(F.least(F.log1p(seconds) / 10.0, F.lit(1.0)), F.lit(0.0)),
-        _flag(matches(low, X.MEMORY_PATTERN, ignore_case=True)),
+        _flag(memory),
         F.when(repeats != "", F.least(repeats.try_cast("double") / 100.0, F.lit(1.0))).otherwise(F.lit(0.0)),
         _flag(~F.lower(F.coalesce(service, F.lit(""))).isin("", "unknown")),
     ]

@@ -213,6 +213,7 @@ IP_PATTERN = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
 PORT_PATTERN = r"(?<!\d):(\d{2,5})(?!\d)"
 DURATION_PATTERN = r"\b(\d+\.?\d*)\s*(ms|s|sec|seconds|minutes|min)\b"
 MEMORY_PATTERN = r"\b(\d+\.?\d*)\s*(mb|gb|kb|bytes|mib|gib)\b"
+MEMORY_UNITS = ["mb", "gb", "kb", "bytes", "mib", "gib"]      # of MEMORY_PATTERN
 REPEAT_PATTERN = r"repeated\s+(\d+)\s+times?"
 
 TOKEN_PATTERN = r"[A-Za-z][A-Za-z0-9]*|\d+"
@@ -242,6 +243,10 @@ ERROR_CODES = [
     (r"^EACCES$", "denied"),
     (r"^ESRCH$", "missing"),
 ]
+# every lower-case word whose normal form holds a feature word has one of these in it
+_SIGNS = sorted({*FEATURE_WORDS, "etimeout", "enoent", "eperm", "eacces", "esrch",
+                 *(k for k, v in BASE_SYNONYMS.items() if any(w in v for w in FEATURE_WORDS))})
+FEATURE_SIGNS = [s for s in _SIGNS if not any(o != s and o in s for o in _SIGNS)]
 STOPWORDS = [
     "the", "for", "and", "not", "was", "were", "are", "has", "had", "have",
     "with", "from", "this", "that", "then", "than", "when", "will", "been",

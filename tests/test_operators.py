@@ -1,5 +1,7 @@
 """Brute-force twins of the distributed operators, and behaviour under skew."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -284,3 +286,24 @@ def test_tfidf_moves_each_document_once(spark):
     words = spark.range(1).select(T.text_terms(F.lit("the disk is full")).alias("terms"))
     assert words._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
     assert words.first()[0] == ["disk", "is", "full", "disk is", "is full"]
+
+
+def test_features_search_a_text_once(spark):
+    from siftlog.functions import fixed as X
+    from siftlog.functions.base import literal_array
+    from siftlog.functions.features import feature_columns
+    from siftlog.functions.text import normalize_message
+
+    texts = ["GET /a HTTP/1.1 503 after 5ms and 2 minutes", "404 Not Found", "npe7 down3 etimeout ioerror errors", "plain words",
+             "7 MB at line 3", "", None, "status ٥٠٣ in ٤ min", "123abort _leak_ ENOENT econntimeout"]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(texts)], "i int, m string")
+    cols = feature_columns(F.lit("INFO"), F.lit("s"), F.col("m"))
+    norm = normalize_message(F.lower("m"))
+    whole = sum((F.coalesce(F.contains(norm, F.lit(w)).cast("int"), F.lit(0)) for w in X.FEATURE_WORDS), F.lit(0))
+    rows = df.select("i", *[c.alias(n) for n, c in cols.items()], (whole / 23.0).alias("all_words")).orderBy("i").collect()
+    assert [r["error_score"] for r in rows] == [r["all_words"] for r in rows]
+    assert [r["http_score"] for r in rows] == [1.0, 0.5, 0, 0, 0, 0, 0, 1.0, 0]
+    assert [r["has_memory"] for r in rows] == [0, 0, 0, 0, 1.0, 0, 0, 0, 0]
+    assert [rows[i]["max_duration"] for i in (0, 7)] == pytest.approx([math.log1p(120) / 10, math.log1p(240) / 10])
+    plan = df.select(cols["http_score"])._jdf.queryExecution().analyzed().toString()
+    assert plan.count(X.HTTP_PATTERN) <= 4            # for ASCII rows and for others; nothing searches again for a second group
