@@ -123,8 +123,13 @@ def stratified_split(spark, sf):
 Q["stratified_split"] = stratified_split
 SQL["stratified_split"] = f"""WITH {_EV}, c AS (SELECT label, count(*) AS n, CAST(round(count(*) * 0.4::DOUBLE) AS BIGINT) AS k FROM ev GROUP BY label)
 SELECT label, TRUE AS is_test, k AS rows FROM c UNION ALL SELECT label, FALSE, n - k FROM c"""
-Q["supervised_head"] = lambda spark, sf: SU.train_and_evaluate(stage(SU.feature_matrix(labelled_entries(spark, sf))), "entry_id", trees=30)
-Q["supervised_logistic"] = lambda spark, sf: SU.train_and_evaluate(stage(SU.feature_matrix(labelled_entries(spark, sf))), "entry_id", model="lr")
+def head_input(spark, sf):
+    """Key, label and columns of the head; staged, as ordering the rows reads them twice."""
+    return stage(SU.feature_matrix(labelled_entries(spark, sf)).select("entry_id", "label", *SU.COLUMNS))
+
+
+Q["supervised_head"] = lambda spark, sf: SU.train_and_evaluate(head_input(spark, sf), "entry_id", trees=30)
+Q["supervised_logistic"] = lambda spark, sf: SU.train_and_evaluate(head_input(spark, sf), "entry_id", model="lr")
 
 
 def detect_full(spark, sf):

@@ -307,3 +307,14 @@ def test_features_search_a_text_once(spark):
     assert [rows[i]["max_duration"] for i in (0, 7)] == pytest.approx([math.log1p(120) / 10, math.log1p(240) / 10])
     plan = df.select(cols["http_score"])._jdf.queryExecution().analyzed().toString()
     assert plan.count(X.HTTP_PATTERN) <= 4            # for ASCII rows and for others; nothing searches again for a second group
+
+
+def test_supervised_head_moves_no_texts(spark, monkeypatch):
+    from siftlog.operators import supervised as SU
+
+    df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 2).alias("label"), F.lit("a long text").alias("message"),
+                                 *[((F.col("id") * (i + 3)) % 7 + F.col("id") % 2).cast("double").alias(c) for i, c in enumerate(SU.COLUMNS)])
+    seen, real = [], SU.number_ordered
+    monkeypatch.setattr(SU, "number_ordered", lambda rows, *a: seen.append(rows.columns) or real(rows, *a))
+    assert SU.train_and_evaluate(df, "k", model="lr").first()["n"] == 80
+    assert seen == [["k", "label", *SU.COLUMNS]]
