@@ -79,15 +79,21 @@ def synonym_map(synonyms: dict | None = None) -> Column:
     return F.from_json(F.lit(json.dumps(synonyms)), "map<string,string>")
 
 
-def _unknown_word(token: Column, synonyms: Column, upper_only: bool) -> Column:
+def _synonym(word: Column, synonyms: Column, words: list[str] | None) -> Column:
+    """The entry of ``word``.  A map is searched key by key, so words outside a known key set skip it."""
+    found = F.try_element_at(synonyms, word)
+    return found if words is None else F.when(word.isin(words), found)
+
+
+def _unknown_word(token: Column, synonyms: Column, upper_only: bool, words: list[str] | None) -> Column:
     up, low = F.upper(token), F.lower(token)
     conn = F.regexp_extract(up, r"^ECONN(\w+)$", 1)
     generic = up.rlike("^E[A-Z]{2,10}$")
     if upper_only:
         generic = generic & (token == up)
 
-    def swap(words: Column) -> Column:
-        return F.array_join(F.transform(words, lambda p: F.coalesce(F.try_element_at(synonyms, p), p)), " ")
+    def swap(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p: F.coalesce(_synonym(p, synonyms, words), p)), " ")
 
     split_camel = F.regexp_replace(F.regexp_replace(token, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     head = F.regexp_extract(low, r"^([a-z]+)(\d+)$", 1)
@@ -101,13 +107,14 @@ def _unknown_word(token: Column, synonyms: Column, upper_only: bool) -> Column:
             .otherwise(low))
 
 
-def normalize_token(token: Column, synonyms: Column, upper_only: bool = False) -> Column:
+def normalize_token(token: Column, synonyms: Column, upper_only: bool = False, words: list[str] | None = None) -> Column:
+    """``words``: the keys of a constant ``synonyms`` map."""
     low = F.lower(token)
-    known = F.try_element_at(synonyms, low)
+    known = _synonym(low, synonyms, words)
     # a plain lower-case word that does not start with "e" can only be a synonym: no further rule applies
     return (F.when(token.rlike("^[a-df-z][a-z]*$"), F.coalesce(known, token))
             .when(low.rlike(r"^\d+$"), token)
-            .otherwise(F.coalesce(known, _unknown_word(token, synonyms, upper_only))))
+            .otherwise(F.coalesce(known, _unknown_word(token, synonyms, upper_only, words))))
 
 
 def normalize_message(message, synonyms: dict | None = None, upper_only: bool = False) -> Column:
@@ -117,9 +124,9 @@ def normalize_message(message, synonyms: dict | None = None, upper_only: bool =
     shortens ordinary words that start with "e"; ``upper_only`` limits it to
     tokens that are written in capitals.
     """
-    table = synonym_map(synonyms)
+    table, words = synonym_map(synonyms), list(X.BASE_SYNONYMS if synonyms is None else synonyms)
     tokens = extract_all(message, X.TOKEN_PATTERN)
-    return F.array_join(F.transform(tokens, lambda t: normalize_token(t, table, upper_only)), " ")
+    return F.array_join(F.transform(tokens, lambda t: normalize_token(t, table, upper_only, words)), " ")
 
 
 def learner_tokens(message) -> Column:

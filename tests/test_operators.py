@@ -318,3 +318,12 @@ def test_supervised_head_moves_no_texts(spark, monkeypatch):
     monkeypatch.setattr(SU, "number_ordered", lambda rows, *a: seen.append(rows.columns) or real(rows, *a))
     assert SU.train_and_evaluate(df, "k", model="lr").first()["n"] == 80
     assert seen == [["k", "label", *SU.COLUMNS]]
+
+
+def test_words_outside_a_large_dictionary_skip_its_map(spark):
+    learned = {**T.X.BASE_SYNONYMS, **{f"word{i}": f"w{i}" for i in range(300)}, "shut": "closed"}
+    df = spark.createDataFrame([("shut db7 word12 wordX npeDown plain", ), ("",), (None,)], "m string")
+    out = df.select(T.normalize_message("m", learned).alias("n"))
+    assert [r["n"] for r in out.collect()] == ["closed database 7 w12 word x crash unavailable plain", "", None]
+    assert "INSET" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert df.select(T.normalize_message("m", {}).alias("n")).first()["n"] == "shut db 7 word 12 word x npe down plain"
