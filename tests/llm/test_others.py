@@ -1,7 +1,11 @@
 """Language ID, URL filter, license scan and embeddings."""
+import contextlib
+import glob
 import math
+import os
 import random
 import re
+import threading
 
 import numpy as np
 import pytest
@@ -200,6 +204,50 @@ def test_vectors_of_one_id_count_for_themselves(spark):
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (9, 1, 4, False)]
 
 
+def test_vectors_are_not_copied_for_each_pair_of_tiles(spark):
+    x = np.random.default_rng(5).normal(size=(4000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    known, sizes, done = {p for f in folders for p in glob.glob(f"{f}/*/shuffle_*.data")}, {}, threading.Event()
+
+    def watch():                # files go when nothing refers to them any more
+        while not done.wait(.02):
+            for p in (p for f in folders for p in glob.glob(f"{f}/*/shuffle_*.data") if p not in known):
+                with contextlib.suppress(OSError):
+                    sizes[p] = os.path.getsize(p)
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert vector_groups(df, tile=200).filter("n_links = 0 and kept").count() == len(x)
+    finally:
+        done.set()
+        thread.join()
+    assert x.nbytes < sum(sizes.values()) < 4 * x.nbytes
+
+
+@pytest.mark.parametrize("repeats", [2, 10 ** 6])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_that_come_often_match_brute_force(spark, monkeypatch, kind, repeats):
+    from siftlog.llm import vectors
+
+    monkeypatch.setattr(vectors, "REPEATS", repeats)        # with and without the shuffle that drops repeats
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 40))
+    x = np.concatenate([base, base[:20] + rng.normal(size=(20, 40)) * .3, np.zeros((1, 40))]).astype(np.float32)
+    x[:, 0] = 0
+    x[-1, 1] = 1
+    ids = rng.integers(0, len(x), 900).tolist()
+    rows = [(i, [-0.0 if i % 3 else 0.0, *x[k, 1:].tolist()]) for i, k in enumerate(ids)]       # zeros of both signs are equal
+    unit = x[ids].astype(float) / np.sqrt((x[ids].astype(float) ** 2).sum(1, keepdims=True))
+    near = unit @ unit.T >= .9
+    np.fill_diagonal(near, False)
+    comp = components(range(len(rows)), zip(*(k.tolist() for k in np.nonzero(near))))
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(5)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_groups(df, tile=9).collect()}
+    assert got == {i: (int(near[i].sum()), comp[i], comp[i] == i) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("tiles", [1, 2, 3, 7, 50])
 def test_tile_pairs_in_order(tiles):
     from siftlog.llm.vectors import tile_pair
