@@ -36,7 +36,7 @@ from .exchange import PACKED, bucket_count, packed, release
 MAIN_DIMS = 31                # directions of a short vector, besides the length of the rest
 TILE = 8192                   # vectors of a tile at most
 TILE_BYTES = 4 << 20          # and their bytes
-STEP = 256                    # vectors compared with a tile at once
+STEP = 256                    # vectors of both sides compared at once, so that their products stay in a core's cache
 FLUSH_BYTES = 16 << 20        # a task packs or merges its vectors after this many bytes
 SAMPLE, SAMPLE_BYTES = 65_536, 16 << 20      # vectors that directions and tree are fitted on
 REPEATS = 2                   # with more rows to a vector, a shuffle of their own drops the repeats
@@ -124,7 +124,7 @@ class Tile:
 def windows(a: int, b: int | None) -> Iterator[tuple[slice, slice]]:
     """Rows of a tile and of another one; without ``b`` every pair of rows of one tile once."""
     if b is not None:
-        yield from ((slice(s, s + STEP), slice(0, b)) for s in range(0, a, STEP))
+        yield from ((slice(s, s + STEP), slice(t, t + STEP)) for s in range(0, a, STEP) for t in range(0, b, STEP))
         return
     pieces = -(-a // STEP)
     for k in range(pieces * (pieces + 1) // 2):
@@ -348,7 +348,8 @@ def _joined(rows: DataFrame, kind: np.dtype, salt: int, n_rows: int, n_nodes: in
     minus = lambda x, y: F.zip_with(x, y, lambda p, q: p - q)
     apart = F.zip_with(minus("a_low", "b_high"), minus("b_low", "a_high"), lambda p, q: F.greatest(p, q, F.lit(0.0)))
     gap = F.aggregate(apart, F.lit(0.0), lambda total, x: total + x * x)
-    pairs = a.hint("shuffle_replicate_nl").join(b, (F.col("a_tile") <= F.col("b_tile")) & (gap <= 2 - 2 * cosine + SLACK)).select("a_tile", "b_tile", "a_payload", "b_payload")
+    # a task reads its part of the first side as a stream and keeps that of the second, so few parts of the first will do
+    pairs = a.coalesce(2 * spark.sparkContext.defaultParallelism).hint("shuffle_replicate_nl").join(b, (F.col("a_tile") <= F.col("b_tile")) & (gap <= 2 - 2 * cosine + SLACK)).select("a_tile", "b_tile", "a_payload", "b_payload")
 
     def work(batches):
         held: dict[int, pa.Buffer] = {}
